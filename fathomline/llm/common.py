@@ -47,3 +47,11 @@ def text_of(name: str = "text") -> Column:
 def word_count(text: Column) -> Column:
     """Number of maximal runs of characters that are not white space; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_RE)), F.lit(0)).cast("long")
+
+
+def rows_of(batches, size: int = 256):
+    """Arrow batches cut into slices of few rows, so that long texts are in Python one slice at a time: (slice, columns as lists)."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, size):
+            part = batch.slice(at, size)
+            yield part, [column.to_pylist() for column in part.columns]

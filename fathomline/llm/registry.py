@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_windows, exact_dedup, mixing
+from . import chat_windows, exact_dedup, mixing, simhash
 
 QUERIES = {
     "op1_chat_windows": chat_windows.op1_chat_windows,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_simhash": simhash.op4_simhash,
     "op5_mixing": mixing.op5_mixing,
 }
 
