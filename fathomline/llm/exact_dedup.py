@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_RE, table, text_of
+from .common import SPACE_RE, materialize, table, text_of
 
 
 def normalised(text: str = "text") -> Column:
@@ -39,18 +39,20 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     content = normalised(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), content.alias("content")).withColumn("digest", F.unhex(F.sha2("content", 256)))
     best = combine(rows, F.col("doc_id"), salts)
-    # Back to single rows without the texts. Two texts under one digest would be told apart by their content.
-    groups = best.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.min("best").alias("keep_id"), F.max("size").alias("group_size"))
+    # Back to single rows without the texts. Written first, so that the texts are shuffled no more than those two times.
+    groups = materialize(best.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.min("best").alias("keep_id"), F.max("size").alias("group_size")), "groups")
     ids = rows.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("times"))
     joined = ids.join(groups.where("texts = 1"), "digest").select("doc_id", "keep_id", "group_size", "digest", "times")
     clash = groups.where("texts > 1").select("digest")
-    told = (
-        rows.join(clash, "digest", "left_semi")
-        .groupBy("doc_id", "digest", "content").agg(F.count(F.lit(1)).alias("times"))
-        .join(best, ["digest", "content"])
-        .select("doc_id", F.col("best").alias("keep_id"), F.col("size").alias("group_size"), "digest", "times")
-    )
-    copies = joined.unionByName(told).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    if not clash.isEmpty():  # two texts under one digest are told apart by their content
+        told = (
+            rows.join(clash, "digest", "left_semi")
+            .groupBy("doc_id", "digest", "content").agg(F.count(F.lit(1)).alias("times"))
+            .join(best, ["digest", "content"])
+            .select("doc_id", F.col("best").alias("keep_id"), F.col("size").alias("group_size"), "digest", "times")
+        )
+        joined = joined.unionByName(told)
+    copies = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     return copies.select(
         "doc_id", "keep_id", "group_size",
         (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
