@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat_windows, exact_dedup, mixing, simhash
+from . import chat_windows, exact_dedup, html_text, mixing, packing, pii, simhash
 
 QUERIES = {
     "op1_chat_windows": chat_windows.op1_chat_windows,
+    "op2_html_text": html_text.op2_html_text,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_simhash": simhash.op4_simhash,
     "op5_mixing": mixing.op5_mixing,
+    "op7_packing": packing.op7_packing,
+    "op10_pii": pii.op10_pii,
 }
 
 ORACLES = {

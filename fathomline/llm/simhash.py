@@ -184,7 +184,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, segments)
     named = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
     order = Window.partitionBy(id_col).orderBy(*[F.col(f"`{c}`") for c in docs.columns if c != id_col])
-    kept = docs.join(named, id_col, "left_semi").withColumn("__copy", F.row_number().over(order)).where("__copy = 1").drop("__copy")
+    copy = "copy" + "_" * max(map(len, docs.columns))
+    kept = docs.join(named, id_col, "left_semi").withColumn(copy, F.row_number().over(order)).where(F.col(copy) == 1).drop(copy)
     return kept.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
 
 
