@@ -158,7 +158,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"))
     written = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{kind}')) as long)").alias(f"n_{kind}") for kind in BASE]
     return found.select(
         "doc_id", *counts, F.sha2(F.array_join(F.transform(base, written), ","), 256).alias("base_sha256"),
         F.array_join(F.transform("spans", written), ",").alias("spans"), F.coalesce(F.array_max("spans.score"), F.lit(0.0)).alias("max_score"),

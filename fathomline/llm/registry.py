@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_windows, exact_dedup, html_text, mixing, packing, pii, simhash
+from . import chat_windows, exact_dedup, html_text, mixing, packing, pii, simhash, topk, toxicity
 
 QUERIES = {
     "op1_chat_windows": chat_windows.op1_chat_windows,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_simhash": simhash.op4_simhash,
     "op5_mixing": mixing.op5_mixing,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_packing": packing.op7_packing,
+    "op9_topk": topk.op9_topk,
     "op10_pii": pii.op10_pii,
 }
 
@@ -18,4 +20,5 @@ ORACLES = {
     "op1_chat_windows": chat_windows.SQL,
     "op3_exact_dedup": exact_dedup.SQL,
     "op5_mixing": mixing.SQL,
+    "op9_topk": topk.SQL,
 }
