@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_of, word_count
+from .common import materialize, table, text_of, word_count
 
 WEIGHTS = (5, 2, 1)
 
@@ -53,7 +53,8 @@ def mix(docs: DataFrame, size: Column | None = None, id_col: str = "doc_id", sou
     """One row per document: doc_id, size, source_size, target, copies, taken; with keep, the input's columns in a struct `row`."""
     size = word_count(text_of(text_col)) if size is None else size
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep else []))
-    targets = source_targets(sized.select("source", "size"), **shares).withColumnRenamed("source", "of")
+    # Written first, so that its size is known: if it is small it is broadcast and no document moves, else both sides are joined by source.
+    targets = materialize(source_targets(sized.select("source", "size"), **shares).withColumnRenamed("source", "of"), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     joined = sized.join(targets, F.col("source").eqNullSafe(F.col("of"))).withColumn("rate", rate)
     copies = F.floor("rate") + F.when(draw(F.col("doc_id"), seed) < F.col("rate") - F.floor("rate"), 1).otherwise(0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_windows, exact_dedup, html_text, mixing, packing, pii, simhash, topk, toxicity
+from . import chat_windows, exact_dedup, html_text, mixing, packing, pii, repeats, simhash, topk, toxicity
 
 QUERIES = {
     "op1_chat_windows": chat_windows.op1_chat_windows,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_mixing": mixing.op5_mixing,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_packing": packing.op7_packing,
+    "op8_repeats": repeats.op8_repeats,
     "op9_topk": topk.op9_topk,
     "op10_pii": pii.op10_pii,
 }
