@@ -1,6 +1,8 @@
-"""The queries of the engine, each with equivalent SQL where SQL can express it."""
+"""All queries of the engine."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from fathomline.plans import statistics  # noqa: F401
+from fathomline.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
