@@ -32,8 +32,7 @@ def rate(flag: Column) -> dict[str, Column]:
 def counts_with_percent(df: DataFrame, key: str, domain: DataFrame) -> DataFrame:
     """Counts over a fixed domain of keys, zeros included, with percent of all to one place."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    joined = domain.join(counts, key, "left").crossJoin(F.broadcast(total))  # a single row
+    joined = domain.join(counts, key, "left").withColumn("total", df.agg(F.count(F.lit(1))).scalar())
     n = F.coalesce(F.col("n"), F.lit(0))
     return joined.select(key, n.alias("n"), F.round(F.try_divide(100.0 * n, F.col("total").cast("double")), 1).alias("pct"))
 
