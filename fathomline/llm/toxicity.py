@@ -154,10 +154,19 @@ def kept_rows(rows: np.ndarray, kept: np.ndarray) -> np.ndarray:
     return np.where(kept[rows], rows, 0)
 
 
-def often(rows: np.ndarray, docs: np.ndarray, size: int, least: int) -> np.ndarray:
-    """Which rows occur in at least that many documents."""
-    pairs = np.unique(rows * (docs.max(initial=0) + 1) + docs)
-    return np.bincount(pairs // (docs.max(initial=0) + 1), minlength=size) >= least
+def often(words: np.ndarray, docs: np.ndarray, word: np.ndarray, grams: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of either embedding occur in at least that many documents; words and docs: what occurs where. A few documents at a time, to keep memory small."""
+    found = np.unique(docs * len(word) + words)
+    docs, words = found // len(word), found % len(word)
+    times = np.zeros(WORD_ROWS, np.int64), np.zeros(CHAR_ROWS, np.int64)
+    edges = np.flatnonzero(np.append(True, docs[1:] != docs[:-1]))[::64] if len(docs) else []
+    for at, to in zip(edges, [*edges[1:], len(docs)], strict=True):
+        some, of = words[at:to], docs[at:to]
+        sizes = ends[some] - starts[some]
+        each = grams[np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes - starts[some], sizes)]
+        for total, rows, of_rows in ((times[0], word[some], of), (times[1], each, np.repeat(of, sizes))):
+            total += np.bincount(np.unique(of_rows * len(total) + rows) % len(total), minlength=len(total))
+    return times[0] >= least, times[1] >= least
 
 
 def train(windows: list[list[str]], labels: list[int], docs: list[int], epochs: int = EPOCHS, seed: int = SEED) -> dict[str, np.ndarray]:
@@ -173,12 +182,7 @@ def train(windows: list[list[str]], labels: list[int], docs: list[int], epochs:
     ends = np.append(starts[1:], len(grams))
     y, of = np.array(labels, np.float32), np.array(docs, np.int64)
     used = mask > 0
-    at_docs = np.repeat(of, used.sum(axis=1))
-    seen = ids[used]
-    p["word_kept"] = often(word[seen], at_docs, WORD_ROWS, LEAST_DOCS)
-    sizes = ends[seen] - starts[seen]
-    each = grams[np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes - starts[seen], sizes)]
-    p["gram_kept"] = often(each, np.repeat(at_docs, sizes), CHAR_ROWS, LEAST_DOCS)
+    p["word_kept"], p["gram_kept"] = often(ids[used], np.repeat(of, used.sum(axis=1)), word, grams, starts, ends, LEAST_DOCS)
     word, grams = kept_rows(word, p["word_kept"]), kept_rows(grams, p["gram_kept"])
 
     def batch(rows):
