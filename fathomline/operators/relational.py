@@ -57,9 +57,14 @@ def contamination(train: DataFrame, other: DataFrame, pair: list[str], note: str
 
 
 def shingles(tokens: Column, k: int) -> Column:
-    """Different k-grams of an array of tokens, each joined by spaces; none for fewer tokens."""
-    grams = F.transform(F.sequence(F.lit(1), F.size(tokens) - (k - 1)), lambda i: F.array_join(F.slice(tokens, i, k), " "))
-    return F.when(F.size(tokens) >= k, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    """Different k-grams of an array of tokens, each joined by spaces; none for fewer tokens.
+
+    The array of one binds the tokens to a variable: else the optimiser would put their expression into the inner function, to be evaluated for each gram."""
+    def grams(t: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(t) - (k - 1)), lambda i: F.array_join(F.slice(t, i, k), " "))
+        return F.when(F.size(t) >= k, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
+
+    return F.transform(F.array(tokens), grams)[0]
 
 
 def max_jaccard(queries: DataFrame, index: DataFrame, id_col: str, tokens: str, k: int = 5, max_df: int = 100, candidates: int = 10) -> DataFrame:
