@@ -21,6 +21,7 @@ scored, and counts as the text "null" for being held out. An empty table gives a
 from __future__ import annotations
 
 import zlib
+from itertools import batched
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -169,17 +170,20 @@ def often(words: np.ndarray, docs: np.ndarray, word: np.ndarray, grams: np.ndarr
     return times[0] >= least, times[1] >= least
 
 
-def train(windows: list[list[str]], labels: list[int], docs: list[int], epochs: int = EPOCHS, seed: int = SEED) -> dict[str, np.ndarray]:
-    """Windows of at most WINDOW words each, with their documents' labels and numbers from 0."""
+def train(windows: list[str], labels: list[int], docs: list[int], epochs: int = EPOCHS, seed: int = SEED) -> dict[str, np.ndarray]:
+    """Windows of at most WINDOW words each, joined by spaces, with their documents' labels and numbers from 0."""
     p, r = initial(seed), np.random.default_rng(seed)
     names: dict[str, int] = {}
     ids = np.zeros((len(windows), WINDOW), np.int64)
     mask = np.zeros((len(windows), WINDOW), np.float32)
-    for k, words in enumerate(windows):
+    for k, words in enumerate(w.split() for w in windows):
         ids[k, : len(words)] = [names.setdefault(w, len(names)) for w in words]
         mask[k, : len(words)] = 1
-    word, grams, starts = word_features(list(names) or [""])
-    ends = np.append(starts[1:], len(grams))
+    parts = [word_features(list(some)) for some in batched(names or [""], 16_384)]
+    word, grams = np.concatenate([w for w, _, _ in parts]), np.concatenate([g.astype(np.int32) for _, g, _ in parts])
+    ends = np.cumsum(np.concatenate([np.diff(np.append(s, len(g))) for _, g, s in parts]))
+    starts = np.append(0, ends[:-1])
+    del names, parts
     y, of = np.array(labels, np.float32), np.array(docs, np.int64)
     used = mask > 0
     p["word_kept"], p["gram_kept"] = often(ids[used], np.repeat(of, used.sum(axis=1)), word, grams, starts, ends, LEAST_DOCS)
@@ -374,7 +378,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     numbers = {i: k for k, i in enumerate(dict.fromkeys(i for i, _, _ in got))}
     if len({y for _, _, y in got}) < 2:
         return None
-    model = train([w.split() for _, w, _ in got], [y for _, _, y in got], [numbers[i] for i, _, _ in got])
+    model = train([w for _, w, _ in got], [y for _, _, y in got], [numbers[i] for i, _, _ in got])
     del got
     scored = top_logits(chosen.where("for_fit"), "id", "text", model).collect()
     label = {r["id"]: r["label"] for r in chosen.where("for_fit").select("id", "label").collect()}
