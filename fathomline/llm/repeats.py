@@ -251,26 +251,26 @@ def compared_windows(texts: DataFrame, found: DataFrame, length: int) -> DataFra
                     sure.append(np.full(n, r["whole"], bool))
             g, w, uid, pos, sure = np.concatenate(g), np.concatenate(w).view(np.int64), np.concatenate(uid), np.concatenate(pos), np.concatenate(sure)
             order = np.lexsort((~sure, g, w))  # of equal windows a sure one first
-            g, w, uid, pos, sure = g[order], w[order], uid[order], pos[order], sure[order]
-            new = np.append(True, (w[1:] != w[:-1]) | (g[1:] != g[:-1]))
-            need = ~sure
-            # One of equal windows goes on for all of this slice; the others are known to repeat.
-            many = np.diff(np.append(np.flatnonzero(new), len(new)))[np.cumsum(new) - 1] > 1
-            known = need & (many | sure[np.flatnonzero(new)][np.cumsum(new) - 1])
-            go = new
+            new = np.append(True, (w[order][1:] != w[order][:-1]) | (g[order][1:] != g[order][:-1]))
+            group, first = np.cumsum(new) - 1, np.flatnonzero(new)
+            many = np.diff(np.append(first, len(new)))[group] > 1
+            # One of equal windows goes on for all of this slice; those that needed to know have it. Back in the order of the texts, as neighbours compress well.
+            goes, repeats = np.empty_like(sure), np.empty_like(sure)
+            goes[order], repeats[order] = new, many | sure[order][first[group]]
+            known, go = repeats & ~sure, goes
             runs = joined_runs(uid[known], pos[known])
-            go_sure = (sure | many)[go]
+            info = pos * 4 + (repeats | sure) * 2 + ~(repeats | sure)
             columns = [
                 np.concatenate([g[go], mixed(runs[0].view(np.uint64) + runs[1].view(np.uint64)).view(np.int64)]), np.concatenate([w[go], runs[1]]),
-                np.concatenate([uid[go], runs[0]]), np.concatenate([pos[go], runs[1]]), np.concatenate([pos[go], runs[2]]),
-                np.concatenate([go_sure, np.ones(len(runs[0]), bool)]), np.concatenate([(need & ~known)[go], np.ones(len(runs[0]), bool)]),
+                np.concatenate([uid[go], runs[0]]), np.concatenate([pos[go], runs[1]]), np.concatenate([info[go], runs[2] * 4 + 3]),
             ]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["g", "w", "uid", "lo", "hi", "sure", "need"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["g", "w", "uid", "lo", "info"])
 
-    windows = rows.mapInArrow(kernel, "g long, w long, uid long, lo long, hi long, sure boolean, need boolean")
-    equal = Window.partitionBy("g", "w")
-    counted = windows.withColumns({"times": F.count(F.lit(1)).over(equal), "any_sure": F.max("sure").over(equal)})
-    return counted.where("need and (times > 1 or any_sure)").select("uid", "lo", "hi")
+    # info: the last start, whether the window is known to repeat, and whether its text needs to be told.
+    windows = rows.mapInArrow(kernel, "g long, w long, uid long, lo long, info long")
+    equal, sure, need = Window.partitionBy("g", "w"), F.col("info").bitwiseAND(2) > 0, F.col("info").bitwiseAND(1) > 0
+    counted = windows.withColumns({"times": F.count(F.lit(1)).over(equal), "any_sure": F.max(sure).over(equal)})
+    return counted.where(need & ((F.col("times") > 1) | F.col("any_sure"))).select("uid", "lo", F.shiftright("info", 2).alias("hi"))
 
 
 def joined_runs(uid: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
