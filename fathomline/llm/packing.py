@@ -11,7 +11,7 @@ of two, largest first, which need no padding. Every id lies in exactly one piece
 Sequence ids are numbered within the task and carry the task's number, so that a task that runs again gives the same.
 
 Tokens come from a public tokenizer whose path is a parameter. It never joins words across white space, so the ids of
-a text are those of its words one after the other; each task keeps the ids of words it has seen, up to a bound.
+a text are those of its pieces one after the other; each task keeps the ids of pieces it has seen, up to a bound.
 
 Defined results: a null or empty text is the end id alone. Rows that repeat are packed as documents of their own. An
 empty table gives no pieces. A null doc_id is packed like any other. Other columns are ignored.
@@ -19,7 +19,10 @@ empty table gives no pieces. A null doc_id is packed like any other. Other colum
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -28,39 +31,44 @@ from pyspark.sql import functions as F
 from .common import rows_of, table
 
 WINDOW, END_ID = 4096, 2
-#: Words whose ids a task keeps, and windows that it may have open.
-KNOWN_WORDS, MOST_OPEN = 150_000, 4096
-#: Python's str.split takes these for white space, the tokenizer does not.
-ODD_SPACE = "\x1c\x1d\x1e\x1f"
+#: Pieces whose ids a task keeps, and windows that it may have open.
+KNOWN_PIECES, MOST_OPEN = 400_000, 4096
+#: Texts of these characters are cut into the tokenizer's own pieces here, as it would: lower-cased, then letters, single
+#: digits, and runs of others, white space between. Each of these letters is a letter to the tokenizer, normalised as it stands.
+PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-įı-ɏ]*")
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ɏ]+|[0-9]|[^a-zß-öø-ɏ0-9\t-\r ]+")
 
 
 class WordIds:
-    """Ids of texts; whole words are looked up, unknown ones encoded in one batch."""
+    """Ids of texts: known pieces are looked up, unknown ones encoded in one batch. Of a text with other characters, words (between white space) that have such are encoded whole."""
 
-    def __init__(self, path: str, most: int = KNOWN_WORDS):
+    def __init__(self, path: str, most: int = KNOWN_PIECES):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.most = Tokenizer.from_file(path), {}, most
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.known: dict[str, list[int]] = {}
+
+    def ids_of(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def cut(self, text: str) -> list[str]:
+        if PLAIN.fullmatch(text) and "<|" not in text:
+            return PIECE.findall(text.lower())
+        parts = []
+        for word in re.split(r"[\t-\r ]+", text):
+            parts += PIECE.findall(word.lower()) if PLAIN.fullmatch(word) and "<|" not in word else [word]
+        return parts
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [t.split() if t and not any(c in t for c in ODD_SPACE) else None for t in texts]
-        new = list({w for words in split if words for w in words if w not in self.known})
+        split = [self.cut(t) if t else [] for t in texts]
+        new = list({p for parts in split for p in parts if p not in self.known})
         if len(self.known) + len(new) > self.most:
             self.known = {}
-            new = list({w for words in split if words for w in words})
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            self.known.update(zip(some, [e.ids for e in self.tokenizer.encode_batch(some, add_special_tokens=False)], strict=True))
-        out = []
-        for text, words in zip(texts, split, strict=True):
-            if words is None:
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids if text else []
-            else:
-                ids, known = [], self.known
-                for w in words:
-                    ids += known[w]
-            out.append(np.array(ids, np.uint32))
-        return out
+            new = list({p for parts in split for p in parts})
+        self.known.update(zip(new, self.ids_of(new), strict=True))
+        known = self.known.__getitem__
+        return [np.array(list(chain.from_iterable(map(known, parts))), np.uint32) for parts in split]
 
 
 class Packer:
