@@ -19,7 +19,6 @@ empty table gives no pieces. A null doc_id is packed like any other. Other colum
 
 from __future__ import annotations
 
-import os
 import re
 import zlib
 from itertools import chain
@@ -32,25 +31,44 @@ from .common import rows_of, table
 
 WINDOW, END_ID = 4096, 2
 #: Pieces whose ids a task keeps, and windows that it may have open.
-KNOWN_PIECES, MOST_OPEN = 400_000, 4096
+KNOWN_PIECES, MOST_OPEN = 250_000, 4096
 #: Texts of these characters are cut into the tokenizer's own pieces here, as it would: lower-cased, then letters, single
 #: digits, and runs of others, white space between. Each of these letters is a letter to the tokenizer, normalised as it stands.
 PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-įı-ɏ]*")
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ɏ]+|[0-9]|[^a-zß-öø-ɏ0-9\t-\r ]+")
 
 
+#: Byte-level tokenizers write a byte as a letter: itself where it is a visible character of Latin-1, else the next one from 256 on.
+SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+LETTERS = {b: chr(b) for b in SEEN} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(SEEN)))}
+
+
 class WordIds:
     """Ids of texts: known pieces are looked up, unknown ones encoded in one batch. Of a text with other characters, words (between white space) that have such are encoded whole."""
 
     def __init__(self, path: str, most: int = KNOWN_PIECES):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.known: dict[str, list[int]] = {}
-
-    def ids_of(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.forget()
+
+    def forget(self) -> None:
+        """Pieces are numbered; the ids of all lie in one array, so that a piece takes little more than its text."""
+        self.known: dict[str, int] = {}
+        self.flat, self.starts, self.sizes = np.zeros(1024, np.uint32), np.zeros(256, np.int32), np.zeros(256, np.int32)
+        self.used = 0
+
+    def ids_of(self, parts: list[str]) -> list[list[int]]:
+        """Pieces go to the tokenizer's model as they are, written in its letters for bytes; whole words through the whole tokenizer."""
+        tokenize, out = self.tokenizer.model.tokenize, []
+        for p in parts:
+            if p.isascii() and "<|" not in p:
+                out.append([t.id for t in tokenize(p)])
+            elif PLAIN.fullmatch(p) and "<|" not in p:
+                out.append([t.id for t in tokenize("".join([LETTERS[b] for b in p.encode()]))])
+            else:
+                out.append(self.tokenizer.encode(p, add_special_tokens=False).ids)
+        return out
 
     def cut(self, text: str) -> list[str]:
         if PLAIN.fullmatch(text) and "<|" not in text:
@@ -60,15 +78,39 @@ class WordIds:
             parts += PIECE.findall(word.lower()) if PLAIN.fullmatch(word) and "<|" not in word else [word]
         return parts
 
+    def learn(self, new: list[str]) -> None:
+        for at in range(0, len(new), 4096):
+            some = self.ids_of(new[at : at + 4096])
+            sizes = np.fromiter(map(len, some), np.int32, len(some))
+            n, total = len(self.known), int(sizes.sum())
+            self.flat, self.starts, self.sizes = room(self.flat, self.used + total), room(self.starts, n + len(some)), room(self.sizes, n + len(some))
+            self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(some), np.uint32, total)
+            self.starts[n : n + len(some)] = self.used + np.cumsum(sizes) - sizes
+            self.sizes[n : n + len(some)] = sizes
+            self.used += total
+            self.known.update(zip(new[at : at + 4096], range(n, n + len(some)), strict=True))
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [self.cut(t) if t else [] for t in texts]
         new = list({p for parts in split for p in parts if p not in self.known})
         if len(self.known) + len(new) > self.most:
-            self.known = {}
+            self.forget()
             new = list({p for parts in split for p in parts})
-        self.known.update(zip(new, self.ids_of(new), strict=True))
-        known = self.known.__getitem__
-        return [np.array(list(chain.from_iterable(map(known, parts))), np.uint32) for parts in split]
+        self.learn(new)
+        out = []
+        for parts in split:
+            number = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+            sizes = self.sizes[number]
+            ends = np.cumsum(sizes)
+            out.append(self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[number] - ends + sizes, sizes)])
+        return out
+
+
+def room(array: np.ndarray, size: int) -> np.ndarray:
+    """The array, twice as long as often as needed to hold size."""
+    while size > len(array):
+        array = np.concatenate([array, np.zeros_like(array)])
+    return array
 
 
 class Packer:
@@ -167,7 +209,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
         words, packer, kinds = WordIds(tokenizer), Packer(write, window), None
-        for part, (ids, texts) in rows_of(batches):
+        for part, (ids, texts) in rows_of(batches, 128):
             if kinds is None:
                 kinds = [part.column(0).type, *[pa.int64()] * 6, *([pa.list_(pa.int32())] if with_ids else [])]
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])]
