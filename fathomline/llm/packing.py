@@ -62,10 +62,8 @@ class WordIds:
         """Pieces go to the tokenizer's model as they are, written in its letters for bytes; whole words through the whole tokenizer."""
         tokenize, out = self.tokenizer.model.tokenize, []
         for p in parts:
-            if p.isascii() and "<|" not in p:
-                out.append([t.id for t in tokenize(p)])
-            elif PLAIN.fullmatch(p) and "<|" not in p:
-                out.append([t.id for t in tokenize("".join([LETTERS[b] for b in p.encode()]))])
+            if PLAIN.fullmatch(p) and "<|" not in p:
+                out.append([t.id for t in tokenize(p if p.isascii() else "".join([LETTERS[b] for b in p.encode()]))])
             else:
                 out.append(self.tokenizer.encode(p, add_special_tokens=False).ids)
         return out
