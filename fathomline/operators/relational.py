@@ -57,12 +57,12 @@ def contamination(train: DataFrame, other: DataFrame, pair: list[str], note: str
 
 
 def shingles(tokens: Column, k: int) -> Column:
-    """Different k-grams of an array of tokens, each joined by spaces; none for fewer tokens.
+    """Hashes (64 bits) of the different k-grams of an array of tokens; none for fewer tokens. Sets of longs are built by hashing, sets of texts by comparing all pairs.
 
     The array of one binds the tokens to a variable: else the optimiser would put their expression into the inner function, to be evaluated for each gram."""
     def grams(t: Column) -> Column:
-        each = F.transform(F.sequence(F.lit(1), F.size(t) - (k - 1)), lambda i: F.array_join(F.slice(t, i, k), " "))
-        return F.when(F.size(t) >= k, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
+        each = F.transform(F.sequence(F.lit(1), F.size(t) - (k - 1)), lambda i: F.xxhash64(F.array_join(F.slice(t, i, k), " ")))
+        return F.when(F.size(t) >= k, F.array_distinct(each)).otherwise(F.array().cast("array<long>"))
 
     return F.transform(F.array(tokens), grams)[0]
 
