@@ -215,8 +215,12 @@ def settled_ranges(texts: DataFrame) -> DataFrame:
     """Ranges whose anchor repeats: uid, g, lo, hi, whole (all its windows repeat), ask (its windows are to be compared)."""
     hits = texts.where("uid is not null").select("uid", F.explode(F.arrays_zip("g", "c", "lo", "hi")).alias("r")).select("uid", "r.*")
     alike = hits.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "lo")).alias("one"))
+    alike = materialize(alike, "kinds")
     anchors = alike.groupBy("g").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).where("all > 1")
-    joined = hits.join(alike, ["g", "c"]).join(anchors, "g")
+    # Anchors meet kinds of ranges, not ranges, and what comes of that is written: the join of single ranges, of which a text that
+    # repeats itself has many of a kind, then has a plain exchange on both sides, and Spark can split a hot kind.
+    known = materialize(alike.join(anchors, "g").select("g", "c", "n", "one", "kinds"), "known-kinds")
+    joined = hits.join(known, ["g", "c"])
     return materialize(joined.select(
         "uid", "g", "lo", "hi", (F.col("n") > 1).alias("whole"),
         ((F.col("kinds") > 1) & ((F.col("n") == 1) | (F.col("one") == F.struct("uid", "lo")))).alias("ask"),
