@@ -24,6 +24,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import materialize, rows_of, table
 
@@ -179,14 +180,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(found, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def first_of(rows: DataFrame, key: str, order: list) -> DataFrame:
+    """The first row of each key. Spark takes the first of each task before it deals rows out, so that a key with many rows is no burden."""
+    place = "place" + "_" * max(map(len, rows.columns))
+    return rows.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col(place) == 1).drop(place)
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segments: int = 4) -> DataFrame:
-    """docs with only the document of each component that has its id; rows without an id stay. Of rows that repeat an id, one of each distinct row stays with it."""
-    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, segments)
-    named = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    order = Window.partitionBy(id_col).orderBy(*[F.col(f"`{c}`") for c in docs.columns if c != id_col])
-    copy = "copy" + "_" * max(map(len, docs.columns))
-    kept = docs.join(named, id_col, "left_semi").withColumn(copy, F.row_number().over(order)).where(F.col(copy) == 1).drop(copy)
-    return kept.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    """One row of docs for each component, whole and as it was: the one with the least doc_id (null after all others), then the least other columns, then the least text."""
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    order = [F.col(f"`{id_col}`").asc_nulls_last(), *[F.col(f"`{c}`") for c in others], F.col(f"`{text_col}`")]
+    fp, node, root = (name + "_" * max(map(len, docs.columns)) for name in ("fp", "node", "root"))
+    names, at = [*docs.columns, fp], docs.columns.index(text_col)
+
+    def kernel(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                prints = [signed(fingerprint(t)) for t in part.column(at).cast(pa.string()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(prints, pa.int64())], names=names)
+
+    rows = materialize(docs.mapInArrow(kernel, StructType([*docs.schema.fields, StructField(fp, LongType())])), "printed")
+    roots = components(links(rows.select(F.col(fp).alias("fp")).distinct(), segments)).toDF(node, root)
+    heads = first_of(rows, fp, order).join(roots, F.col(fp) == F.col(node), "left").withColumn(root, F.coalesce(root, fp))
+    return first_of(heads, root, order).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

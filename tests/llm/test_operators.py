@@ -206,6 +206,23 @@ def test_near_duplicates(spark):
     assert rows(simhash.near_duplicates(docs_of(spark, EMPTY))) == []
 
 
+def test_one_of_each_keeps_a_row_of_every_component(spark):
+    """By texts, not ids: rows that share an id, rows without one, and other columns that decide."""
+    r = random.Random(8)
+    base = [" ".join(r.choice("abcdefghij") + str(r.randint(0, 999)) for _ in range(60)) for _ in range(6)]
+    near = [b.upper() for b in base]  # other texts of the same fingerprint
+    texts = [(7, base[0]), (7, base[1]), (3, base[2]), (7, near[2]), (None, base[3]), (None, near[3]), (None, near[0]), (9, near[4]), (9, base[4]), (None, "")]
+    df = docs_of(spark, texts)
+    prints = [plain_fingerprint(t) for _, t in texts]
+    comp, whole = plain_components(prints), [tuple(x) for x in df.collect()]
+    comp_of = {t: c for (_, t), c in zip(texts, comp, strict=True)}
+    expected = [min((w for w in whole if comp_of[w[1]] == c), key=lambda w: (w[0] is None, w[0] or 0, w[2], w[3] is not None, w[3] or "", w[4], w[1])) for c in set(comp)]
+    assert {base[0], base[1], base[2]} <= {e[1] for e in expected} and len(expected) == 6
+    assert rows(simhash.one_of_each(df)) == sorted(expected, key=repr)
+    assert rows(simhash.one_of_each(docs_of(spark, EMPTY))) == []
+
+
+
 # 5
 
 
