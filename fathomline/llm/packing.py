@@ -33,9 +33,11 @@ WINDOW, END_ID = 4096, 2
 #: Pieces whose ids a task keeps, and windows that it may have open.
 KNOWN_PIECES, MOST_OPEN = 250_000, 4096
 #: Texts of these characters are cut into the tokenizer's own pieces here, as it would: lower-cased, then letters, single
-#: digits, and runs of others, white space between. Each of these letters is a letter to the tokenizer, normalised as it stands.
-PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-įı-ɏ]*")
-PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ɏ]+|[0-9]|[^a-zß-öø-ɏ0-9\t-\r ]+")
+#: digits, and runs of others, white space between. Each of these letters is a letter to the tokenizer, normalised as it
+#: stands, and so is its lower case: capitals whose lower case lies beyond ɏ (Ə, Ɛ, Ɔ) go through the whole tokenizer.
+LETTER = "[a-zß-öø-ɏ]"
+PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{LETTER}+|[0-9]|[^a-zß-öø-ɏ0-9\t-\r ]+")
+PLAIN = re.compile(rf"[\t-\r -~{''.join(c for c in map(chr, range(0xC0, 0x250)) if re.fullmatch(LETTER, c.lower()))}]*")
 
 
 #: Byte-level tokenizers write a byte as a letter: itself where it is a visible character of Latin-1, else the next one from 256 on.

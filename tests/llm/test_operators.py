@@ -350,6 +350,18 @@ def test_packing(spark):
     assert packing.pack(docs_of(spark, EMPTY), packing.tokenizer_path()).count() == 0
 
 
+def test_ids_of_every_plain_character():
+    from tokenizers import Tokenizer
+
+    whole, words = Tokenizer.from_file(packing.tokenizer_path()), packing.WordIds(packing.tokenizer_path())
+    plain = [c for c in map(chr, range(0x250)) if packing.PLAIN.fullmatch(c)]
+    assert len(plain) > 400
+    capitals = [c for c in map(chr, range(0xC0, 0x250)) if c.isupper()]
+    texts = [x for c in [*plain, *capitals] for x in (c, f"{c}liyev", f"mo{c}tu {c}{c} a{c}1", f"KO{c}")] + ["Əliyev", "Ɛyɛ Ɔkyerɛ", "Ƙasar Ɓauna da Ɗan"]
+    for x, ids in zip(texts, words.encode(texts), strict=True):
+        assert ids.tolist() == whole.encode(x, add_special_tokens=False).ids, x
+
+
 def test_sum_of_squares_choice():
     r = random.Random(4)
     packer = packing.Packer(lambda pieces: None, window=20)
