@@ -1,10 +1,10 @@
 r"""Main text of web pages, with the templates of a site removed.
 
 First pass: each page is parsed into its tree of elements, every element's subtree is hashed (tag, class, id, texts and
-children), and Spark counts on how many pages of a host each hash occurs. Subtrees on at least `min_pages` pages and
-`share` of a host's pages are its template. At most (elements of its pages on average) / share hashes of a host can
-be that frequent, so the list that a host's pages get is bounded, however many pages it has; hosts with many pages
-spread over the tasks, since pages and hashes are counted before they are shuffled.
+children), and Spark counts on how many pages of a host each hash occurs. Pages of a host count once for each content
+(main text with nothing taken for template), so copies of a page make none of it a template. Subtrees on at least
+`min_pages` such pages are the host's template, whatever its size. Hashes are joined by (host, hash) with those of each
+page, so no list of a host is ever put together: a page's list has at most its own elements.
 
 Second pass: template subtrees are deleted, and what a page says of itself to be beside the text: navigation, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers. The main text is the article element
@@ -16,7 +16,7 @@ are trimmed, empty ones go, and the others are joined in page order by an empty
 
 Defined results: null html is empty and gives an empty text; broken markup is read as far as it goes (open elements end
 with their parents, an unknown end tag is ignored, `<` that starts no tag is text). A null or odd url has the host ''.
-Rows that repeat have a row each, and count as pages each. An empty table gives an empty result. Other columns are ignored.
+Rows that repeat have a row each, and count as one page. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, rows_of, table
 
-MIN_PAGES, SHARE = 5, 0.02
+MIN_PAGES = 5
 
 TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']++|"[^"]{0,4096}+"|'[^']{0,4096}+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*+)>""",
@@ -207,16 +207,24 @@ def removable(root: Element):
         todo.extend((c, inside) for c in node.children if not isinstance(c, str))
 
 
-def subtree_hashes(source: str | None) -> set[int]:
+def page_hashes(source: str | None) -> tuple[int, list[int]]:
+    """Hash of a page's content and the different hashes of what can be template in it."""
+    from xxhash import xxh64_intdigest
+
     root = parse(source or "")
     hash_subtrees(root)
-    return {n.hash for n in removable(root)}
+    x = xxh64_intdigest(text_of(root, set()).encode("utf-8", "replace"))
+    return (x - (1 << 64) if x >> 63 else x), list({n.hash for n in removable(root)})
 
 
 def main_text(source: str | None, template: frozenset[int] = frozenset()) -> str:
     root = parse(source or "")
     hash_subtrees(root)
-    gone = {id(n) for n in removable(root) if n.hash in template} if template else set()
+    return text_of(root, {id(n) for n in removable(root) if n.hash in template} if template else set())
+
+
+def text_of(root: Element, gone: set[int]) -> str:
+    """The main text without the elements in gone."""
     article, real = article_of(root)
     blocks: list[str] = []
     parts: list[str] = []
@@ -253,30 +261,31 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """pages: host, html. Returns host, hashes of its template subtrees."""
+def page_templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """pages: host, html, digest (of html). Returns host, digest, hashes of the template subtrees of that page, for pages that have any."""
 
     def kernel(batches):
         import pyarrow as pa
 
-        for part, (hosts, sources) in rows_of(batches):
-            found = [(h, x) for h, s in zip(hosts, sources, strict=True) for x in (0, *subtree_hashes(s))]
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.string()), pa.array([x for _, x in found], pa.int64())], names=["host", "hash"])
+        for part, (_, _, sources) in rows_of(batches):
+            found = [page_hashes(s) for s in sources]
+            contents, hashes = pa.array([c for c, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), contents, hashes], names=["host", "digest", "content", "hashes"])
 
-    # A page's own 0 counts the pages of a host along the way.
-    counts = pages.select("host", "html").mapInArrow(kernel, "host string, hash long").groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
-    counts = materialize(counts.where(F.col("n") >= min_pages), "subtrees")
-    whole = counts.where("hash = 0").select("host", F.col("n").alias("pages"))
-    frequent = counts.where("hash <> 0").join(whole, "host").where(F.col("n") >= share * F.col("pages"))
-    return frequent.groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("template"))
+    hashed = materialize(pages.select("host", "digest", "html").mapInArrow(kernel, "host string, digest binary, content long, hashes array<long>"), "subtrees")
+    each = hashed.select("host", "content", F.explode("hashes").alias("hash")).distinct()
+    frequent = materialize(each.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages).select("host", "hash"), "frequent")
+    on_page = hashed.select("host", "digest", F.explode("hashes").alias("hash")).join(frequent, ["host", "hash"])
+    return on_page.groupBy("host", "digest").agg(F.sort_array(F.collect_set("hash")).alias("template"))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
     """One row per row of pages: page_id, url, text."""
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
-    # Written first, so that its size is known: a list that is small is broadcast, another is joined by host.
-    templates = materialize(site_templates(rows, min_pages, share), "templates")
-    joined = rows.join(templates, "host", "left").select("page_id", "url", "html", "template")
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    rows = rows.withColumns({"host": host_of(F.col("url")), "digest": F.unhex(F.sha2(F.coalesce("html", F.lit("")), 256))})
+    # Lists are hashed on their side of the join, so that pages need no sort (which took more than 3000 MB of an executor on the skewed table).
+    templates = materialize(page_templates(rows, min_pages), "templates")
+    joined = rows.join(templates.hint("shuffle_hash"), ["host", "digest"], "left").select("page_id", "url", "html", "template")
 
     def kernel(batches):
         import pyarrow as pa

@@ -114,6 +114,23 @@ def test_html_recurring_text_inside_an_article_stays(spark):
     assert rows(html_text.extract(spark.createDataFrame(EMPTY, "page_id long, url string, html string"))) == []
 
 
+def test_html_copies_of_a_page_are_no_template(spark):
+    lone = "<body><div class='x{k}'><p>Only here</p><ul><li>Point</li></ul></div></body>"
+    pages = [(k, "http://a.example/", "<body><article><div>In a division</div><ul><li>Listed</li></ul></article></body>") for k in range(7)]
+    pages += [(10 + k, "http://b.example/", lone.format(k=k)) for k in range(7)]
+    pages += [(20 + k, "http://c.example/", f"<body><div>Banner</div><article><p>Own {k}</p></article></body>") for k in range(3)]
+    got = {i: t for i, _, t in rows(html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")))}
+    assert {got[k] for k in range(7)} == {"In a division\n\nListed"} and {got[10 + k] for k in range(7)} == {"Only here\n\nPoint"}
+
+
+@pytest.mark.parametrize("others", [0, 400])
+def test_html_template_goes_alike_on_hosts_of_every_size(spark, others):
+    pages = [(k, "http://a.example/", f"<body><div>Campaign of May</div><p>Own {k}</p></body>") for k in range(5)]
+    pages += [(100 + k, "http://a.example/", f"<body><p>Other {k}</p></body>") for k in range(others)]
+    got = {i: t for i, _, t in rows(html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")))}
+    assert [got[k] for k in range(5)] == [f"Own {k}" for k in range(5)] and len(got) == 5 + others
+
+
 # 3
 
 
