@@ -31,8 +31,11 @@ from .common import materialize, rows_of, table
 
 MIN_PAGES = 5
 
+#: A quoted value goes to its closing quote, however far; only a tag without one, or with a bare <, is read by the last form. This
+#: takes linear time: nothing is tried twice within a tag, and tries that begin at different < are never in the same state at the same
+#: place (outside quotes, in double, in single ones: each quote swaps two of these, and a bare < ends a try), so at most three pass any place.
 TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']++|"[^"]{0,4096}+"|'[^']{0,4096}+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*+)>""",
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>]*+)>""",
     re.S,
 )
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")

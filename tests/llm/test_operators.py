@@ -99,6 +99,23 @@ def test_html_broken_markup(page):
     html_text.main_text(page)
 
 
+@pytest.mark.parametrize("quote", "\"'")
+@pytest.mark.parametrize("size", [10, 4096, 5_000, 1_000_000])
+def test_html_quoted_values_of_any_length(quote, size):
+    value = f"<i>leak</i> > {'z' * size}"
+    page = f"<body><div data-x={quote}{value}{quote} class=advert>Buy</div><div data-x={quote}{value}{quote}>Text</div></body>"
+    assert html_text.main_text(page) == "Text"
+
+
+@pytest.mark.parametrize("page", ['<a "' * 200_000, "<a '<b \"" * 100_000, "<a '\"" * 100_000, "<a \"<b '\"'" * 100_000, "<" + "a" * 200_000 + '"' + "x" * 200_000, '<a b="' + "<i x='" * 100_000, "<a " + '"<a \'" \'"\' ' * 50_000])
+def test_html_quotes_take_linear_time(page):
+    import time
+
+    begun = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - begun < 10
+
+
 def test_html_template_of_a_site_goes(spark):
     pages = [(k, f"http://a.example/{k}", f"<body><div>Best site ever</div><div><p>Own text {k}</p><p>Licence line</p></div></body>") for k in range(20)]
     pages += [(100 + k, "http://b.example/", f"<body><div>Best site ever</div><p>Other {k}</p></body>") for k in range(2)] + [(200, None, None), (201, "odd", "")]
