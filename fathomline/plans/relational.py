@@ -122,6 +122,13 @@ def pair_containment(spark, sf_dir):
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("orders"))
 
 
+@query("WITH s AS (SELECT DISTINCT l_orderkey, l_partkey % 50 AS i FROM lineitem) SELECT a.i AS a, b.i AS b, count(*)::BIGINT AS orders FROM s a JOIN s b ON a.l_orderkey = b.l_orderkey AND a.i < b.i GROUP BY 1, 2")
+def pair_containment_all(spark, sf_dir):
+    """As pair_containment, but every pair of part groups."""
+    items = read(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") % 50).alias("i"))
+    return R.pairs_of(items, "l_orderkey", "i").groupBy("a", "b").agg(F.count(F.lit(1)).alias("orders"))
+
+
 @query("WITH o AS (SELECT l_orderkey, list(l_quantity) AS q FROM lineitem GROUP BY 1) SELECT l_orderkey, len(list_filter(q, lambda x: len(list_filter(q, lambda y: abs(abs(x - y) - 7) <= 1e-9)) > 0)) > 0 AS found FROM o")
 def theta_pairs(spark, sf_dir):
     """Whether two quantities of an order differ by 7: arrays of one order, never a join of rows."""

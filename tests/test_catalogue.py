@@ -49,6 +49,12 @@ def test_bootstrap_interval_covers_the_mean(spark):
     assert r["low"] < 0.25 < r["high"] and r["high"] - r["low"] < 0.12
 
 
+def test_pairs_of_all_part_groups(spark, tmp_path):
+    spark.createDataFrame([(1, 60), (1, 107), (1, 49), (2, 10), (2, 7), (3, 3), (3, 103)], "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = catalogue.QUERIES["pair_containment_all"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == [(7, 10, 2), (7, 49, 1), (10, 49, 1)]
+
+
 def test_entry_and_contract(spark):
     import __spark_entry__ as e
 
