@@ -20,6 +20,16 @@ def unit_convert(spark, sf_dir):
     return rows.where("p_partkey % 7 <> 0").select("p_partkey", "r.result", F.col("r.error").alias("none"))
 
 
+@query("SELECT p_partkey, round((p_size * 3 + 40) * CASE p_partkey % 3 WHEN 0 THEN 0.4536 WHEN 1 THEN 2.54 ELSE 0.0555 END::DOUBLE, 2)::DOUBLE AS result, NULL::VARCHAR AS none FROM part")
+def unit_convert_all(spark, sf_dir):
+    """As unit_convert, but every part."""
+    kind = F.col("p_partkey") % 3
+    source = F.when(kind == 0, " LBS ").when(kind == 1, "inches").otherwise("mg/dL")
+    target = F.when(kind == 0, "kg").when(kind == 1, "cm").otherwise("mmol/L")
+    rows = read(spark, sf_dir, "part").select("p_partkey", C.unit_convert((F.col("p_size") * 3 + 40).cast("double"), source, target, F.when(kind == 2, "Fasting  glucose")).alias("r"))
+    return rows.select("p_partkey", "r.result", F.col("r.error").alias("none"))
+
+
 @query("SELECT p_partkey, round((p_size + 45) / pow((150 + p_partkey % 50) / 100.0::DOUBLE, 2), 1)::DOUBLE AS result FROM part")
 def bmi(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", C.bmi((F.col("p_size") + 45).cast("double"), (150 + F.col("p_partkey") % 50).cast("double"))["result"].alias("result"))
@@ -121,6 +131,13 @@ def text_features(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", X.word_count(text).alias("words"), X.note_style(text).alias("style"), F.substring(F.regexp_replace(X.mask_numbers(text), r"\s+", " "), 1, 40).alias("masked"))
 
 
+@query("SELECT doc_id, len(regexp_extract_all(text, '[^\\s]+'))::INTEGER AS words, CASE WHEN instr(text, '**') > 0 THEN 'markdown' ELSE 'plain' END AS style, regexp_replace(regexp_replace(text, '[0-9]+([.][0-9]+)?', '#', 'g'), '[ \\t-\\r]+', ' ', 'g') AS masked FROM documents")
+def text_features_whole(spark, sf_dir):
+    """As text_features, but the whole masked text."""
+    text = F.col("text")
+    return read(spark, sf_dir, "documents").select("doc_id", X.word_count(text).alias("words"), X.note_style(text).alias("style"), F.regexp_replace(X.mask_numbers(text), r"\s+", " ").alias("masked"))
+
+
 @query("SELECT role, count(*)::BIGINT AS n, count_if(length(text) > 200)::BIGINT AS k, round(count_if(length(text) > 200)::DOUBLE / count(text), 4)::DOUBLE AS rate FROM conversations GROUP BY role")
 def null_skipping_rate(spark, sf_dir):
     r = rate(F.length("text") > 200)

@@ -55,6 +55,14 @@ def test_pairs_of_all_part_groups(spark, tmp_path):
     assert sorted(map(tuple, found)) == [(7, 10, 2), (7, 49, 1), (10, 49, 1)]
 
 
+def test_every_part_is_converted_and_whole_texts_masked(spark, tmp_path):
+    spark.createDataFrame([(k, k) for k in range(1, 22)], "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(1, "x" * 50 + "  12.5 mg\n of 7")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["p_partkey"]: r["result"] for r in catalogue.QUERIES["unit_convert_all"](spark, str(tmp_path)).collect()}
+    assert sorted(found) == list(range(1, 22)) and found[7] == 154.94
+    assert catalogue.QUERIES["text_features_whole"](spark, str(tmp_path)).first()["masked"] == "x" * 50 + " # mg of #"
+
+
 def test_entry_and_contract(spark):
     import __spark_entry__ as e
 
