@@ -1,8 +1,8 @@
-r"""Removal of passages that repeat: a suffix sort by radix, no deeper than the threshold.
+r"""Removal of passages that repeat: windows grouped by minimizer and hashes, in place of a radix sort of suffixes.
 
 Two suffixes fall into one group of a radix sort that stops after `length` bytes exactly if their first `length` bytes
-are equal, so groups of two or more are the repeated windows. The sort goes by most significant digits, and after each
-pass only suffixes in groups of two or more go on:
+are equal, so groups of two or more are the repeated windows. No suffix is ordered here: the same groups, but for collisions
+of hashes, are found in three passes, called digits below. After each only suffixes in groups of two or more go on:
 
 1. Anchor. The first digit of a window is its anchor: the `anchor`-byte string within it whose hash is least (of equal
    ones the first). Equal windows have equal anchors at equal places. Neighbouring windows mostly share one anchor
