@@ -8,7 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fathomline.functions import wording as W
+
+# Forms of numbers, pressures and reference ranges.
 NUMBER = r"(?<![\w.])[-−]?\d+(?:,\d{3})*(?:\.\d+)?"
+PRESSURE = r"^\s*(\d+(?:\.\d+)?)\s*/\s*(\d+(?:\.\d+)?)\s*$"
+BETWEEN = r"^\s*(\d+(?:\.\d+)?)\s*[-–—]\s*(\d+(?:\.\d+)?)\s*$"
+BOUND = r"^\s*(<=|>=|<|>|≤|≥)\s*(\d+(?:\.\d+)?)\s*$"
 
 # Spellings of units, spellings of substances, and the formulas between units.
 UNITS = {
@@ -20,6 +26,7 @@ SUBSTANCES = {
     "glucose": ["glucose", "fasting glucose", "glucose (fasting)", "blood glucose"],
     "creatinine": ["creatinine", "serum creatinine"], "cholesterol": ["cholesterol", "total cholesterol"],
 }
+SEXES = {"male": ["male", "m", "man"], "female": ["female", "f", "woman"]}
 FACTORS = {
     ("mg/dL", "mmol/L", "glucose"): 0.0555, ("mg/dL", "umol/L", "creatinine"): 88.42, ("mg/dL", "mmol/L", "cholesterol"): 0.0259,
     ("lb", "kg", None): 0.4536, ("kg", "lb", None): 2.2046, ("in", "cm", None): 2.54, ("cm", "in", None): 0.3937,
@@ -42,15 +49,8 @@ def numbers(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(NUMBER), F.lit(0)), parse_float)
 
 
-#: Ranges and bounds that are quoted as context, not as facts.
-CONTEXT = (
-    r"(?i)\d+(?:\.\d+)?\s*(?:-|–|—|to)\s*\d+(?:\.\d+)?|[<>≤≥]=?\s*\d+(?:\.\d+)?"
-    r"|\b(?:less|greater|more|lower|higher) than\s+\d+(?:\.\d+)?|\b(?:under|over|at least|at most|up to)\s+\d+(?:\.\d+)?"
-)
-
-
 def fact_numbers(text: Column) -> Column:
-    return numbers(F.regexp_replace(F.coalesce(text, F.lit("")), CONTEXT, " "))
+    return numbers(F.regexp_replace(F.coalesce(text, F.lit("")), W.CONTEXT, " "))
 
 
 def decimals(number: Column) -> Column:
@@ -65,20 +65,18 @@ def number_matches(gold: Column, places: Column, candidates: Column) -> Column:
 
 
 def parse_bp(s: Column) -> Column:
-    pattern = r"^\s*(\d+(?:\.\d+)?)\s*/\s*(\d+(?:\.\d+)?)\s*$"
-    part = lambda k: F.regexp_extract(s, pattern, k).try_cast("double")
-    return F.when(F.regexp_like(s, F.lit(pattern)), F.struct(part(1).alias("systolic"), part(2).alias("diastolic")))
+    part = lambda k: F.regexp_extract(s, PRESSURE, k).try_cast("double")
+    return F.when(F.regexp_like(s, F.lit(PRESSURE)), F.struct(part(1).alias("systolic"), part(2).alias("diastolic")))
 
 
 def reference_range(s: Column) -> Column:
     """low, high and whether each bound is excluded; a null bound is open; null if unreadable."""
-    between, bound = r"^\s*(\d+(?:\.\d+)?)\s*[-–—]\s*(\d+(?:\.\d+)?)\s*$", r"^\s*(<=|>=|<|>|≤|≥)\s*(\d+(?:\.\d+)?)\s*$"
     null = F.lit(None).cast("double")
-    op, value = F.regexp_extract(s, bound, 1), F.regexp_extract(s, bound, 2).try_cast("double")
-    both = F.struct(F.regexp_extract(s, between, 1).try_cast("double").alias("low"), F.regexp_extract(s, between, 2).try_cast("double").alias("high"), F.lit(False).alias("low_strict"), F.lit(False).alias("high_strict"))
+    op, value = F.regexp_extract(s, BOUND, 1), F.regexp_extract(s, BOUND, 2).try_cast("double")
+    both = F.struct(F.regexp_extract(s, BETWEEN, 1).try_cast("double").alias("low"), F.regexp_extract(s, BETWEEN, 2).try_cast("double").alias("high"), F.lit(False).alias("low_strict"), F.lit(False).alias("high_strict"))
     upper = F.struct(null.alias("low"), value.alias("high"), F.lit(False).alias("low_strict"), (op == "<").alias("high_strict"))
     lower = F.struct(value.alias("low"), null.alias("high"), (op == ">").alias("low_strict"), F.lit(False).alias("high_strict"))
-    return F.when(F.regexp_like(s, F.lit(between)), both).when(op.isin("<", "<=", "≤"), upper).when(op.isin(">", ">=", "≥"), lower)
+    return F.when(F.regexp_like(s, F.lit(BETWEEN)), both).when(op.isin("<", "<=", "≤"), upper).when(op.isin(">", ">=", "≥"), lower)
 
 
 def range_state(value: Column, low: Column, high: Column, low_strict: Column, high_strict: Column) -> Column:
@@ -139,8 +137,12 @@ def egfr_raw(creatinine: Column, age: Column, female: Column) -> Column:
     return F.lit(142.0) * power * F.pow(F.lit(0.9938), age) * F.when(female, 1.012).otherwise(1.0)
 
 
+def normal_sex(sex: Column) -> Column:
+    return lookup(F.lower(F.trim(sex)), SEXES)
+
+
 def egfr(creatinine: Column, age: Column, sex: Column) -> Column:
-    kind = lookup(F.lower(F.trim(sex)), {"male": ["male", "m", "man"], "female": ["female", "f", "woman"]})
+    kind = normal_sex(sex)
     error = (
         F.when(~(finite(creatinine) & (creatinine > 0)), "Error: creatinine_mg_dl must be a positive number")
         .when(~(finite(age) & (age == F.floor(age)) & age.between(18, 120)), "Error: age must be an integer between 18 and 120")

@@ -25,6 +25,20 @@ PANELS = {
 }
 VITALS = ["Blood Pressure", "Heart Rate", "Temperature", "Respiratory Rate", "SpO2"]
 
+# Headers of sections, statements on allergies, age, sex and title, a stated BMI.
+HEADER = r"(?i)(?<![A-Za-z])\**\s*(?:{})\s*\**\s*:"
+ALLERGIES = r"(?i)\ballerg(?:y|ies)(?:\s+history)?\s*\**\s*:\s*\**\s*([^\n]*)"
+NO_ALLERGIES = r"(?i)\bNKDA\b|no known (?:drug )?allergies|\bnone known\b|\bno allergies\b"
+ALLERGIES_UNKNOWN = (
+    r"(?i)not (?:documented|recorded|obtained|available|listed|reviewed|assessed|specified|provided)"
+    r"|\bunknown\b|\bunable\b|\bpending\b|\bunclear\b|to be (?:obtained|confirmed|clarified)"
+)
+AGE = r"(?i)\b(\d{1,3})[- ](?:year|yr)s?[- ]old\b"
+SEX = r"(?i)\b(male|female|man|woman|gentleman|lady)\b"
+MALE, FEMALE = ["male", "man", "gentleman"], ["female", "woman", "lady"]
+MALE_TITLE, FEMALE_TITLE = r"\bMr\.", r"\bM(?:s|rs)\."
+STATED_BMI = r"(?i)\bBMI\b[^0-9\n]{0,12}?(\d{2}(?:\.\d+)?)(?!\s*[-–]\s*\d)"
+
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\s]+"), F.lit(0))
@@ -86,7 +100,7 @@ def user_content(note: Column, kind: Column, headers: Column, rows: Column, ques
 
 
 def section_presence(note: Column) -> Column:
-    pairs = [x for name, p in SECTIONS.items() for x in (F.lit(name), F.regexp_like(note, F.lit(rf"(?i)(?<![A-Za-z])\**\s*(?:{p})\s*\**\s*:")))]
+    pairs = [x for name, p in SECTIONS.items() for x in (F.lit(name), F.regexp_like(note, F.lit(HEADER.format(p))))]
     return F.create_map(*pairs)
 
 
@@ -96,26 +110,22 @@ def note_style(note: Column) -> Column:
 
 def allergy_status(note: Column) -> Column:
     """documented, nkda, not_documented, or absent."""
-    header = r"(?i)\ballerg(?:y|ies)(?:\s+history)?\s*\**\s*:\s*\**\s*([^\n]*)"
-    none = r"(?i)\bNKDA\b|no known (?:drug )?allergies|\bnone known\b|\bno allergies\b"
-    unknown = r"(?i)not (?:documented|recorded|obtained|available|listed|reviewed|assessed|specified|provided)|\bunknown\b|\bunable\b|\bpending\b|\bunclear\b|to be (?:obtained|confirmed|clarified)"
-    said = F.regexp_extract(note, header, 1)
+    said = F.regexp_extract(note, ALLERGIES, 1)
     like = lambda t, p: F.regexp_like(t, F.lit(p))
-    of_said = F.when(like(said, unknown), "not_documented").when(like(said, none), "nkda").when(F.btrim(said, F.lit(" .*")) != "", "documented").otherwise("not_documented")
-    return F.when(like(note, header), of_said).when(like(note, none), "nkda").otherwise("absent")
+    of_said = F.when(like(said, ALLERGIES_UNKNOWN), "not_documented").when(like(said, NO_ALLERGIES), "nkda").when(F.btrim(said, F.lit(" .*")) != "", "documented").otherwise("not_documented")
+    return F.when(like(note, ALLERGIES), of_said).when(like(note, NO_ALLERGIES), "nkda").otherwise("absent")
 
 
 def age_sex(note: Column) -> Column:
     """Age; sex within 40 characters after it, else anywhere, else from a title."""
-    age, sex = r"(?i)\b(\d{1,3})[- ](?:year|yr)s?[- ]old\b", r"(?i)\b(male|female|man|woman|gentleman|lady)\b"
-    after = F.regexp_extract(note, r"(?is)\b\d{1,3}[- ](?:year|yr)s?[- ]old\b(.{0,40})", 1)
-    word = F.lower(F.coalesce(F.nullif(F.regexp_extract(after, sex, 1), F.lit("")), F.nullif(F.regexp_extract(note, sex, 1), F.lit(""))))
-    titled = F.when(F.regexp_like(note, F.lit(r"\bMr\.")), "M").when(F.regexp_like(note, F.lit(r"\bM(?:s|rs)\.")), "F")
-    return F.struct(F.regexp_extract(note, age, 1).try_cast("int").alias("age"), F.when(word.isin("male", "man", "gentleman"), "M").when(word.isin("female", "woman", "lady"), "F").otherwise(titled).alias("sex"))
+    after = F.regexp_extract(note, AGE.replace("(?i)", "(?is)").replace("(\\d{1,3})", "\\d{1,3}") + "(.{0,40})", 1)
+    word = F.lower(F.coalesce(F.nullif(F.regexp_extract(after, SEX, 1), F.lit("")), F.nullif(F.regexp_extract(note, SEX, 1), F.lit(""))))
+    titled = F.when(F.regexp_like(note, F.lit(MALE_TITLE)), "M").when(F.regexp_like(note, F.lit(FEMALE_TITLE)), "F")
+    return F.struct(F.regexp_extract(note, AGE, 1).try_cast("int").alias("age"), F.when(word.isin(MALE), "M").when(word.isin(FEMALE), "F").otherwise(titled).alias("sex"))
 
 
 def inline_bmi(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(r"(?i)\bBMI\b[^0-9\n]{0,12}?(\d{2}(?:\.\d+)?)(?!\s*[-–]\s*\d)"), F.lit(1)), lambda x: x.try_cast("double"))
+    return F.transform(F.regexp_extract_all(text, F.lit(STATED_BMI), F.lit(1)), lambda x: x.try_cast("double"))
 
 
 def table_panel(kind: Column, rows: Column) -> Column:

@@ -25,28 +25,29 @@ def found(df):
 
 
 def test_clean_record_has_no_flags(spark):
-    assert Q.run_checks(frame(spark, record())).count() == 0
+    iron = ("labs", LABS[1], [["Serum Iron", "60", "mcg/dL", "60-170"], ["TIBC", "300", "mcg/dL", "250-450"], ["Ferritin", "50", "ng/mL", ">30"], ["Transferrin Saturation", "20", "%", "20-50"]])
+    assert found(Q.run_checks(frame(spark, record(table=iron, answer="Ferritin is 50.")))) == []
     Q.validate(frame(spark, record()))
 
 
 def test_structure(spark):
     bad = frame(spark, record(answer=" ", answer_type="x"), record(id="val_1", table=("labs", ["Test"], [])), record(id="train_2", answer_type="tool_call"))
     details = [d for _, d in found(Q.q1_schema(bad))]
-    assert {"invalid answer", "unknown answer_type", "id does not match split", "invalid table headers", "table has no rows", "tool_calls inconsistent with answer_type"} <= set(details)
+    assert {"no answer", "unknown answer_type", "id of another split", "headers of another kind of table", "empty table", "calls and answer_type disagree"} <= set(details)
     with pytest.raises(ValueError):
         Q.validate(bad)
 
 
 def test_ids(spark):
     got = found(Q.q2_ids(frame(spark, record(), record(), record(id="train_2"), record(id="X"))))
-    assert ("train_0", "duplicate id") in got and ("X", "id is not split_number") in got
+    assert ("train_0", "id occurs again") in got and ("*", "numbers are not 0, 1, 2, ...") in got and ("X", "id is not split_number") in got
 
 
 def test_duplicates_and_contamination(spark):
     long = "word " + " ".join(f"w{k}" for k in range(60))
     rows = frame(spark, record(), record(id="train_1", ord=1), record(id="train_2", ord=2, note=long), record(id="val_0", split="val", note=long + " end"), record(id="val_1", split="val"))
-    assert ("train_1", "exact duplicate of train_0") in found(Q.q3_duplicates(rows))
-    assert any(i == "val_0" and d.startswith("near-duplicate of train_2") for i, d in found(Q.q3_duplicates(rows)))
+    assert ("train_1", "same note and question as train_0") in found(Q.q3_duplicates(rows))
+    assert any(i == "val_0" and d.startswith("note much like that of train_2") for i, d in found(Q.q3_duplicates(rows)))
     assert found(Q.q18_contamination(rows)) == [("val_1", "note and question of train_1")]
 
 
@@ -59,13 +60,49 @@ def test_calls(spark):
 
 def test_text_checks(spark):
     rows = frame(spark, record(answer="It is 777 µg. One. Two. Three. Four.", note=NOTE.replace("29.7", "39.7").replace("58", "12"), table=("labs", LABS[1], [["X", "high", "", "?"]])))
-    for check, n in ((Q.q7_bmi, 1), (Q.q11_numbers, 1), (Q.q13_characters, 1), (Q.q14_cells, 2), (Q.q16_plausible, 1), (Q.q17_length, 1)):
+    for check, n in ((Q.q7_bmi, 1), (Q.q11_numbers, 1), (Q.q14_cells, 3), (Q.q16_plausible, 1), (Q.q17_length, 1)):
         assert check(rows).count() == n, check
 
 
+def test_details_of_checks(spark):
+    bmi = lambda w, h, r=29.7: [("calculate_bmi", {"weight_kg": w, "height_cm": h}, r)]
+    micro = [("unit_convert", {"value": "0.7", "from_unit": "mg/dL", "to_unit": "μmol/L", "substance": "creatinine"}, 61.89)]
+    rows = frame(
+        spark, record(id="train_0", answer="BMI is 29.7.", answer_type="tool_call", calls=bmi("106.4", "189.2")), record(id="train_1", answer="29.7", answer_type="tool_call", calls=bmi("106.4", "190")),
+        record(id="train_2", note="wt 234.6 lb, ht 74.5 in", answer="29.7", answer_type="tool_call", calls=bmi("106.4", "189.3")),
+        record(id="train_3", question="What is the BMI?", answer="Height is not documented.", answer_type="uncertain"),
+        record(id="train_4", answer="150.4 - 100 = 51.4. It is above by 50.4, and by 7.", answer_type="numeric_reasoning"),
+        record(id="train_5", answer="Glucose is 150.4; 1.2 is the bound and 3.5 another."), record(id="train_6", note="Creatinine 0.9 and glucose 150. A man with pregnancy."),
+        record(id="train_7", question="To µmol/L?", answer="61.89", answer_type="tool_call", calls=micro), record(id="train_8", question="What is the glucose?", answer="150.4", answer_type="numeric_reasoning"),
+        record(id="train_9", table=("labs", LABS[1], [["A", "1", "", "3.5-5"]])),
+    )
+    of = lambda check: found(check(rows))
+    assert of(Q.q5_grounding) == [("train_1", "not in the input: height")] and [i for i, _ in of(Q.q6_rounding)] == ["train_2"]
+    assert of(Q.q8_labels) == [("train_3", "said to be missing, but given: height")] and ("train_3", "uncertain, but the note states a BMI") in of(Q.q7_bmi)
+    assert of(Q.q10_arithmetic) == [("train_4", "doesn't hold: 150.4 - 100 = 51.4"), ("train_4", "no such difference: 7")]
+    assert ("train_5", "bound of a range elsewhere: 3.5") in of(Q.q11_numbers) and ("train_9", "not supported: 150.4") in of(Q.q11_numbers)
+    assert of(Q.q12_conflicts) == [("train_6", "Creatinine: note 0.9, table 0.7")] and of(Q.q13_characters) == [("train_7", "U+00B5 in the text, U+03BC in arguments")]
+    assert {i for i, _ in of(Q.q15_templates)} >= {"train_5", "train_8"} and ("train_6", "female condition, male patient") in of(Q.q16_plausible)
+    assert {r["metric"] for f in Q.METRICS.values() for r in f(rows).collect()} >= {"sources", "BMI questions", "characters", "sentences", "stated BMI and computed"}
+    assert {r["check"]: r["status"] for r in Q.summary(Q.run_checks(rows)).collect()}["Q12"] == "warn"
+
+
+def test_arithmetic():
+    from fathomline.functions import arithmetic as A
+
+    assert [(e["kind"], e["ok"]) for e in A.equations("(120 - 100) / 100 × 100 = 20%; 10 / 4 = 2.5; 198.9 / 40 = 4.97x; 7 − 2 = 4; 5 / 0 = 1; 30/60 x 100 = 50 %")] == [("pct_change", True), ("pct", True), ("diff", False), ("ratio", True), ("ratio", True), ("ratio", False)]
+    assert [a["ok"] for a in A.amounts("above by 3.2, divided by 4; by about 9", "from 10 to 6.8", ["1"])] == [True, True]
+    assert A.evaluate("2 + 3 × 4 ÷ 6") == 4.0 and A.evaluate("1 / 0") is None and A.evaluate("__import__('os')") is None and A.evaluate("2 ** 9") is None
+    assert A.false_chains("2 + 3 = 5; 1 / 4 = 25%; 3 * 3 = 10; 9 / 4 = 2.3") == ["3 * 3 = 10"]
+
+
 def test_reference(spark):
-    rows = spark.createDataFrame([("interaction:a:b", "x", "y"), ("interaction:b:a", "x", "y"), ("Odd", "x", "y")], "key string, category string, value string")
-    assert [d for _, d in found(Q.q19_reference(rows))] == ["odd key", "pair in both orders"]
+    rows = spark.createDataFrame([("drug_interaction:a:b", "drug_interaction", "y"), ("drug_interaction:b:a", "drug_interaction", "y"), ("Odd", "x", "y"), ("drug_interaction:c", "drug_interaction", "y"), ("guideline:x", "x", "y")], "key string, category string, value string")
+    got = found(Q.q19_reference(rows))
+    assert ("Odd", "odd key") in got and ("drug_interaction:a:b", "pair under several keys") in got and ("drug_interaction:c", "not two drugs") in got and ("guideline:x", "category of another prefix") in got
+    notes = frame(spark, record(note="Medications: B 5 mg, a, zeta"), record(id="val_0", split="val", note="Medications: a"))
+    got = {(r["metric"], r["key"]): r["value"] for r in Q.q19_coverage(notes, rows).collect()}
+    assert got == {("notes with a pair", "train"): 1.0, ("pairs", "a:b"): 1.0, ("drugs without a key", "zeta"): 1.0}
 
 
 def test_strict_jsonl(spark, tmp_path):
