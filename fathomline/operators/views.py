@@ -35,6 +35,16 @@ def build(records: DataFrame, flagged: DataFrame, review: DataFrame, additions:
     return out
 
 
+def without_gold(records: DataFrame) -> DataFrame:
+    """What a model gets to see: id, note, table, question."""
+    return records.select("id", "note", "table", "question")
+
+
+def sidecar(records: DataFrame) -> DataFrame:
+    """What a model must not see, by id."""
+    return records.select("id", "answer", "answer_type", "tool_calls")
+
+
 def digest(view: DataFrame) -> Column:
     """A digest of each row, for manifests and comparison."""
     return F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(view.columns) if c != "ord"]), {"ignoreNullFields": "false"}), 256)

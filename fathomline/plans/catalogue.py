@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fathomline.plans import kernels, records, relational, statistics  # noqa: F401
+from fathomline.plans import cases, kernels, records, relational, statistics  # noqa: F401
 from fathomline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
