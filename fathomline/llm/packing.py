@@ -4,14 +4,19 @@ Each document (its ids, then an end id) longer than a window gives full windows
 placed online: of all fill levels at which it fits, and a new window, the one that makes the sum of squared counts of
 partially filled windows smallest. The counts are held in an array by level. A window that becomes full is written.
 
-Every task packs what it reads; nothing is shuffled. At its end, and whenever too many windows are open, the open
-windows are closed: their pieces are laid end to end and cut every `window` ids, and the last stretch is cut into powers
-of two, largest first, which need no padding. Every id lies in exactly one piece.
+Every task packs what it reads. The pieces of windows that are open at its end are not done: tasks' remainders are put
+together, in the order of tasks, to pools of about `pool` tokens, and each pool goes on placing them by sum of squares. Only
+what is open at the end of a pool is closed: its pieces are laid end to end and cut every `window` ids, and the last
+stretch is cut into powers of two, largest first, which need no padding. A pool holds whole remainders, and a task that has
+`MOST_OPEN` windows open hands them over and begins anew, so that neither a task nor a pool holds more than a bounded number of
+ids (lengths that don't pack, such as all of 0.6 windows, would else leave every window open). Every id lies in exactly one piece.
 
-Sequence ids are numbered within the task and carry the task's number, so that a task that runs again gives the same.
+Sequence ids are numbered within the task or pool and carry its number, so that one that runs again gives the same. What
+the tasks packed is written to the shared folder before pools are formed.
 
-Tokens come from a public tokenizer whose path is a parameter. It never joins words across white space, so the ids of
-a text are those of its pieces one after the other; each task keeps the ids of pieces it has seen, up to a bound.
+Tokens come from a public tokenizer whose path is a parameter. Where the tokenizer is of the kind known here (lower-cased
+words, digits and other runs, white space never joined), the ids of a text are those of its pieces one after the other, and
+each task keeps the ids of pieces it has seen, up to a bound; every other tokenizer gets whole texts.
 
 Defined results: a null or empty text is the end id alone. Rows that repeat are packed as documents of their own. An
 empty table gives no pieces. A null doc_id is packed like any other. Other columns are ignored.
@@ -19,24 +24,25 @@ empty table gives no pieces. A null doc_id is packed like any other. Other colum
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from itertools import chain
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import rows_of, table
+from .common import materialize, rows_of, table
 
 WINDOW, END_ID = 4096, 2
-#: Pieces whose ids a task keeps, and windows that it may have open.
-KNOWN_PIECES, MOST_OPEN = 250_000, 4096
+#: Pieces whose ids a task keeps, windows that a task may have open, and tokens that make a pool.
+KNOWN_PIECES, MOST_OPEN, POOL = 600_000, 4096, 16 << 20
 #: Texts of these characters are cut into the tokenizer's own pieces here, as it would: lower-cased, then letters, single
 #: digits, and runs of others, white space between. Each of these letters is a letter to the tokenizer, normalised as it
 #: stands, and so is its lower case: capitals whose lower case lies beyond ɏ (Ə, Ɛ, Ɔ) go through the whole tokenizer.
 LETTER = "[a-zß-öø-ɏ]"
-PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{LETTER}+|[0-9]|[^a-zß-öø-ɏ0-9\t-\r ]+")
+PIECE = re.compile(rf"{LETTER}++|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^a-zß-öø-ɏ0-9\t-\r ]++")
 PLAIN = re.compile(rf"[\t-\r -~{''.join(c for c in map(chr, range(0xC0, 0x250)) if re.fullmatch(LETTER, c.lower()))}]*")
 
 
@@ -45,61 +51,100 @@ SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 LETTERS = {b: chr(b) for b in SEEN} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(SEEN)))}
 
 
+#: The kind of tokenizer whose pieces are cut here.
+KIND = {
+    "normalizer": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    "pre_tokenizer": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def is_known_kind(path: str) -> bool:
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = {"normalizer": "normalizers", "pre_tokenizer": "pretokenizers"}
+    plain = all(t["content"].startswith("<|") and not t["normalized"] and not t["lstrip"] and not t["rstrip"] for t in spec["added_tokens"])
+    return plain and spec["model"]["type"] == "BPE" and not spec["model"]["dropout"] and all((spec[k] or {}).get(v) == KIND[k] for k, v in steps.items())
+
+
+class Numbers(dict):
+    """Pieces and their numbers. One that isn't known gets the next number and is noted as new."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        number = self[piece] = len(self)
+        self.new.append(piece)
+        return number
+
+
 class WordIds:
-    """Ids of texts: known pieces are looked up, unknown ones encoded in one batch. Of a text with other characters, words (between white space) that have such are encoded whole."""
+    """Ids of texts: known pieces are looked up, new ones encoded once. Of a text with other characters, words (between white space) that have such are encoded whole."""
 
     def __init__(self, path: str, most: int = KNOWN_PIECES):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most, self.cuts = Tokenizer.from_file(path), most, is_known_kind(path)
         self.forget()
 
     def forget(self) -> None:
         """Pieces are numbered; the ids of all lie in one array, so that a piece takes little more than its text."""
-        self.known: dict[str, int] = {}
+        self.known, self.whole = Numbers(), set()
         self.flat, self.starts, self.sizes = np.zeros(1024, np.uint32), np.zeros(256, np.int32), np.zeros(256, np.int32)
         self.used = 0
 
     def ids_of(self, parts: list[str]) -> list[list[int]]:
         """Pieces go to the tokenizer's model as they are, written in its letters for bytes; whole words through the whole tokenizer."""
-        tokenize, out = self.tokenizer.model.tokenize, []
+        tokenize, whole, out = self.tokenizer.model.tokenize, self.whole, []
         for p in parts:
-            if PLAIN.fullmatch(p) and "<|" not in p:
-                out.append([t.id for t in tokenize(p if p.isascii() else "".join([LETTERS[b] for b in p.encode()]))])
-            else:
+            if p in whole:
                 out.append(self.tokenizer.encode(p, add_special_tokens=False).ids)
+            else:
+                out.append([t.id for t in tokenize(p if p.isascii() else "".join([LETTERS[b] for b in p.encode()]))])
         return out
 
     def cut(self, text: str) -> list[str]:
+        """Pieces of plain text, and words that are not plain: a piece has no such characters, so the two never meet in one string."""
         if PLAIN.fullmatch(text) and "<|" not in text:
             return PIECE.findall(text.lower())
         parts = []
         for word in re.split(r"[\t-\r ]+", text):
-            parts += PIECE.findall(word.lower()) if PLAIN.fullmatch(word) and "<|" not in word else [word]
+            if PLAIN.fullmatch(word) and "<|" not in word:
+                parts += PIECE.findall(word.lower())
+            else:
+                self.whole.add(word)
+                parts.append(word)
         return parts
 
-    def learn(self, new: list[str]) -> None:
+    def learn(self) -> None:
+        new, self.known.new = self.known.new, []
+        n = len(self.known) - len(new)
         for at in range(0, len(new), 4096):
             some = self.ids_of(new[at : at + 4096])
             sizes = np.fromiter(map(len, some), np.int32, len(some))
-            n, total = len(self.known), int(sizes.sum())
+            total = int(sizes.sum())
             self.flat, self.starts, self.sizes = room(self.flat, self.used + total), room(self.starts, n + len(some)), room(self.sizes, n + len(some))
             self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(some), np.uint32, total)
             self.starts[n : n + len(some)] = self.used + np.cumsum(sizes) - sizes
             self.sizes[n : n + len(some)] = sizes
             self.used += total
-            self.known.update(zip(new[at : at + 4096], range(n, n + len(some)), strict=True))
+            n += len(some)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [self.cut(t) if t else [] for t in texts]
-        new = list({p for parts in split for p in parts if p not in self.known})
-        if len(self.known) + len(new) > self.most:
+        if not self.cuts:
+            return [np.array(self.tokenizer.encode(t or "", add_special_tokens=False).ids, np.uint32) for t in texts]
+        if len(self.known) > self.most:
             self.forget()
-            new = list({p for parts in split for p in parts})
-        self.learn(new)
+        number_of, numbers = self.known.__getitem__, []
+        for t in texts:
+            parts = self.cut(t) if t else []
+            numbers.append(np.fromiter(map(number_of, parts), np.int32, len(parts)))
+        self.learn()
         out = []
-        for parts in split:
-            number = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+        for number in numbers:
             sizes = self.sizes[number]
             ends = np.cumsum(sizes)
             out.append(self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[number] - ends + sizes, sizes)])
@@ -114,10 +159,10 @@ def room(array: np.ndarray, size: int) -> np.ndarray:
 
 
 class Packer:
-    """Windows by sum of squares. write(pieces) gets the pieces of a finished window: (key, start, ids, whole length)."""
+    """Windows by sum of squares. write(pieces) gets the pieces of a finished window: (key, start, ids, whole length). Beyond most_open open windows, hand_over(pieces) gets those of all (default: they are closed)."""
 
-    def __init__(self, write, window: int = WINDOW, most_open: int = MOST_OPEN):
-        self.write, self.window, self.most_open = write, window, most_open
+    def __init__(self, write, window: int = WINDOW, most_open: int = MOST_OPEN, hand_over=None):
+        self.write, self.window, self.most_open, self.hand_over = write, window, most_open, hand_over or self.lay
         self.counts = np.zeros(window + 1, np.int64)  # open windows by fill level
         self.open: dict[int, list[list]] = {}
         self.n_open = 0
@@ -163,8 +208,15 @@ class Packer:
         return int(levels[k]) if change[k] <= 2 * counts[size] + 1 else 0
 
     def close(self) -> None:
-        """Write what is open: laid end to end, cut at every full window, the rest at powers of two."""
+        """End all open windows, the fullest first: their pieces are handed over."""
         pieces = [p for level in sorted(self.open, reverse=True) for w in self.open[level] for p in w]
+        self.open, self.n_open = {}, 0
+        self.counts[:] = 0
+        if pieces:
+            self.hand_over(pieces)
+
+    def lay(self, pieces: list) -> None:
+        """Write pieces end to end, cut at every full window, the rest at powers of two."""
         left = sum(len(p[2]) for p in pieces)
         room, now = 0, []
         for key, start, ids, whole in pieces:
@@ -178,50 +230,85 @@ class Packer:
                 if not room:
                     self.write(now)
                     now = []
-        self.open, self.n_open = {}, 0
-        self.counts[:] = 0
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with_ids the ids."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
+FIELDS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
 
-    def kernel(batches):
+
+class Rows:
+    """Pieces as rows of FIELDS. first is the first sequence id; ids are kept with_ids, or while a piece is open (its sequence id is null then)."""
+
+    def __init__(self, first: int, with_ids: bool):
+        self.next, self.with_ids, self.rows, self.handed = first, with_ids, [], 0
+
+    def write(self, pieces: list) -> None:
+        offset = 0
+        for key, start, ids, whole in pieces:
+            crc = zlib.crc32(ids.astype("<u4").tobytes())
+            self.rows.append((key, start, len(ids), crc, whole, self.next, offset, ids.astype(np.int32) if self.with_ids else None))
+            offset += len(ids)
+        self.next += 1
+
+    def hand_over(self, pieces: list) -> None:
+        """Open pieces: no sequence id, and their place in the order of handing over as offset."""
+        self.rows += [(key, start, len(ids), 0, whole, None, self.handed + k, ids.astype(np.int32)) for k, (key, start, ids, whole) in enumerate(pieces)]
+        self.handed += len(pieces)
+
+    def taken(self, key_type, **more):
+        """The rows so far as an Arrow batch; more: constant columns."""
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        task = TaskContext.get().partitionId() << 36
-        done: list[tuple] = []
-        n = 0
+        kinds = [key_type, *[pa.int64()] * 6, pa.list_(pa.int32())]
+        arrays = [pa.array([r[k] for r in self.rows], kind) for k, kind in enumerate(kinds)]
+        arrays += [pa.array(np.full(len(self.rows), v, np.int64)) for v in more.values()]
+        self.rows = []
+        return pa.RecordBatch.from_arrays(arrays, names=[*FIELDS, *more])
+
 
-        def write(pieces):
-            nonlocal n
-            offset = 0
-            for key, start, ids, whole in pieces:
-                done.append((key, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), whole, task + n, offset, *([ids.astype(np.int32)] if with_ids else [])))
-                offset += len(ids)
-            n += 1
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, with_ids: bool = True, pool: int = POOL, most_open: int = MOST_OPEN) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with_ids the ids."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 
-        def taken():
-            arrays = [pa.array([r[k] for r in done], kind) for k, kind in enumerate(kinds)]
-            done.clear()
-            return pa.RecordBatch.from_arrays(arrays, names=names)
+    def in_tasks(batches):
+        from pyspark import TaskContext
 
-        words, packer, kinds = WordIds(tokenizer), Packer(write, window), None
+        task = TaskContext.get().partitionId()
+        words, out, key_type = WordIds(tokenizer), Rows(task << 36, with_ids), None
+        packer = Packer(out.write, window, most_open, out.hand_over)
         for part, (ids, texts) in rows_of(batches, 128):
-            if kinds is None:
-                kinds = [part.column(0).type, *[pa.int64()] * 6, *([pa.list_(pa.int32())] if with_ids else [])]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])]
+            key_type = part.column(0).type
             for key, tokens in zip(ids, words.encode(texts), strict=True):
                 packer.add(key, np.append(tokens, np.uint32(end_id)))
-            if len(done) >= 256:
-                yield taken()
+            if len(out.rows) >= 256:
+                yield out.taken(key_type, task=task)
         packer.close()
-        if done:
-            yield taken()
+        for at in range(0, len(left := out.rows), 256):
+            out.rows = left[at : at + 256]
+            yield out.taken(key_type, task=task)
+
+    def in_pools(group):
+        import pyarrow as pa
 
-    return rows.mapInArrow(kernel, schema)
+        out = Rows((1 << 62) + (group.column("pool")[0].as_py() << 36), with_ids)
+        packer = Packer(out.write, window, most_open)
+        for batch in group.sort_by([("task", "ascending"), ("offset", "ascending")]).to_batches():
+            ids = batch.column("ids")
+            values, ends = ids.flatten().to_numpy().view(np.uint32), np.cumsum(ids.value_lengths().to_numpy())
+            keys, starts, wholes = (batch.column(n).to_pylist() for n in ("doc_id", "start", "doc_tokens"))
+            for key, start, whole, a, b in zip(keys, starts, wholes, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                packer.place((key, start, values[a:b], whole))
+        packer.close()
+        return pa.Table.from_batches([out.taken(group.schema.field("doc_id").type)])
+
+    packed = materialize(rows.mapInArrow(in_tasks, f"{schema}, task long"), "packed")
+    open_pieces = packed.where("sequence_id is null")
+    sizes = open_pieces.groupBy("task").agg(F.sum("length").alias("size"))  # a row for each task
+    before = F.sum("size").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
+    # Written, so that its size is known: if it is small it is broadcast, and remainders are shuffled once.
+    pools = materialize(sizes.select(F.col("task").alias("of"), F.floor(F.coalesce(before, F.lit(0)) / pool).cast("long").alias("pool")), "pools")
+    pooled = open_pieces.join(pools, F.col("task") == F.col("of")).select(*FIELDS, "task", "pool").groupBy("pool").applyInArrow(in_pools, schema)
+    return packed.where("sequence_id is not null").select(*FIELDS).unionByName(pooled).select(*FIELDS[: 7 + with_ids])
 
 
 def tokenizer_path() -> str:
