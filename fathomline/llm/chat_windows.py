@@ -2,10 +2,12 @@ r"""Chat formatting in budgeted windows, in DataFrame operations only.
 
 A conversation becomes one or more windows of at most `budget` tokens. Prefix sums of turn tokens choose the spans:
 each span is a run of whole turns whose prefix sums fall in one bin of half the room, so that a span and its last
-turn always fit; a turn larger than half the room has a window of its own (and alone may exceed the budget: turns are
-never cut). A system turn that opens the conversation is retained in every window. A window after the first repeats
-the turns at the end of the one before that fit in `history` tokens. Repeats are context: only assistant turns that
-are new to a window are under the loss mask, so that each is trained on exactly once.
+turn always fit; a turn larger than half the room has a window of its own. A system turn that opens the conversation is
+retained in every window. A window after the first repeats the turns at the end of the one before that fit in `history`
+tokens and in what its system turn and new turns leave of the budget. So a window exceeds the budget only where its one new
+turn does together with the system turn: turns are never cut. The room is the budget less the system turn and `history`
+(or a quarter of what the system turn leaves, if that is less). Repeats are context: only assistant turns that are new to
+a window are under the loss mask, so that each is trained on exactly once.
 
 A turn is written as `<turn>role\ntext</turn>\n`. Inside role and text a backslash becomes `\b` and `<` becomes `\l`
 (and a line break in a role `\n`), so no text can write a marker, and reading back is exact.
@@ -53,15 +55,18 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, over
         "system_cost": F.first(F.when(F.col("system"), F.col("tokens")).otherwise(0)).over(so_far),
         "system_text": F.first(F.when(F.col("system"), F.col("text"))).over(so_far),
     })
-    t = t.withColumn("half", F.greatest(F.lit(1), F.floor((F.lit(budget - history) - F.col("system_cost")) / 2)))
+    beside = F.lit(budget) - F.col("system_cost")
+    t = t.withColumn("half", F.greatest(F.lit(1), F.floor((beside - F.least(F.lit(history), F.floor(beside / 4))) / 2)))
     t = t.withColumn("large", (F.col("cost") > F.col("half")).cast("int"))
     t = t.withColumn("run", 2 * F.sum("large").over(so_far) - F.col("large"))
     t = t.withColumn("bin", F.when(F.col("large") == 1, F.lit(-1)).otherwise(F.floor((F.col("upto") - F.col("cost")) / F.col("half"))))
     place = F.struct("run", "bin")
     t = t.withColumn("new_window", F.coalesce((F.lag(place).over(in_order) != place) & ~F.lag("system").over(in_order), F.lit(False)).cast("int"))
     t = t.withColumn("window", F.sum("new_window").over(so_far))
-    t = t.withColumn("after", F.max("upto").over(Window.partitionBy("conv_id", "window")) - F.col("upto") + F.col("cost"))
-    tail = ~F.col("system") & (F.col("after") <= history)
+    by_window = Window.partitionBy("conv_id").orderBy("window")
+    t = t.withColumn("end", F.max("upto").over(by_window.rangeBetween(0, 0))).withColumn("next_cost", F.max("upto").over(by_window.rangeBetween(0, 1)) - F.col("end"))
+    t = t.withColumn("after", F.col("end") - F.col("upto") + F.col("cost"))
+    tail = ~F.col("system") & (F.col("after") <= F.least(F.lit(history), beside - F.col("next_cost")))
     at = F.when(tail, F.array(F.struct(F.col("window").alias("window"), F.lit(False).alias("repeat")), F.struct((F.col("window") + 1).alias("window"), F.lit(True).alias("repeat")))).otherwise(F.array(F.struct(F.col("window").alias("window"), F.lit(False).alias("repeat"))))
     placed = t.select("conv_id", "pos", "role", "text", "system", "system_text", F.explode(at).alias("at"))
     entry = F.struct("pos", F.col("at.repeat").alias("repeat"), escape(F.col("role"), True).alias("role"), escape(F.col("text")).alias("text"))
@@ -118,18 +123,19 @@ b AS (SELECT *, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + {OVERHEAD}
 c AS (SELECT *, pos = 1 AND role = 'system' AS system, CASE WHEN pos = 1 AND role = 'system' THEN 0 ELSE tokens END AS cost FROM b),
 d AS (SELECT *, sum(cost) OVER w AS upto, first_value(CASE WHEN system THEN tokens ELSE 0 END) OVER w AS system_cost, first_value(CASE WHEN system THEN text END) OVER w AS system_text
   FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
-e AS (SELECT *, greatest(1, floor(({BUDGET} - {HISTORY} - system_cost) / 2.0)) AS half FROM d),
+e AS (SELECT *, greatest(1, floor(({BUDGET} - system_cost - least({HISTORY}, floor(({BUDGET} - system_cost) / 4.0))) / 2.0)) AS half FROM d),
 f AS (SELECT *, CASE WHEN cost > half THEN 1 ELSE 0 END AS large FROM e),
 g AS (SELECT *, 2 * sum(large) OVER (PARTITION BY conv_id ORDER BY pos) - large AS run FROM f),
 h AS (SELECT *, run::VARCHAR || '/' || (CASE WHEN large = 1 THEN -1 ELSE floor((upto - cost) / half) END)::BIGINT::VARCHAR AS place FROM g),
 i AS (SELECT *, coalesce(lag(place) OVER w <> place AND NOT lag(system) OVER w, false) AS fresh FROM h WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
 j AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY conv_id ORDER BY pos) AS win FROM i),
-k AS (SELECT *, max(upto) OVER (PARTITION BY conv_id, win) - upto + cost AS after, max(win) OVER (PARTITION BY conv_id) AS last_win,
-  14 + length(replace(replace(replace(role, '\', '\b'), '<', '\l'), chr(10), '\n')) + 1 + length(replace(replace(text, '\', '\b'), '<', '\l')) AS chars FROM j)
+j2 AS (SELECT *, max(upto) OVER (PARTITION BY conv_id, win) AS ends, max(upto) OVER (PARTITION BY conv_id ORDER BY win RANGE BETWEEN CURRENT ROW AND 1 FOLLOWING) AS next_ends FROM j),
+k AS (SELECT *, ends - upto + cost AS after, least({HISTORY}, {BUDGET} - system_cost - (next_ends - ends)) AS room, max(win) OVER (PARTITION BY conv_id) AS last_win,
+  14 + length(replace(replace(replace(role, '\', '\b'), '<', '\l'), chr(10), '\n')) + 1 + length(replace(replace(text, '\', '\b'), '<', '\l')) AS chars FROM j2)
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
   sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY pos), '')) AS loss_sha256,
-  sum(chars * (1 + CASE WHEN system THEN last_win WHEN after <= {HISTORY} AND win < last_win THEN 1 ELSE 0 END))::BIGINT AS formatted_chars,
+  sum(chars * (1 + CASE WHEN system THEN last_win WHEN after <= room AND win < last_win THEN 1 ELSE 0 END))::BIGINT AS formatted_chars,
   (max(last_win) + 1)::BIGINT AS n_windows
 FROM k GROUP BY conv_id
 """
