@@ -14,10 +14,13 @@ Every query meets every row, in blocks: the index blocks and the query blocks ar
 query blocks are repeated for every index block and joined to them by its number. A block's result is k rows a query,
 which are ranked once more per query. No task holds more than one block of rows and one of queries.
 
+Rows that repeat both id and vector are one row of the index for up to k + 1 of them (more can't be among the k best), and one
+query that is answered as often as it is there; so a block is bounded by its number of different rows.
+
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part. Vectors only meet those
 of the same length. A null id is a candidate (last among ties), never a query. Rows that repeat an id are candidates
-each; a query doesn't meet rows that carry its own id; repeated query rows give repeated results. Fewer candidates than
-k give all. Scores must fit a long. An empty table gives an empty result. Other columns are ignored.
+each; a query doesn't meet its own row, but others that carry its id; repeated query rows give repeated results (told
+apart by nothing). Fewer candidates than k give all. Scores must fit a long. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -125,11 +128,11 @@ def positions(bitmap: np.ndarray) -> np.ndarray:
 
 
 def blocks(vectors: DataFrame, rows: int, name: str) -> DataFrame:
-    """vectors: id, v. Returns dims, block, n (blocks of that length), payload: ids (null: no id) and values as Arrow bytes."""
+    """vectors: id, v, times; rows differ in id or v. Returns dims, block, n (blocks of that length), payload: ids (null: no id), times and values as Arrow bytes."""
     counts = vectors.groupBy(F.size("v").alias("dims")).agg(F.count(F.lit(1)).alias("rows"))
     counts = counts.select(F.col("dims").alias("of"), F.ceil(F.col("rows") / rows).cast("int").alias("n"))
     spread = F.pmod(F.xxhash64("id", "v"), F.col("n").cast("long")).cast("int")
-    placed = vectors.join(F.broadcast(counts), F.size("v") == F.col("of")).select(F.size("v").alias("dims"), spread.alias("block"), "n", "id", "v")
+    placed = vectors.join(F.broadcast(counts), F.size("v") == F.col("of")).select(F.size("v").alias("dims"), spread.alias("block"), "n", "id", "times", "v")
 
     def kernel(group):
         import pyarrow as pa
@@ -138,7 +141,7 @@ def blocks(vectors: DataFrame, rows: int, name: str) -> DataFrame:
         flat = pa.concat_arrays([c.flatten() for c in group.column("v").chunks])
         least, most = pc.min_max(flat).as_py().values()
         small = next(t for t, b in ((pa.int16(), 15), (pa.int32(), 31), (pa.int64(), 63)) if -(1 << b) <= least and most < 1 << b)
-        part = pa.table({"id": group.column("id"), "v": pa.FixedSizeListArray.from_arrays(flat.cast(small), len(flat) // group.num_rows)})
+        part = pa.table({"id": group.column("id"), "times": group.column("times"), "v": pa.FixedSizeListArray.from_arrays(flat.cast(small), len(flat) // group.num_rows)})
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, part.schema) as out:
             out.write_table(part)
@@ -147,19 +150,22 @@ def blocks(vectors: DataFrame, rows: int, name: str) -> DataFrame:
     return materialize(placed.groupBy("dims", "block").applyInArrow(kernel, "dims int, block int, n int, payload binary"), name)
 
 
-def unpack(payload: bytes) -> tuple[list, np.ndarray]:
+def unpack(payload: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     import pyarrow as pa
 
     data = pa.ipc.open_stream(payload).read_all()
     flat = pa.concat_arrays([c.flatten() for c in data.column("v").chunks])
-    return data.column("id").to_pylist(), flat.to_numpy().reshape(data.num_rows, -1).astype(np.int64)
+    return data.column("id").to_pylist(), data.column("times").to_numpy(), flat.to_numpy().reshape(data.num_rows, -1).astype(np.int64)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
     """For each row where is_query holds: query_id, rank (from 1), vec_id, score."""
     good = vectors.where(usable(F.col(vector_col)))
-    rows = good.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v"))
-    asked = good.where(is_query & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v"))
+    marked = good.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v"), (is_query & F.col(id_col).isNotNull()).alias("asks"))
+    # A row's id and quantised vector say all that matters here, so of equal rows any one is a query's own.
+    distinct = materialize(marked.groupBy("id", "v").agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("asked")), "different")
+    rows = distinct.select("id", "v", F.least("n", F.lit(k + 1)).alias("times"))
+    asked = distinct.where("asked > 0").select("id", "v", F.col("asked").alias("times"))
     index, asks = blocks(rows, block, "index"), blocks(asked, queries, "queries")
     targets = index.select("dims", F.col("n").alias("targets")).distinct()
     sent = asks.join(targets, "dims").select("dims", F.explode(F.sequence(F.lit(0), F.col("targets") - 1)).alias("block"), F.col("block").alias("ask"), F.col("payload").alias("asked"))
@@ -173,24 +179,28 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
             for at in range(batch.num_rows):
                 row = {n: batch.column(n)[at].as_py() for n in ("dims", "block", "ask", "payload", "asked")}
                 if last != (row["dims"], row["block"]):
-                    ids, values = unpack(row["payload"])
-                    order = sorted(range(len(ids)), key=lambda r: (ids[r] is None, ids[r] or 0))
-                    ids, known, last = [ids[r] for r in order], Index(values[order]), (row["dims"], row["block"])
+                    ids, times, values = unpack(row["payload"])
+                    order = np.repeat(order := sorted(range(len(ids)), key=lambda r: (ids[r] is None, ids[r] or 0)), times[order])
+                    ids, values, last = [ids[r] for r in order], values[order], (row["dims"], row["block"])
+                    known = Index(values)
                     own: dict = {}
                     for r, i in enumerate(ids):
                         own.setdefault(i, []).append(r)
                 out = []
-                for number, (q, v) in enumerate(zip(*unpack(row["asked"]), strict=True)):
+                for number, (q, n, v) in enumerate(zip(*unpack(row["asked"]), strict=True)):
                     allowed = known.valid.copy()
                     for r in own.get(q, ()):
-                        allowed[r >> 6] &= ~(np.uint64(1) << np.uint64(r & 63))
-                    out += [(q, row["ask"] * 1_000_000 + number, ids[r], s) for r, s in known.top(v.tolist(), k, allowed)]
-                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(4)], names=["query_id", "ask", "vec_id", "score"])
+                        if np.array_equal(values[r], v):
+                            allowed[r >> 6] &= ~(np.uint64(1) << np.uint64(r & 63))
+                            break
+                    out += [(q, row["ask"] * 1_000_000 + number, n, ids[r], s) for r, s in known.top(v.tolist(), k, allowed)]
+                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(5)], names=["query_id", "ask", "times", "vec_id", "score"])
 
-    found = met.mapInArrow(kernel, "query_id long, ask long, vec_id long, score long")
+    found = met.mapInArrow(kernel, "query_id long, ask long, times long, vec_id long, score long")
     order = Window.partitionBy("query_id", "ask").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    each = ranked.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return each.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,10 +208,10 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS e FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS own, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s)
+s AS (SELECT q.own, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.own <> c.own AND len(q.e) = len(c.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id) AS place FROM s)
 SELECT query_id, place::INTEGER AS rank, vec_id, score FROM r WHERE place <= 5
 """
