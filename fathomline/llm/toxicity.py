@@ -5,10 +5,12 @@ both ends; both embeddings are looked up by hash). Two gated recurrent layers re
 direction, attention pools their states, and a logistic unit gives the window's logit. Windows start every `STRIDE`
 words and cover the whole text; the score of a text comes from its largest logits by a logistic fit.
 
-Training: of the labelled documents at most `MOST_DOCS` of each label are used (least hash of the id first), and of each at
-most `MOST_WINDOWS` windows, spread over the whole text by a seeded draw; these bound what the driver gets. Windows of a
+Training: of the labelled documents at most `most` (MOST_DOCS) of each label are used (least hash of the id first; of rows that
+repeat an id the one with the least text), and of each at most `most_windows` (MOST_WINDOWS, by label) windows, spread over the
+whole text by a seeded draw; these parameters bound what the driver gets, at every size of the input. Windows of a
 toxic document count as toxic in the first epoch; then only those of them go on that look most toxic. A quarter of the
-chosen documents is kept from the network: the logistic fit is made on all of their windows. Documents whose
+chosen documents is kept from the network: the logistic fit is made on all of their windows (if that quarter lacks a label,
+the largest logit is taken as it is, shifted by the odds of the labels). Documents whose
 crc32(doc_id as text) mod 4 is 2 are held out. Only the text enters a score.
 
 Scoring needs no shuffle. A task computes the input of each different word once and keeps up to `KNOWN_WORDS`.
@@ -350,10 +352,11 @@ def training_docs(docs: DataFrame, known: DataFrame, id_col: str, text_col: str,
         picked = some if picked is None else picked.unionByName(some)
     picked = picked.withColumn("for_fit", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(4)) == 0)
     texts = docs.select(F.col(id_col).alias("of"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(F.broadcast(picked), F.col("of") == F.col("id")).select("id", "text", "label", "for_fit")  # at most 2 * most rows without texts
+    found = texts.join(F.broadcast(picked), F.col("of") == F.col("id"))  # at most 2 * most rows without texts
+    return found.groupBy("id", "label", "for_fit").agg(F.min("text").alias("text"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MOST_DOCS) -> dict | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MOST_DOCS, most_windows: dict[int, int] = MOST_WINDOWS) -> dict | None:
     """The network and the logistic fit, or None without documents of both labels."""
     known = labelled(labels, id_col, label_col)
     share = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -369,8 +372,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for i, t, y in zip(ids, texts, marks, strict=True):
                 words = (t or "").split()
                 starts = np.arange(0, max(1, len(words) - WINDOW + STRIDE), STRIDE)
-                if len(starts) > MOST_WINDOWS[y]:
-                    starts = np.sort(np.random.default_rng(zlib.crc32(str(i).encode())).choice(starts, MOST_WINDOWS[y], replace=False))
+                if len(starts) > most_windows[y]:
+                    starts = np.sort(np.random.default_rng(zlib.crc32(str(i).encode())).choice(starts, most_windows[y], replace=False))
                 out += [(str(i), " ".join(words[s : s + WINDOW]), y) for s in starts]
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.int32())], names=["id", "words", "label"])
 
@@ -415,13 +418,13 @@ def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col:
     return top_logits(docs, id_col, text_col, model).select("doc_id", (1 / (1 + F.exp(-logit))).alias("score"))
 
 
-def not_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without those that score `threshold` or more; all columns stay as they are."""
-    model = fit(docs, labels)
+def not_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs without those that score `threshold` or more; all columns stay as they are. options are those of fit."""
+    model = fit(docs, labels, id_col, text_col, **options)
     if model is None:
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    at = docs.columns.index(text_col)
 
     def kernel(batches):
         import pyarrow as pa
@@ -431,7 +434,7 @@ def not_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                tops = scorer.top_logits(part.column(at).to_pylist())
+                tops = scorer.top_logits(part.column(at).cast(pa.string()).to_pylist())
                 yield part.filter(pa.array(sigmoid(features(tops) @ w[:2] + w[2]) < threshold))
 
     return docs.mapInArrow(kernel, docs.schema)
