@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, AtomicType, DataType, NullType, StructField, StructType
 
 #: White space as the contracts count it: space, and tab to carriage return.
 SPACE_RE = r"[\x20\x09-\x0D]+"
@@ -21,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (as in tests) a folder of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset and all run on one machine, as in tests, a folder of our own; on a cluster it has to be set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="fathomline-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -55,3 +58,18 @@ def rows_of(batches, size: int = 256):
         for at in range(0, batch.num_rows, size):
             part = batch.slice(at, size)
             yield part, [column.to_pylist() for column in part.columns]
+
+
+def has_order(kind: DataType) -> bool:
+    """Whether Spark can compare values of this type; maps, for one, it can't."""
+    if isinstance(kind, ArrayType):
+        return has_order(kind.elementType)
+    if isinstance(kind, StructType):
+        return all(has_order(f.dataType) for f in kind.fields)
+    return isinstance(kind, AtomicType | NullType)
+
+
+def orderable(field: StructField) -> Column:
+    """A column, or where Spark can't compare its values their JSON, by which rows can be ordered."""
+    column = F.col(f"`{field.name}`")
+    return column if has_order(field.dataType) else F.to_json(F.struct(column))

@@ -20,18 +20,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_RE, materialize, table, text_of
+from .common import SPACE_RE, has_order, materialize, orderable, table, text_of
 
 
 def normalised(text: str = "text") -> Column:
     return F.regexp_replace(text_of(text), SPACE_RE, " ")
 
 
-def combine(rows: DataFrame, value: Column, salts: int) -> DataFrame:
-    """rows: digest, content and what `value` reads. Returns digest, content, best (the least value), size."""
+def combine(rows: DataFrame, value: Column, salts: int, least=F.min) -> DataFrame:
+    """rows: digest, content and what `value` reads. Returns digest, content, best (of the values by the aggregate `least`), size."""
     local = rows.select("digest", "content", value.alias("value"), (F.spark_partition_id() % salts).alias("salt"))
-    salted = local.groupBy("digest", "content", "salt").agg(F.min("value").alias("value"), F.count(F.lit(1)).alias("n"))
-    return salted.groupBy("digest", "content").agg(F.min("value").alias("best"), F.sum("n").alias("size"))
+    salted = local.groupBy("digest", "content", "salt").agg(least("value").alias("value"), F.count(F.lit(1)).alias("n"))
+    return salted.groupBy("digest", "content").agg(least("value").alias("best"), F.sum("n").alias("size"))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
@@ -61,21 +61,29 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
-    """docs without all but the first (by id, then by the other columns) of equal texts; all columns stay as they are."""
+    """docs without all but the first (by id, then by the other columns, maps by their JSON) of equal texts; all columns stay as they are."""
     content = normalised(text_col)
-    others = [c for c in docs.columns if c not in (id_col, text_col)]
-    # The text travels once: the row holds it only where white space or null make it differ from the content.
-    row = F.struct(
-        F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"),
-        F.col(text_col).isNull().alias("no_text"), F.when(F.col(text_col) != content, F.col(text_col)).alias("text"),
-        *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)],
-    )
-    rows = docs.select(content.alias("content"), row.alias("row")).withColumn("digest", F.unhex(F.sha2("content", 256)))
-    best = combine(rows, F.col("row"), salts)
-    at = {c: F.col(f"best.c{k}") for k, c in enumerate(others)}
-    at[id_col] = F.col("best.id")
-    at[text_col] = F.when(~F.col("best.no_text"), F.coalesce(F.col("best.text"), F.col("content")))
-    return best.select(*[at[c].alias(c) for c in docs.columns])
+    others = [f for f in docs.schema.fields if f.name not in (id_col, text_col)]
+
+    def row(column):
+        # The text travels once: the row holds it only where white space or null make it differ from the content.
+        return F.struct(
+            F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"),
+            F.col(text_col).isNull().alias("no_text"), F.when(F.col(text_col) != content, F.col(text_col)).alias("text"),
+            *[column(f).alias(f"c{k}") for k, f in enumerate(others)],
+        )
+
+    whole = row(lambda f: F.col(f"`{f.name}`"))
+    if all(has_order(f.dataType) for f in others):
+        value, least, at = whole, F.min, "best"
+    else:
+        value, least, at = F.struct(row(orderable).alias("order"), whole.alias("row")), lambda c: F.min_by(c, f"{c}.order"), "best.row"
+    rows = docs.select(content.alias("content"), value.alias("row")).withColumn("digest", F.unhex(F.sha2("content", 256)))
+    best = combine(rows, F.col("row"), salts, least)
+    columns = {f.name: F.col(f"{at}.c{k}") for k, f in enumerate(others)}
+    columns[id_col] = F.col(f"{at}.id")
+    columns[text_col] = F.when(~F.col(f"{at}.no_text"), F.coalesce(F.col(f"{at}.text"), F.col("content")))
+    return best.select(*[columns[c].alias(c) for c in docs.columns])
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
