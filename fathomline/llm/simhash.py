@@ -8,7 +8,7 @@ within distance 3; x and y at distance 1 share the nearest codeword of x if y br
 distance 4, of which there are one or six. The join therefore has two sides: one gives the nearest codeword, the other
 all that are near. Candidates are compared bit by bit, so the links are exactly the pairs at 3 bits or fewer.
 
-Equal fingerprints are one node. Links join into components by alternating large and small stars, each round written
+Equal fingerprints are one node. A node has at most 43,744 others within 3 bits, whatever the number of documents. Links join into components by alternating large and small stars, each round written
 to the shared folder; nothing is gathered on the driver but the number of links and a checksum.
 
 Defined results: a null text is empty; texts without words have fingerprint zero and are linked like any other. Rows
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import materialize, rows_of, table
+from .common import materialize, orderable, rows_of, table
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
 
@@ -168,11 +168,16 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
+def spread(nodes: DataFrame) -> DataFrame:
+    """Nodes over as many tasks as a shuffle has: each of them makes some forty rows."""
+    return nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segments: int = 4) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint, component_id."""
     prints = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(prints.select("fp").distinct(), segments))
+    nodes = materialize(spread(prints.groupBy("fp").agg(F.min("doc_id").alias("first"))), "nodes")
+    roots = components(links(nodes, segments))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     rooted = materialize(rooted, "roots")
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -187,9 +192,9 @@ def first_of(rows: DataFrame, key: str, order: list) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segments: int = 4) -> DataFrame:
-    """One row of docs for each component, whole and as it was: the one with the least doc_id (null after all others), then the least other columns, then the least text."""
-    others = [c for c in docs.columns if c not in (id_col, text_col)]
-    order = [F.col(f"`{id_col}`").asc_nulls_last(), *[F.col(f"`{c}`") for c in others], F.col(f"`{text_col}`")]
+    """One row of docs for each component, whole and as it was: the one with the least doc_id (null after all others), then the least other columns (maps by their JSON), then the least text."""
+    others = [f for f in docs.schema.fields if f.name not in (id_col, text_col)]
+    order = [F.col(f"`{id_col}`").asc_nulls_last(), *map(orderable, others), F.col(f"`{text_col}`")]
     fp, node, root = (name + "_" * max(map(len, docs.columns)) for name in ("fp", "node", "root"))
     names, at = [*docs.columns, fp], docs.columns.index(text_col)
 
@@ -203,7 +208,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(prints, pa.int64())], names=names)
 
     rows = materialize(docs.mapInArrow(kernel, StructType([*docs.schema.fields, StructField(fp, LongType())])), "printed")
-    roots = components(links(rows.select(F.col(fp).alias("fp")).distinct(), segments)).toDF(node, root)
+    nodes = materialize(spread(rows.select(F.col(fp).alias("fp")).distinct()), "nodes")
+    roots = components(links(nodes, segments)).toDF(node, root)
     heads = first_of(rows, fp, order).join(roots, F.col(fp) == F.col(node), "left").withColumn(root, F.coalesce(root, fp))
     return first_of(heads, root, order).select(*[F.col(f"`{c}`") for c in docs.columns])
 
