@@ -77,9 +77,12 @@ def bins(score: Column, n: int) -> Column:
     return F.least(F.floor(score * n), F.lit(n - 1)).cast("int")
 
 
-def reliability(df: DataFrame, score: str, label: str, n: int = 10) -> DataFrame:
-    rows = df.groupBy(bins(F.col(score), n).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("p"), F.avg(F.col(label).cast("double")).alias("y"))
-    return rows.select("bin", "n", F.round("p", 6).alias("mean_p"), F.round("y", 6).alias("rate"), (F.abs(F.col("p") - F.col("y")) * F.col("n")).alias("gap"))
+def reliability(df: DataFrame, score: str, label: str, n: int = 10, second: str | None = None) -> DataFrame:
+    """Bins with mean score and rate of the label, and of a second label (rate2)."""
+    more = [F.avg(F.col(second).cast("double")).alias("y2")] if second else []
+    rows = df.groupBy(bins(F.col(score), n).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("p"), F.avg(F.col(label).cast("double")).alias("y"), *more)
+    rates = [F.round("y2", 6).alias("rate2")] if second else []
+    return rows.select("bin", "n", F.round("p", 6).alias("mean_p"), F.round("y", 6).alias("rate"), *rates, (F.abs(F.col("p") - F.col("y")) * F.col("n")).alias("gap"))
 
 
 def ece(df: DataFrame, score: str, label: str, n: int = 10) -> DataFrame:
@@ -136,22 +139,83 @@ def paired_outcomes(a: Column, b: Column) -> list[Column]:
     return [F.count_if(~a & b).alias("fixed"), F.count_if(a & ~b).alias("broken"), F.count_if(~a & ~b).alias("both_wrong"), F.count_if(a & b).alias("both_right")]
 
 
-def bootstrap(df: DataFrame, id_col: str, value: str, resamples: int = 200, seed: int = 17, by: list[str] | None = None) -> DataFrame:
-    """Percentile interval of the mean by a Poisson bootstrap: each row enters a resample as often as a hash of id, resample and seed says.
+def resampled(df: DataFrame, value: str, by: list[str], resamples: int, seed: int) -> DataFrame:
+    """Poisson bootstrap of sums: by, resample, w (rows drawn), s (their sum).
 
-    That needs no row by its number, so it runs in one pass: rows are exploded by resample and summed before they shuffle."""
+    A resample draws each row Poisson(1) times, so rows of equal value together Poisson(count) times: values are counted first, and each different
+    value of a group is drawn once a resample, whatever the number of rows. Draws depend on group, value and seed alone."""
+    cells = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    cells = cells.select(*by, "x", "n", F.xxhash64(*by, "x", F.lit(seed)).alias("key"))
+    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema.fields if f.name in by)
+
+    def kernel(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            drawn = [np.random.default_rng(key % (1 << 64)).poisson(n, resamples) for key, n in zip(batch.column("key").to_pylist(), batch.column("n").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(b) for b in by], batch.column("x"), pa.array(drawn, pa.list_(pa.int64()))], names=[*by, "x", "w"])
+
+    weights = cells.mapInArrow(kernel, f"{keys + ', ' if by else ''}x double, w array<bigint>").select(*by, "x", F.posexplode("w").alias("resample", "w"))
+    return weights.groupBy(*by, "resample").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("x")).alias("s"))
+
+
+def interval(means: DataFrame, column: str, by: list[str]) -> DataFrame:
+    return means.groupBy(*by).agg(nearest_rank(column, 0.025).alias("low"), nearest_rank(column, 0.975).alias("high"), F.count(column).alias("resamples"))
+
+
+def bootstrap(df: DataFrame, value: str, resamples: int = 1000, seed: int = 17, by: list[str] | None = None) -> DataFrame:
+    """Percentile interval of the mean."""
+    by = by or []
+    return interval(resampled(df, value, by, resamples, seed).withColumn("m", F.try_divide("s", F.col("w").cast("double"))), "m", by)
+
+
+def paired_bootstrap(pairs: DataFrame, a: str, b: str, resamples: int = 1000, seed: int = 17, by: list[str] | None = None) -> DataFrame:
+    """Of rows with the outcomes of two runs on the same item: n, both rates, their difference b - a, and its percentile interval (items are drawn, not outcomes)."""
     by = by or []
-    u = F.pmod(F.xxhash64(id_col, "resample", F.lit(seed)), F.lit(1 << 40)).cast("double") / F.lit(float(1 << 40))
-    tail, weight, term = 0.0, F.lit(0), 2.718281828459045**-1
-    for k in range(12):
-        tail += term
-        weight = weight + F.when(u >= tail, 1).otherwise(0)
-        term /= k + 1
-    drawn = df.select(*by, id_col, F.col(value).cast("double").alias("x"), F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("resample")).withColumn("w", weight)
-    means = drawn.groupBy(*by, "resample").agg(F.try_divide(F.sum(F.col("w") * F.col("x")), F.sum("w").cast("double")).alias("m"))
-    return means.groupBy(*by).agg(nearest_rank("m", 0.025).alias("low"), nearest_rank("m", 0.975).alias("high"), F.count("m").alias("resamples"))
+    both = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, F.col(a).cast("double").alias("xa"), F.col(b).cast("double").alias("xb"))
+    sums = both.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("xa"), 4).alias("a"), F.round(F.avg("xb"), 4).alias("b"), F.round(F.avg(F.col("xb") - F.col("xa")), 4).alias("diff"))
+    bounds = bootstrap(both.withColumn("d", F.col("xb") - F.col("xa")), "d", resamples, seed, by)
+    return sums.join(bounds, by) if by else sums.crossJoin(bounds)  # one row each
+
+
+def macro_bootstrap(df: DataFrame, value: str, group: str, resamples: int = 1000, seed: int = 17) -> DataFrame:
+    """Percentile interval of the unweighted mean of group means: groups are resampled by themselves, the mean is taken in each resample."""
+    means = resampled(df, value, [group], resamples, seed).withColumn("m", F.try_divide("s", F.col("w").cast("double")))
+    macro = means.groupBy("resample").agg(F.avg("m").alias("macro"), F.count("m").alias("groups"))
+    return macro.agg(nearest_rank("macro", 0.025).alias("low"), nearest_rank("macro", 0.975).alias("high"), F.max("groups").alias("groups"))
 
 
 def tri_state(outcomes: Column) -> Column:
     """fail if any fails; review if there is none or any needs review; else pass."""
     return F.when(F.exists(outcomes, lambda o: o == "fail"), "fail").when((F.size(outcomes) == 0) | F.exists(outcomes, lambda o: o == "review"), "review").otherwise("pass")
+
+
+def typed_aggregate(scores: DataFrame) -> DataFrame:
+    """Rates of typed verdicts (answer_type, correct, before, expected, checks of kind and ok, name_ok, outcome_ok) as rows of metric, k, n, rate:
+    by type the new and the former verdict, by kind of check, and for calls a funnel whose later steps count only where they apply."""
+    def rows(df: DataFrame, metric, flag) -> DataFrame:
+        r = rate(flag)
+        return df.groupBy(metric.alias("metric")).agg(r["k"].alias("k"), r["n"].alias("n"), r["rate"].alias("rate"))
+
+    tool, call = scores.where("answer_type = 'tool_call'"), scores.where("answer_type = 'tool_call' and expected = 'call'")
+    kinds = scores.select(F.explode("checks").alias("c"))
+    parts = [
+        rows(scores, F.concat(F.col("answer_type"), F.lit(" now")), F.col("correct")), rows(scores, F.concat(F.col("answer_type"), F.lit(" before")), F.col("before")),
+        rows(kinds, F.concat(F.lit("check "), F.col("c.kind")), F.col("c.ok")), rows(tool, F.concat(F.lit("expected "), F.col("expected")), F.col("correct")),
+        rows(call, F.lit("name if called"), F.col("name_ok")), rows(call, F.lit("outcome if called"), F.col("outcome_ok")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def resolved(rows: DataFrame, status: str, by: list[str]) -> DataFrame:
+    """Of pass, fail and review: how many are resolved (not for review), and how many of these pass."""
+    is_ = lambda v: F.col(status) == v
+    done = F.count_if(~is_("review"))
+    return rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), done.alias("resolved"), F.count_if(is_("pass")).alias("passed"), F.round(F.try_divide(done.cast("double"), F.count(F.lit(1)).cast("double")), 4).alias("coverage"),
+        F.round(F.try_divide(F.count_if(is_("pass")).cast("double"), done.cast("double")), 4).alias("rate"),
+    )

@@ -11,23 +11,21 @@ from fathomline.plans.registry import query
 from fathomline.sources.tables import read
 
 
-@query("SELECT p_partkey, round((p_size * 3 + 40) * CASE p_partkey % 3 WHEN 0 THEN 0.4536 WHEN 1 THEN 2.54 ELSE 0.0555 END::DOUBLE, 2)::DOUBLE AS result, CASE WHEN p_partkey % 7 = 0 THEN 'x' END AS none FROM part WHERE p_partkey % 7 <> 0")
-def unit_convert(spark, sf_dir):
-    kind = F.col("p_partkey") % 3
-    source = F.when(kind == 0, " LBS ").when(kind == 1, "inches").otherwise("mg/dL")
-    target = F.when(kind == 0, "kg").when(kind == 1, "cm").otherwise("mmol/L")
-    rows = read(spark, sf_dir, "part").select("p_partkey", C.unit_convert((F.col("p_size") * 3 + 40).cast("double"), source, target, F.when(kind == 2, "Fasting  glucose")).alias("r"))
-    return rows.where("p_partkey % 7 <> 0").select("p_partkey", "r.result", F.col("r.error").alias("none"))
+# The nine formulas, a substance that has none, and a pair of units that has none, with spellings that differ.
+CONVERSIONS = [
+    (" LBS ", "kg", None, "x * 0.4536"), ("kilograms", "lb", None, "x * 2.2046"), ("inches", "cm", None, "x * 2.54"), ("cm", '"', "glucose", "x * 0.3937"), ("mg/dL", "mmol/L", "Fasting  glucose", "x * 0.0555"),
+    ("mg/dl", "µmol/L", "creatinine", "x * 88.42"), ("MG/DL", "mmol/l", "total cholesterol", "x * 0.0259"), ("°F", "C", None, "(x - 32) * 5 / 9"), ("celsius", "f", None, "x * 9 / 5 + 32"),
+    ("mg/dL", "mmol/L", "urea", None), ("kg", "cm", None, None),
+]
+CONVERTED = " ".join(f"WHEN {k} THEN {formula.replace('x', '(p_size * 3 + 40)::DOUBLE')}" for k, (*_, formula) in enumerate(CONVERSIONS) if formula)
 
 
-@query("SELECT p_partkey, round((p_size * 3 + 40) * CASE p_partkey % 3 WHEN 0 THEN 0.4536 WHEN 1 THEN 2.54 ELSE 0.0555 END::DOUBLE, 2)::DOUBLE AS result, NULL::VARCHAR AS none FROM part")
-def unit_convert_all(spark, sf_dir):
-    """As unit_convert, but every part."""
-    kind = F.col("p_partkey") % 3
-    source = F.when(kind == 0, " LBS ").when(kind == 1, "inches").otherwise("mg/dL")
-    target = F.when(kind == 0, "kg").when(kind == 1, "cm").otherwise("mmol/L")
-    rows = read(spark, sf_dir, "part").select("p_partkey", C.unit_convert((F.col("p_size") * 3 + 40).cast("double"), source, target, F.when(kind == 2, "Fasting  glucose")).alias("r"))
-    return rows.select("p_partkey", "r.result", F.col("r.error").alias("none"))
+@query(f"SELECT p_partkey, round(CASE p_partkey % {len(CONVERSIONS)} {CONVERTED} END, 2)::DOUBLE AS result, p_partkey % {len(CONVERSIONS)} >= 9 AS failed FROM part")
+def unit_convert(spark, sf_dir):
+    kind = F.col("p_partkey") % len(CONVERSIONS)
+    pick = lambda at: F.element_at(F.array(*[F.lit(c[at]).cast("string") for c in CONVERSIONS]), (kind + 1).cast("int"))
+    rows = read(spark, sf_dir, "part").select("p_partkey", C.unit_convert((F.col("p_size") * 3 + 40).cast("double"), pick(0), pick(1), pick(2)).alias("r"))
+    return rows.select("p_partkey", "r.result", F.col("r.error").isNotNull().alias("failed"))
 
 
 @query("SELECT p_partkey, round((p_size + 45) / pow((150 + p_partkey % 50) / 100.0::DOUBLE, 2), 1)::DOUBLE AS result FROM part")
@@ -125,15 +123,8 @@ def sha_manifest(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.sha2(text, 256).alias("sha256"), F.length(text).alias("chars"), X.approx_tokens(text).alias("tokens"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '[^\\s]+'))::INTEGER AS words, CASE WHEN instr(text, '**') > 0 THEN 'markdown' ELSE 'plain' END AS style, left(regexp_replace(regexp_replace(text, '[0-9]+([.][0-9]+)?', '#', 'g'), '\\s+', ' ', 'g'), 40) AS masked FROM documents")
-def text_features(spark, sf_dir):
-    text = F.col("text")
-    return read(spark, sf_dir, "documents").select("doc_id", X.word_count(text).alias("words"), X.note_style(text).alias("style"), F.substring(F.regexp_replace(X.mask_numbers(text), r"\s+", " "), 1, 40).alias("masked"))
-
-
 @query("SELECT doc_id, len(regexp_extract_all(text, '[^\\s]+'))::INTEGER AS words, CASE WHEN instr(text, '**') > 0 THEN 'markdown' ELSE 'plain' END AS style, regexp_replace(regexp_replace(text, '[0-9]+([.][0-9]+)?', '#', 'g'), '[ \\t-\\r]+', ' ', 'g') AS masked FROM documents")
-def text_features_whole(spark, sf_dir):
-    """As text_features, but the whole masked text."""
+def text_features(spark, sf_dir):
     text = F.col("text")
     return read(spark, sf_dir, "documents").select("doc_id", X.word_count(text).alias("words"), X.note_style(text).alias("style"), F.regexp_replace(X.mask_numbers(text), r"\s+", " ").alias("masked"))
 

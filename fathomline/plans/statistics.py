@@ -167,14 +167,29 @@ def sign_test(spark, sf_dir):
 
 @query()
 def bootstrap_ci(spark, sf_dir):
-    return S.bootstrap(scored(spark, sf_dir), "doc_id", "toxic", by=["lang"])
+    """Paired: of the difference between two cuts of one score, by language."""
+    a, b = (F.col("p") >= 0.5) == F.col("toxic"), (F.col("p") >= 0.3) == F.col("toxic")
+    return S.paired_bootstrap(scored(spark, sf_dir).select("lang", a.alias("a"), b.alias("b")), "a", "b", by=["lang"])
 
 
 @query()
 def bootstrap_macro_ci(spark, sf_dir):
-    """Of the unweighted mean over languages: each language is resampled by itself."""
-    rows = S.bootstrap(scored(spark, sf_dir), "doc_id", "toxic", by=["lang"])
-    return rows.agg(F.avg("low").alias("low"), F.avg("high").alias("high"), F.count(F.lit(1)).alias("groups"))
+    """Of the unweighted mean over languages."""
+    return S.macro_bootstrap(scored(spark, sf_dir), "toxic", "lang")
+
+
+@query(f"""WITH {SCORED_SQL}, a AS (SELECT lang, ((p >= 0.5) = toxic)::INT AS a, ((p >= 0.3) = toxic)::INT AS b FROM scored)
+SELECT lang, count(*)::BIGINT AS n, round(avg(a), 4)::DOUBLE AS a, round(avg(b), 4)::DOUBLE AS b, round(avg(b - a), 4)::DOUBLE AS diff FROM a GROUP BY lang""")
+def paired_difference(spark, sf_dir):
+    """The part of the paired comparison that draws nothing."""
+    return bootstrap_ci(spark, sf_dir).select("lang", "n", "a", "b", "diff")
+
+
+@query("""SELECT o_orderpriority, count(*)::BIGINT AS n, count_if(o_orderstatus <> 'P')::BIGINT AS resolved, count_if(o_orderstatus = 'F')::BIGINT AS passed, round(count_if(o_orderstatus <> 'P')::DOUBLE / count(*), 4)::DOUBLE AS coverage,
+  round(count_if(o_orderstatus = 'F')::DOUBLE / nullif(count_if(o_orderstatus <> 'P'), 0), 4)::DOUBLE AS rate FROM orders GROUP BY 1""")
+def resolved_coverage(spark, sf_dir):
+    status = F.when(F.col("o_orderstatus") == "P", "review").when(F.col("o_orderstatus") == "F", "pass").otherwise("fail")
+    return S.resolved(read(spark, sf_dir, "orders").withColumn("status", status), "status", ["o_orderpriority"])
 
 
 @query("""WITH c AS (SELECT o_orderkey, list(CASE WHEN l_returnflag = 'R' AND l_discount > 0.09 THEN 'fail' WHEN l_linestatus = 'F' THEN 'review' ELSE 'pass' END) FILTER (WHERE l_orderkey IS NOT NULL) AS o FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey)

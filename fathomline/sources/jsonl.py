@@ -10,7 +10,9 @@ import json
 import math
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -68,9 +70,14 @@ def with_status(df: DataFrame, column: str, name: str = "error") -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line (from 1), text. A file's lines are read as one value: a line's number depends on all before it."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\n").alias("lines"))
-    return files.select("file", F.posexplode("lines").alias("at", "text")).select("file", (F.col("at") + 1).alias("line"), F.regexp_replace("text", "\r$", "").alias("text"))
+    """file, line (from 1), text. Large files are read in splits: lines are numbered within their split, and splits by the lines before them."""
+    meta = F.col("_metadata")
+    lines = spark.read.option("lineSep", "\n").text(path).select(meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select("file", "block", "first", F.coalesce(before, F.lit(0)).alias("before"))  # a row for each split, of 128 MB by default
+    number = (F.col("at") - F.col("first") + F.col("before") + 1).cast("long")
+    return lines.join(F.broadcast(blocks), ["file", "block"]).select("file", number.alias("line"), F.regexp_replace("value", "\r$", "").alias("text"))
 
 
 def problems(spark: SparkSession, path: str) -> DataFrame:
@@ -89,6 +96,22 @@ def read_lenient(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def read_splits(spark: SparkSession, paths: dict[str, str], schema: str, check: Callable[[DataFrame], None] | None = None) -> DataFrame:
+    """Records of several splits, each with its split and its place (ord) in it. `check` gets all of them and raises if they are not as they should be."""
+    out = None
+    for split, path in paths.items():
+        one = read_strict(spark, path, schema).withColumn("split", F.lit(split))
+        out = one if out is None else out.unionByName(one)
+    if check:
+        check(out)
+    return out
+
+
+def read_reference(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of a reference table: key, category, value."""
+    return read_strict(spark, path, "key string, category string, value string", order=None)
+
+
 def write(df: DataFrame, path: str, force: bool = False) -> None:
     """One JSON object a line, nulls kept, text as it is. Refuses to overwrite unless told to."""
     df.write.mode("overwrite" if force else "errorifexists").option("ignoreNullFields", "false").json(path)
