@@ -105,7 +105,11 @@ def near_best(df: DataFrame, metric: str, band: float, then: list[Column]) -> Da
 
 def hash_order(id_col: str, seed: str) -> Column:
     """A fixed shuffle: rows in the order of this digest."""
-    return F.sha2(F.concat(F.col(id_col).cast("string"), F.lit(seed)), 256)
+    return hash_order_of(F.col(id_col).cast("string"), seed)
+
+
+def hash_order_of(key: Column, seed: str) -> Column:
+    return F.sha2(F.concat(key, F.lit(seed)), 256)
 
 
 def largest_remainder(weights: DataFrame, key: str, weight: str, total: int) -> DataFrame:
