@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.functions import clinical as C
@@ -48,9 +48,9 @@ def eligible(records: DataFrame) -> DataFrame:
 
 def numbered(records: DataFrame, seed: str, prefix: str) -> DataFrame:
     """Records in a seeded order with at (from 0), an id of their own and a question in turn."""
-    placed = records.withColumn("at", F.row_number().over(Window.orderBy(R.hash_order("id", seed), "id")) - 1)
+    placed = R.shuffled(records, R.hash_order("id", seed), [F.col("id")], "at")
     question = F.element_at(F.array(*map(F.lit, QUESTIONS)), (F.col("at") % len(QUESTIONS) + 1).cast("int"))
-    return placed.withColumns({"source_id": F.col("id"), "id": F.concat(F.lit(prefix), F.lpad(F.col("at").cast("string"), 4, "0")), "question": question})
+    return placed.withColumns({"source_id": F.col("id"), "id": F.concat(F.lit(prefix), F.format_string("%04d", "at")), "question": question})
 
 
 def positives(records: DataFrame, seed: str = "0", prefix: str = "pos_") -> DataFrame:
@@ -221,7 +221,7 @@ def packet(answers: DataFrame, seed: str) -> tuple[DataFrame, DataFrame]:
     if answers.where(F.contains(F.lower("label"), F.lit("test"))).limit(1).count():
         raise ValueError("labels of the test split are not for audits")
     key = F.concat_ws("/", "label", F.col("id").cast("string"))
-    placed = answers.withColumn("item", F.concat(F.lit("n_"), F.lpad((F.row_number().over(Window.orderBy(R.hash_order_of(key, seed), "label", "id")) - 1).cast("string"), 5, "0")))
+    placed = R.shuffled(answers, R.hash_order_of(key, seed), [F.col("label"), F.col("id")], "at").withColumn("item", F.format_string("n_%05d", "at")).drop("at")
     return placed.drop("label", "id"), placed.select("item", "label", "id")
 
 

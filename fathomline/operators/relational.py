@@ -112,6 +112,24 @@ def hash_order_of(key: Column, seed: str) -> Column:
     return F.sha2(F.concat(key, F.lit(seed)), 256)
 
 
+def placed(df: DataFrame, group: list[str], part: Column, order: list[Column], name: str) -> DataFrame:
+    """df with each row's place (from 0) in its group, in an order of which `part` is the coarse first key. Rows are ranked within their part, and
+    parts by the rows before them, so that no task holds more than a part of a group."""
+    rows = df.withColumn("__part", part)
+    sums = rows.groupBy(*group, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sums.select(*[F.col(g).alias(f"__{g}") for g in group], F.col("__part").alias("__of"), before.alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(*group, "__part").orderBy(*order))
+    same = [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group] + [F.col("__part").eqNullSafe(F.col("__of"))]
+    return rows.withColumn("__i", inside).join(offsets, same).withColumn(name, (F.col("__i") + F.col("__before") - 1).cast("long")).select(*df.columns, name)
+
+
+def shuffled(df: DataFrame, digest: Column, then: list[Column], name: str) -> DataFrame:
+    """df with places (from 0) in the order of a digest of hexadecimal digits, that is in a fixed random order."""
+    rows = df.withColumn("__digest", digest)
+    return placed(rows, [], F.substring("__digest", 1, 3), [F.col("__digest"), *then], name).drop("__digest")
+
+
 def largest_remainder(weights: DataFrame, key: str, weight: str, total: int) -> DataFrame:
     """Whole shares of `total` in proportion: floors, and one more for the largest remainders (ties: least key). One row a key."""
     quota = F.col(weight).cast("double") * total / F.sum(weight).over(Window.partitionBy())

@@ -55,11 +55,10 @@ def union_view(spark, sf_dir):
 
 @query("SELECT a.conv_id, a.turn, a.text AS call, b.text AS result FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user'")
 def zip_calls(spark, sf_dir):
-    """Each user turn with the turn after it, by position in arrays; none: null."""
-    turns = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    pairs = F.arrays_zip(F.col("t").alias("a"), F.slice("t", 2, F.size("t")).alias("b"))
-    rows = turns.select("conv_id", F.explode(pairs).alias("p")).where("p.a.role = 'user'")
-    return rows.select("conv_id", "p.a.turn", F.col("p.a.text").alias("call"), F.when(F.col("p.b.turn") == F.col("p.a.turn") + 1, F.col("p.b.text")).alias("result"))
+    """Each user turn with the turn after it; none: null."""
+    by = Window.partitionBy("conv_id").orderBy("turn")
+    turns = read(spark, sf_dir, "conversations").withColumns({"next_turn": F.lead("turn").over(by), "next_text": F.lead("text").over(by)})
+    return turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("call"), F.when(F.col("next_turn") == F.col("turn") + 1, F.col("next_text")).alias("result"))
 
 
 @query("SELECT doc_id, first_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text, lang) AS first_id FROM documents) WHERE doc_id <> first_id")
@@ -212,10 +211,14 @@ def tie_band_select(spark, sf_dir):
 
 @query("SELECT lang, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS place, count(*) OVER (PARTITION BY lang) AS n FROM documents) WHERE place = n // 2 + 1")
 def median_representative(spark, sf_dir):
+    """The document of median length: lengths are counted, and only documents of that one length are ordered by id."""
     rows = read(spark, sf_dir, "documents").select("lang", "doc_id", "n_chars")
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("n_chars", "doc_id"))).join(counts, "lang")
-    return placed.where(F.col("place") == F.floor(F.col("n") / 2) + 1).select("lang", "doc_id", "n_chars")
+    counts = rows.groupBy("lang", "n_chars").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("lang").orderBy("n_chars"))
+    middle = F.floor(F.sum("n").over(Window.partitionBy("lang")) / 2) + 1
+    lengths = counts.select("lang", "n_chars", middle.alias("place"), upto.alias("upto"), "n").where("place > upto - n and place <= upto")
+    alike = rows.join(lengths.select(F.col("lang").alias("l"), F.col("n_chars").alias("c"), (F.col("place") - F.col("upto") + F.col("n")).alias("k")), F.col("lang").eqNullSafe(F.col("l")) & F.col("n_chars").eqNullSafe(F.col("c")))
+    return alike.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))).where("i = k").select("lang", "doc_id", "n_chars")
 
 
 @query("SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR || 'seed'), doc_id) AS place FROM documents) WHERE place <= 50")
@@ -226,19 +229,16 @@ def stratified_sample_md5(spark, sf_dir):
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY sha256(o_orderkey::VARCHAR || 'shuffle'))::BIGINT AS place FROM orders")
 def seeded_shuffle(spark, sf_dir):
-    """Places in a shuffled order: ranks within ranges of the digest, plus the counts of the ranges before."""
-    rows = read(spark, sf_dir, "orders").select("o_orderkey", R.hash_order("o_orderkey", "shuffle").alias("h")).withColumn("r", F.substring("h", 1, 3))
-    sums = rows.groupBy("r").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sums.select("r", before.alias("before"))  # at most 4,096 rows
-    inside = F.row_number().over(Window.partitionBy("r").orderBy("h"))
-    return rows.withColumn("i", inside).join(F.broadcast(offsets), "r").select("o_orderkey", (F.col("i") + F.col("before")).alias("place"))
+    """Places in a shuffled order."""
+    rows = read(spark, sf_dir, "orders").select("o_orderkey")
+    return R.shuffled(rows, R.hash_order("o_orderkey", "shuffle"), [], "at").select("o_orderkey", (F.col("at") + 1).alias("place"))
 
 
 @query("SELECT source, doc_id, ((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) % 4)::INTEGER AS template FROM documents")
 def round_robin(spark, sf_dir):
-    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return read(spark, sf_dir, "documents").select("source", "doc_id", ((place - 1) % 4).alias("template"))
+    docs = read(spark, sf_dir, "documents").select("source", "doc_id")
+    ranges = F.floor(F.col("doc_id") / 65_536)  # a range holds at most as many rows, for ids that do not repeat
+    return R.placed(docs, ["source"], ranges, [F.col("doc_id")], "at").select("source", "doc_id", (F.col("at") % 4).cast("int").alias("template"))
 
 
 @query("""WITH q AS (SELECT c_mktsegment AS segment, count(*)::DOUBLE * 1000 / (SELECT count(*) FROM customer) AS quota FROM customer GROUP BY 1), f AS (SELECT segment, quota, floor(quota) AS s FROM q)
