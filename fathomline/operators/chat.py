@@ -7,7 +7,7 @@ import math
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.sources.jsonl import refuse, unique
@@ -20,7 +20,10 @@ SCHEMAS = {
     "calculate_egfr": ({"creatinine_mg_dl": NUMBER, "age": INTEGER, "sex": STRING}, ("creatinine_mg_dl", "age", "sex")),
 }
 ENUMS = {("calculate_egfr", "sex"): ("male", "female")}
+# Marks of calls in model output.
 BLOCK = re.compile(r"<tool_call>(.*?)</tool_call>", re.S)
+FUNCTION = re.compile(r"\s*<function=([^>\n]+)>\n(.*?)</function>\s*", re.S)
+PARAMETER = re.compile(r"<parameter=([^>\n]+)>\n(.*?)\n</parameter>\n?", re.S)
 
 
 def fits(value, kinds: tuple[str, ...]) -> bool:
@@ -51,17 +54,14 @@ def call_errors(name, arguments) -> list[str]:
 
 def xml_call(body: str) -> tuple[str, dict] | None:
     """<function=NAME> with <parameter=KEY> blocks and nothing else; values are typed by the tool's schema."""
-    whole = re.fullmatch(r"\s*<function=([^>\n]+)>\n(.*?)</function>\s*", body, re.S)
-    if not whole:
+    whole = FUNCTION.fullmatch(body)
+    if not whole or PARAMETER.sub("", whole[2]).strip():
         return None
-    name, inner, arguments = whole[1].strip(), whole[2], {}
-    for part in re.split(r"(<parameter=[^>\n]+>\n.*?\n</parameter>\n?)", inner, flags=re.S):
-        m = re.fullmatch(r"<parameter=([^>\n]+)>\n(.*?)\n</parameter>\n?", part, re.S)
-        if m and m[1].strip() not in arguments:
-            arguments[m[1].strip()] = typed(m[2], SCHEMAS.get(name, ({}, ()))[0].get(m[1].strip(), STRING))
-        elif part.strip():
-            return None
-    return name, arguments
+    name, parts = whole[1].strip(), [(m[1].strip(), m[2]) for m in PARAMETER.finditer(whole[2])]
+    kinds = SCHEMAS.get(name, ({}, ()))[0]
+    if len({key for key, _ in parts}) < len(parts):
+        return None
+    return name, {key: typed(value, kinds.get(key, STRING)) for key, value in parts}
 
 
 def typed(raw: str, kinds: tuple[str, ...]):
@@ -146,6 +146,17 @@ def conversation(turns: DataFrame, by: str, order: str, system: str) -> DataFram
     return said.select(by, F.concat(first, F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))).alias("messages"))
 
 
+def few_shot(examples: DataFrame, per_type: int = 1) -> DataFrame:
+    """Examples for a prompt: of each answer type those of median length of note and question (ties: least id), as user and assistant messages."""
+    length = F.length("note") + F.length("question")
+    rows = examples.select("answer_type", "id", "note", "question", "answer", length.alias("length"))
+    middle = rows.groupBy("answer_type").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY length)").alias("middle"))
+    near = Window.partitionBy("answer_type").orderBy(F.abs(F.col("length") - F.col("middle")), "id")
+    chosen = rows.join(middle, "answer_type").withColumn("at", F.row_number().over(near)).where(F.col("at") <= per_type)
+    message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    return chosen.select("answer_type", "id", F.array(message("user", F.concat("note", F.lit("\n\n"), "question")), message("assistant", F.col("answer"))).alias("messages"))
+
+
 def rollout(prompts: DataFrame, generate: Callable[[list[str]], list[str]], execute: Callable[[str, dict], str], budget: int = 2) -> DataFrame:
     """prompts: id, prompt. The model answers, calls run and are appended, until it answers without a call, a turn can't be read, or the
     budget of calls is used. `generate` gets the prompts of a batch. Returns id, turns, answer, stop_reason (answer, parse_error, budget)."""

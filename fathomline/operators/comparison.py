@@ -60,8 +60,10 @@ def paired(a: DataFrame, b: DataFrame, names: int = 5) -> DataFrame:
     """Two scored runs over the items that both have: by answer type n, right answers of each, the difference, items fixed, broken and wrong in both, and the
     first broken ids."""
     pairs = a.select("id", "answer_type", F.col("correct").alias("a")).join(b.select("id", F.col("correct").alias("b")), "id")
-    few = R.first_of(pairs.where("a and not b"), ["answer_type"], [F.asc("id")], names).groupBy("answer_type").agg(F.sort_array(F.collect_list("id")).alias("broken_ids"))
-    sums = pairs.groupBy("answer_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("a").alias("a"), F.count_if("b").alias("b"), *S.paired_outcomes(F.col("a"), F.col("b")))
+    # Broken ids come first in an order, instead of by a filter: a filter on verdicts would be pushed down as all of the expressions behind them.
+    marked = pairs.withColumn("broken_id", F.when(F.col("a") & ~F.col("b"), F.col("id")))
+    few = R.first_of(marked, ["answer_type"], [F.col("broken_id").asc_nulls_last()], names).groupBy("answer_type").agg(F.sort_array(F.collect_list("broken_id")).alias("broken_ids"))
+    sums = pairs.groupBy("answer_type").agg(F.count("id").alias("n"), F.count_if("a").alias("a"), F.count_if("b").alias("b"), *S.paired_outcomes(F.col("a"), F.col("b")))
     rows = sums.join(few, "answer_type", "left").withColumn("diff", F.round((F.col("b") - F.col("a")) / F.col("n"), 4))
     return rows.select("answer_type", "n", "a", "b", "diff", "fixed", "broken", "both_wrong", F.coalesce("broken_ids", F.array().cast("array<string>")).alias("broken_ids"))
 

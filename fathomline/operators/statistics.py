@@ -194,21 +194,15 @@ def tri_state(outcomes: Column) -> Column:
 def typed_aggregate(scores: DataFrame) -> DataFrame:
     """Rates of typed verdicts (answer_type, correct, before, expected, checks of kind and ok, name_ok, outcome_ok) as rows of metric, k, n, rate:
     by type the new and the former verdict, by kind of check, and for calls a funnel whose later steps count only where they apply."""
-    def rows(df: DataFrame, metric, flag) -> DataFrame:
-        r = rate(flag)
-        return df.groupBy(metric.alias("metric")).agg(r["k"].alias("k"), r["n"].alias("n"), r["rate"].alias("rate"))
-
-    tool, call = scores.where("answer_type = 'tool_call'"), scores.where("answer_type = 'tool_call' and expected = 'call'")
-    kinds = scores.select(F.explode("checks").alias("c"))
-    parts = [
-        rows(scores, F.concat(F.col("answer_type"), F.lit(" now")), F.col("correct")), rows(scores, F.concat(F.col("answer_type"), F.lit(" before")), F.col("before")),
-        rows(kinds, F.concat(F.lit("check "), F.col("c.kind")), F.col("c.ok")), rows(tool, F.concat(F.lit("expected "), F.col("expected")), F.col("correct")),
-        rows(call, F.lit("name if called"), F.col("name_ok")), rows(call, F.lit("outcome if called"), F.col("outcome_ok")),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    tool, call = F.col("answer_type") == "tool_call", (F.col("answer_type") == "tool_call") & (F.col("expected") == "call")
+    one = lambda metric, flag, holds=F.lit(True): F.when(holds, F.struct(metric.alias("metric"), flag.alias("flag")))
+    own = F.array_compact(F.array(
+        one(F.concat("answer_type", F.lit(" now")), F.col("correct")), one(F.concat("answer_type", F.lit(" before")), F.col("before")), one(F.concat(F.lit("expected "), "expected"), F.col("correct"), tool),
+        one(F.lit("name if called"), F.col("name_ok"), call), one(F.lit("outcome if called"), F.col("outcome_ok"), call),
+    ))
+    checks = F.transform(F.coalesce("checks", F.array().cast(dict(scores.dtypes)["checks"])), lambda c: F.struct(F.concat(F.lit("check "), c["kind"]).alias("metric"), c["ok"].alias("flag")))
+    r = rate(F.col("m.flag"))
+    return scores.select(F.explode(F.concat(own, checks)).alias("m")).groupBy("m.metric").agg(r["k"].alias("k"), r["n"].alias("n"), r["rate"].alias("rate"))
 
 
 def resolved(rows: DataFrame, status: str, by: list[str]) -> DataFrame:

@@ -178,6 +178,12 @@ def canonical_digest(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", digest(written).alias("digest"))
 
 
+@query(f"""{RECORDS}, l AS (SELECT answer_type, id, length(note) + length(question) AS len FROM r), m AS (SELECT answer_type, quantile_disc(len, 0.5) AS middle FROM l GROUP BY 1)
+SELECT answer_type, id FROM (SELECT l.*, row_number() OVER (PARTITION BY answer_type ORDER BY abs(len - middle), id) AS place FROM l JOIN m USING (answer_type)) WHERE place <= 2""")
+def few_shot(spark, sf_dir):
+    return chat.few_shot(cases.records(spark, sf_dir), 2).select("answer_type", "id")
+
+
 @query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'missing' WHEN doc_id % 5 = 1 THEN 'draft' WHEN doc_id % 5 = 2 THEN 'CHANGED' ELSE 'approved' END AS state FROM documents""")
 def approvals(spark, sf_dir):
     """Approvals by digest: missing, draft, changed since, approved."""

@@ -113,7 +113,7 @@ def average_rank(spark, sf_dir):
     return rows.join(ranks, "p").select("doc_id", "rank")
 
 
-BINS_SQL = "b AS (SELECT least(floor(p * 10), 9)::INTEGER AS bin, count(*) AS n, avg(p) AS mp, avg(CASE WHEN toxic THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS y FROM scored GROUP BY 1)"
+BINS_SQL = "b AS (SELECT least(floor(p * 10), 9)::INTEGER AS bin, count(*) AS n, avg(p) AS mp, avg(CASE WHEN toxic THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS y, avg(good::INT::DOUBLE) AS y2 FROM scored GROUP BY 1)"
 
 
 @query(f"WITH {SCORED_SQL}, {BINS_SQL} SELECT round(sum(abs(mp - y) * n) / sum(n), 6)::DOUBLE AS ece FROM b")
@@ -121,9 +121,9 @@ def ece_10(spark, sf_dir):
     return S.ece(scored(spark, sf_dir), "p", "toxic")
 
 
-@query(f"WITH {SCORED_SQL}, {BINS_SQL} SELECT bin, n::BIGINT AS n, round(mp, 6)::DOUBLE AS mean_p, round(y, 6)::DOUBLE AS rate FROM b")
+@query(f"WITH {SCORED_SQL}, {BINS_SQL} SELECT bin, n::BIGINT AS n, round(mp, 6)::DOUBLE AS mean_p, round(y, 6)::DOUBLE AS rate, round(y2, 6)::DOUBLE AS rate2 FROM b")
 def reliability_bins(spark, sf_dir):
-    return S.reliability(scored(spark, sf_dir), "p", "toxic").drop("gap")
+    return S.reliability(scored(spark, sf_dir), "p", "toxic", second="good").drop("gap")
 
 
 @query(f"WITH {SCORED_SQL} SELECT round(avg((p - CASE WHEN toxic THEN 1 ELSE 0 END) * (p - CASE WHEN toxic THEN 1 ELSE 0 END)), 6)::DOUBLE AS brier FROM scored")
