@@ -32,9 +32,9 @@ def fits(value, kinds: tuple[str, ...]) -> bool:
     return any(tests[k] for k in kinds)
 
 
-def call_errors(name, arguments) -> list[str]:
-    """What is wrong with a call; empty for a valid one."""
-    if not isinstance(name, str) or name not in SCHEMAS:
+def call_errors(name, arguments, tools: tuple[str, ...] | None = None) -> list[str]:
+    """What is wrong with a call; empty for a valid one. tools: those that a run offers (default: all)."""
+    if not isinstance(name, str) or name not in SCHEMAS or tools is not None and name not in tools:
         return [f"unknown tool {name!r}"]
     if not isinstance(arguments, dict):
         return ["arguments must be an object"]
@@ -78,7 +78,7 @@ def typed(raw: str, kinds: tuple[str, ...]):
     return raw
 
 
-def parsed(text: str | None, style: str = "json") -> dict:
+def parsed(text: str | None, style: str = "json", tools: tuple[str, ...] | None = None) -> dict:
     """One assistant turn: status (no_call, valid, invalid_json, unterminated, schema_error), content, calls, errors."""
     text = text or ""
     bodies, content = BLOCK.findall(text), BLOCK.sub("", text).strip()
@@ -103,7 +103,7 @@ def parsed(text: str | None, style: str = "json") -> dict:
             if not isinstance(value, dict) or value.keys() != {"name", "arguments"}:
                 return result("invalid_json", errors=["a call must be an object of name and arguments"])
             name, arguments = value["name"], value["arguments"]
-        errors += call_errors(name, arguments)
+        errors += call_errors(name, arguments, tools)
         arguments = arguments if isinstance(arguments, dict) else {}
         calls.append({"name": name if isinstance(name, str) else json.dumps(name), "arguments": [(k, v if isinstance(v, str) else json.dumps(v)) for k, v in arguments.items() if v is not None]})
     return result("schema_error" if errors else "valid", calls, errors)
@@ -112,7 +112,7 @@ def parsed(text: str | None, style: str = "json") -> dict:
 PARSED = "struct<status:string,content:string,calls:array<struct<name:string,arguments:map<string,string>>>,errors:array<string>>"
 
 
-def with_parsed(df: DataFrame, column: str, style: str = "json", name: str = "parsed") -> DataFrame:
+def with_parsed(df: DataFrame, column: str, style: str = "json", name: str = "parsed", tools: tuple[str, ...] | None = None) -> DataFrame:
     """df with the parsed turn of a text column. Arguments are texts by name: model output may hold any."""
     at = df.columns.index(column)
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema.fields)}, `{name}` {PARSED}"
@@ -123,7 +123,7 @@ def with_parsed(df: DataFrame, column: str, style: str = "json", name: str = "pa
         call = pa.struct([("name", pa.string()), ("arguments", pa.map_(pa.string(), pa.string()))])
         kind = pa.struct([("status", pa.string()), ("content", pa.string()), ("calls", pa.list_(call)), ("errors", pa.list_(pa.string()))])
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([parsed(t, style) for t in batch.column(at).to_pylist()], kind)], names=[*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([parsed(t, style, tools) for t in batch.column(at).to_pylist()], kind)], names=[*batch.schema.names, name])
 
     return df.mapInArrow(kernel, schema)
 

@@ -73,14 +73,16 @@ def max_jaccard(queries: DataFrame, index: DataFrame, id_col: str, tokens: str,
     Grams in more than max_df index rows propose nothing; the `candidates` rows that share most of the others (ties: least id) are
     compared by their full gram sets; of equal similarities the first candidate wins. Full sets travel only for candidates."""
     q = queries.select(F.col(id_col).alias("q"), shingles(F.col(tokens), k).alias("gq"))
-    x = index.select(F.col(id_col).alias("x"), shingles(F.col(tokens), k).alias("gx"))
-    postings = x.select("x", F.explode("gx").alias("g"))
-    rare = postings.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= max_df).select("g")
-    shared = q.select("q", F.explode("gq").alias("g")).join(postings.join(rare, "g", "left_semi"), "g").groupBy("q", "x").agg(F.count(F.lit(1)).alias("n"))
+    asked = q.select("q", F.explode("gq").alias("g"))
+    # Only grams that are asked for matter, for proposals and for their counts: the others go before anything is shuffled or counted.
+    hits = index.select(F.col(id_col).alias("x"), F.explode(shingles(F.col(tokens), k)).alias("g")).join(asked.select("g").distinct(), "g", "left_semi")
+    rare = hits.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= max_df).select("g")
+    shared = asked.join(hits, "g").join(rare, "g", "left_semi").groupBy("q", "x").agg(F.count(F.lit(1)).alias("n"))
     top = first_of(shared, ["q"], [F.desc("n"), F.asc("x")], candidates)
+    chosen = index.join(top.select("x").distinct(), F.col(id_col) == F.col("x"), "left_semi").select(F.col(id_col).alias("x"), shingles(F.col(tokens), k).alias("gx"))
     both = F.size(F.array_intersect("gq", "gx"))
-    scored = top.join(q, "q").join(x, "x").select("q", "x", "n", (both / (F.size("gq") + F.size("gx") - both)).alias("j"))
-    best = first_of(scored.where("j > 0"), ["q"], [F.desc("j"), F.desc("n"), F.asc("x")])
+    scored = top.join(q, "q").join(chosen, "x").select("q", "x", "n", (both / (F.size("gq") + F.size("gx") - both)).alias("j"))
+    best = first_of(scored.withColumn("none", F.col("j") <= 0), ["q"], [F.asc("none"), F.desc("j"), F.desc("n"), F.asc("x")]).where("not none")
     return q.select("q").join(best, "q", "left").select(F.col("q").alias(id_col), F.col("x").alias("match"), F.coalesce("j", F.lit(0.0)).alias("jaccard"))
 
 

@@ -81,3 +81,18 @@ def epoch_ends(log: DataFrame, every: str = "epoch") -> DataFrame:
     whole = log.where(F.abs(F.col(every) - F.rint(F.col(every))) < 1e-6).withColumn("n", F.rint(F.col(every)).cast("int"))
     order = Window.partitionBy("n").orderBy(F.desc("step"))
     return whole.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+
+
+def epoch_checkpoints(log: DataFrame, found: DataFrame, listed: DataFrame, expected: int = 2) -> DataFrame:
+    """Checkpoints (step, sha256) at whole epochs of a log. There must be `expected` of them, each found with the listed digest."""
+    ends = epoch_ends(log).select("step", F.rint("epoch").cast("int").alias("epoch"))
+    rows = ends.join(found.select("step", F.col("sha256").alias("sha256")), "step", "left").join(listed.select("step", F.col("sha256").alias("listed")), "step", "left").collect()
+    wrong = sorted(r["step"] for r in rows if r["sha256"] is None or r["sha256"] != r["listed"])
+    if len(rows) != expected or wrong:
+        raise ValueError(f"{len(rows)} checkpoints at whole epochs, {expected} expected; not as listed: {wrong}")
+    return ends
+
+
+def additions_of(view: str, added: dict[str, DataFrame], empty: DataFrame) -> DataFrame:
+    """The additions registered for a view; none for a view without."""
+    return added.get(view, empty.limit(0))

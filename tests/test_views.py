@@ -51,3 +51,28 @@ def test_small_parts(spark, tables):
     assert sorted(map(tuple, V.approval_state(items, approvals).collect())) == [("a", "approved"), ("b", "CHANGED"), ("c", "draft"), ("d", "missing")]
     log = spark.createDataFrame([(1, 0.5), (2, 1.0), (3, 1.00000001), (4, 2.0)], "step int, epoch double")
     assert sorted(r["step"] for r in V.epoch_ends(log).collect()) == [3, 4]
+
+
+def test_checkpoints_at_whole_epochs(spark):
+    log = spark.createDataFrame([(5, 0.5), (10, 1.0), (20, 2.0)], "step long, epoch double")
+    found = spark.createDataFrame([(10, "a"), (20, "b")], "step long, sha256 string")
+    assert sorted((r["step"], r["epoch"]) for r in V.epoch_checkpoints(log, found, found).collect()) == [(10, 1), (20, 2)]
+    with pytest.raises(ValueError, match="not as listed"):
+        V.epoch_checkpoints(log, found, found.withColumn("sha256", F.lit("a")))
+    with pytest.raises(ValueError, match="1 checkpoints"):
+        V.epoch_checkpoints(log.where("step < 20"), found, found)
+
+
+def test_tools_of_a_run():
+    from fathomline.operators import chat
+
+    call = '<tool_call>{"name": "calculate_bmi", "arguments": {"weight_kg": 80, "height_cm": 170}}</tool_call>'
+    assert chat.parsed(call)["status"] == "valid" and chat.parsed(call, tools=("unit_convert",))["status"] == "schema_error"
+
+
+def test_few_shot_examples(spark):
+    from fathomline.operators import chat
+
+    rows = spark.createDataFrame([("a", f"t{k}", "n" * n, "q", "x") for k, n in enumerate((1, 5, 9))], "answer_type string, id string, note string, question string, answer string")
+    (row,) = chat.few_shot(rows).collect()
+    assert row["id"] == "t1" and [m["role"] for m in row["messages"]] == ["user", "assistant"]
