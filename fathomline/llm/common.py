@@ -34,11 +34,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Rows that go to Python at a time while a table is written: with texts of some thousand bytes, Spark's 10,000 hold much memory twice.
+BATCH_ROWS, BATCH_KEY = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on at most BATCH_ROWS rows go to Python at a time in this session."""
+    if not 0 < int(spark.conf.get(BATCH_KEY)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: the lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/fathomline-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH_KEY)
+    small_batches(spark)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_KEY, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,9 +7,9 @@ partially filled windows smallest. The counts are held in an array by level. A w
 Every task packs what it reads. The pieces of windows that are open at its end are not done: tasks' remainders are put
 together, in the order of tasks, to pools of about `pool` tokens, and each pool goes on placing them by sum of squares. Only
 what is open at the end of a pool is closed: its pieces are laid end to end and cut every `window` ids, and the last
-stretch is cut into powers of two, largest first, which need no padding. A pool holds whole remainders, and a task that has
-`MOST_OPEN` windows open hands them over and begins anew, so that neither a task nor a pool holds more than a bounded number of
-ids (lengths that don't pack, such as all of 0.6 windows, would else leave every window open). Every id lies in exactly one piece.
+stretch is cut into powers of two, largest first, which need no padding. A pool is of whole remainders. A task that has
+`MOST_OPEN` windows open hands them over and begins anew, and a pool lays them, so that neither holds more than these (lengths
+that don't pack, such as all of 0.6 windows, would else leave every window open). Every id lies in exactly one piece.
 
 Sequence ids are numbered within the task or pool and carry its number, so that one that runs again gives the same. What
 the tasks packed is written to the shared folder before pools are formed.
@@ -37,7 +37,7 @@ from .common import materialize, rows_of, table
 
 WINDOW, END_ID = 4096, 2
 #: Pieces whose ids a task keeps, windows that a task may have open, and tokens that make a pool.
-KNOWN_PIECES, MOST_OPEN, POOL = 600_000, 4096, 16 << 20
+KNOWN_PIECES, MOST_OPEN, POOL = 300_000, 4096, 16 << 20
 #: Texts of these characters are cut into the tokenizer's own pieces here, as it would: lower-cased, then letters, single
 #: digits, and runs of others, white space between. Each of these letters is a letter to the tokenizer, normalised as it
 #: stands, and so is its lower case: capitals whose lower case lies beyond ɏ (Ə, Ɛ, Ɔ) go through the whole tokenizer.
@@ -235,8 +235,17 @@ class Packer:
 FIELDS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
 
 
+def as_bytes(ids: np.ndarray) -> bytes:
+    """Ids in two bytes each where that is enough, else in four."""
+    return ids.astype("<u2" if ids.max() < 1 << 16 else "<u4").tobytes()
+
+
+def as_ids(data: bytes, length: int) -> np.ndarray:
+    return np.frombuffer(data, "<u2" if len(data) == 2 * length else "<u4").astype(np.uint32)
+
+
 class Rows:
-    """Pieces as rows of FIELDS. first is the first sequence id; ids are kept with_ids, or while a piece is open (its sequence id is null then)."""
+    """Pieces as rows of FIELDS, and left: the ids of pieces that are handed over, as bytes. first is the first sequence id."""
 
     def __init__(self, first: int, with_ids: bool):
         self.next, self.with_ids, self.rows, self.handed = first, with_ids, [], 0
@@ -245,30 +254,30 @@ class Rows:
         offset = 0
         for key, start, ids, whole in pieces:
             crc = zlib.crc32(ids.astype("<u4").tobytes())
-            self.rows.append((key, start, len(ids), crc, whole, self.next, offset, ids.astype(np.int32) if self.with_ids else None))
+            self.rows.append((key, start, len(ids), crc, whole, self.next, offset, ids.astype(np.int32) if self.with_ids else None, None))
             offset += len(ids)
         self.next += 1
 
     def hand_over(self, pieces: list) -> None:
         """Open pieces: no sequence id, and their place in the order of handing over as offset."""
-        self.rows += [(key, start, len(ids), 0, whole, None, self.handed + k, ids.astype(np.int32)) for k, (key, start, ids, whole) in enumerate(pieces)]
+        self.rows += [(key, start, len(ids), 0, whole, None, self.handed + k, None, as_bytes(ids)) for k, (key, start, ids, whole) in enumerate(pieces)]
         self.handed += len(pieces)
 
-    def taken(self, key_type, **more):
-        """The rows so far as an Arrow batch; more: constant columns."""
+    def taken(self, key_type, size: int | None = None, **more):
+        """The first `size` rows (default: all) as an Arrow batch; more: constant columns."""
         import pyarrow as pa
 
-        kinds = [key_type, *[pa.int64()] * 6, pa.list_(pa.int32())]
-        arrays = [pa.array([r[k] for r in self.rows], kind) for k, kind in enumerate(kinds)]
-        arrays += [pa.array(np.full(len(self.rows), v, np.int64)) for v in more.values()]
-        self.rows = []
-        return pa.RecordBatch.from_arrays(arrays, names=[*FIELDS, *more])
+        rows, self.rows = self.rows[:size], self.rows[size:] if size else []
+        kinds = [key_type, *[pa.int64()] * 6, pa.list_(pa.int32()), pa.binary()]
+        arrays = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+        arrays += [pa.array(np.full(len(rows), v, np.int64)) for v in more.values()]
+        return pa.RecordBatch.from_arrays(arrays, names=[*FIELDS, "left", *more])
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, with_ids: bool = True, pool: int = POOL, most_open: int = MOST_OPEN) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with_ids the ids."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
+    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>, left binary"
 
     def in_tasks(batches):
         from pyspark import TaskContext
@@ -283,23 +292,32 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             if len(out.rows) >= 256:
                 yield out.taken(key_type, task=task)
         packer.close()
-        for at in range(0, len(left := out.rows), 256):
-            out.rows = left[at : at + 256]
-            yield out.taken(key_type, task=task)
-
-    def in_pools(group):
-        import pyarrow as pa
-
-        out = Rows((1 << 62) + (group.column("pool")[0].as_py() << 36), with_ids)
-        packer = Packer(out.write, window, most_open)
-        for batch in group.sort_by([("task", "ascending"), ("offset", "ascending")]).to_batches():
-            ids = batch.column("ids")
-            values, ends = ids.flatten().to_numpy().view(np.uint32), np.cumsum(ids.value_lengths().to_numpy())
-            keys, starts, wholes = (batch.column(n).to_pylist() for n in ("doc_id", "start", "doc_tokens"))
-            for key, start, whole, a, b in zip(keys, starts, wholes, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                packer.place((key, start, values[a:b], whole))
-        packer.close()
-        return pa.Table.from_batches([out.taken(group.schema.field("doc_id").type)])
+        while out.rows:
+            yield out.taken(key_type, 256, task=task)
+
+    def in_pools(batches):
+        """Rows sorted by pool, task and offset; a pool's windows are closed where the next one begins."""
+        number, out, packer, key_type = None, None, None, None
+        names = ["pool", "doc_id", "start", "doc_tokens", "length", "left"]
+        for batch in batches:
+            key_type = batch.column("doc_id").type
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                for of, key, start, whole, length, left in zip(*(part.column(n).to_pylist() for n in names), strict=True):
+                    if of != number:
+                        if packer:
+                            packer.close()
+                            while out.rows:
+                                yield out.taken(key_type, 256)
+                        number, out = of, Rows((1 << 62) + (of << 36), with_ids)
+                        packer = Packer(out.write, window, most_open)
+                    packer.place((key, start, as_ids(left, length), whole))
+                if len(out.rows) >= 256:
+                    yield out.taken(key_type)
+        if packer:
+            packer.close()
+            while out.rows:
+                yield out.taken(key_type, 256)
 
     packed = materialize(rows.mapInArrow(in_tasks, f"{schema}, task long"), "packed")
     open_pieces = packed.where("sequence_id is null")
@@ -307,8 +325,9 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     before = F.sum("size").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
     # Written, so that its size is known: if it is small it is broadcast, and remainders are shuffled once.
     pools = materialize(sizes.select(F.col("task").alias("of"), F.floor(F.coalesce(before, F.lit(0)) / pool).cast("long").alias("pool")), "pools")
-    pooled = open_pieces.join(pools, F.col("task") == F.col("of")).select(*FIELDS, "task", "pool").groupBy("pool").applyInArrow(in_pools, schema)
-    return packed.where("sequence_id is not null").select(*FIELDS).unionByName(pooled).select(*FIELDS[: 7 + with_ids])
+    placed = open_pieces.join(pools, F.col("task") == F.col("of")).select("pool", "task", "offset", "doc_id", "start", "doc_tokens", "length", "left")
+    pooled = placed.repartition("pool").sortWithinPartitions("pool", "task", "offset").mapInArrow(in_pools, schema)
+    return packed.where("sequence_id is not null").select(*FIELDS).unionByName(pooled.select(*FIELDS)).select(*FIELDS[: 7 + with_ids])
 
 
 def tokenizer_path() -> str:
