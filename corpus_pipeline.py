@@ -1,7 +1,8 @@
 """A corpus from documents: clean, without copies and near copies, mixed to target weights, packed into sequences.
 
 Each stage takes (spark, docs, sf_dir), docs being all that the stage before kept, and returns a DataFrame; all but the
-last return the columns of docs. Each works on whole texts and uses nothing of sf_dir but, for toxicity, the labels.
+last return the columns of docs. Each works on whole texts and uses nothing of sf_dir but, for toxicity, the labels. Stages that
+pass texts to Python set the session to pass few rows at a time, as texts are long.
 """
 
 from __future__ import annotations
@@ -9,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fathomline.llm import exact_dedup, mixing, packing, simhash, toxicity
-from fathomline.llm.common import materialize, table
+from fathomline.llm.common import materialize, small_batches, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold."""
+    small_batches(spark)
     return toxicity.not_toxic(docs, table(spark, sf_dir, "labels"))
 
 
@@ -24,6 +26,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id."""
+    small_batches(spark)
     return simhash.one_of_each(docs)
 
 
@@ -34,6 +37,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences, with their ids."""
+    small_batches(spark)
     return packing.pack(docs, packing.tokenizer_path())
 
 
