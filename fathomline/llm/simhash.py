@@ -176,8 +176,8 @@ def spread(nodes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segments: int = 4) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint, component_id."""
     prints = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = materialize(spread(prints.groupBy("fp").agg(F.min("doc_id").alias("first"))), "nodes")
-    roots = components(links(nodes, segments))
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    roots = components(links(spread(nodes.select("fp")), segments))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     rooted = materialize(rooted, "roots")
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -208,8 +208,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(prints, pa.int64())], names=names)
 
     rows = materialize(docs.mapInArrow(kernel, StructType([*docs.schema.fields, StructField(fp, LongType())])), "printed")
-    nodes = materialize(spread(rows.select(F.col(fp).alias("fp")).distinct()), "nodes")
-    roots = components(links(nodes, segments)).toDF(node, root)
+    nodes = materialize(rows.select(F.col(fp).alias("fp")).distinct(), "nodes")
+    roots = components(links(spread(nodes), segments)).toDF(node, root)
     heads = first_of(rows, fp, order).join(roots, F.col(fp) == F.col(node), "left").withColumn(root, F.coalesce(root, fp))
     return first_of(heads, root, order).select(*[F.col(f"`{c}`") for c in docs.columns])
 
