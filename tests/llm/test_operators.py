@@ -69,13 +69,20 @@ def test_chat_reads_back(spark):
     assert got == plain_conversations(some_turns())
 
 
-def test_chat_windows_keep_the_budget_and_repeat(spark):
-    df = spark.createDataFrame([t for t in some_turns() if t[0] is not None and t[0] < 12], "conv_id long, turn long, role string, text string")
-    for w in chat_windows.windows(df, budget=300, history=40).collect():
+@pytest.mark.parametrize("budget,history", [(300, 40), (140, 64), (130, 0)])
+def test_chat_windows_keep_the_budget_and_repeat(spark, budget, history):
+    turns = [t for t in some_turns() if t[0] is not None and t[0] < 12] + [(20, k, ("user", "assistant")[k % 2], "short " * 6) for k in range(90)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    found = chat_windows.windows(df, budget=budget, history=history).collect()
+    assert any(w["repeated"] > 1 for w in found) == (history > 0)
+    for w in found:
         pieces = w["text"].split("</turn>\n")[:-1]
         tokens = [len(p.removeprefix("<turn>").split("\n", 1)[1].split()) + 4 for p in pieces]
-        assert sum(tokens) <= 300 or len(pieces) - w["repeated"] == 1
-        if w["window"] and w["conv_id"] % 3 == 0:
+        system = tokens[0] if pieces[0].startswith("<turn>system\n") else 0
+        new = tokens[max(w["repeated"], system > 0) :]
+        assert sum(tokens) <= budget or len(new) == 1 and system + new[0] > budget and sum(tokens) == system + new[0]
+        assert sum(tokens[: w["repeated"]]) - system * (w["window"] > 0) <= history
+        if w["window"] and w["conv_id"] % 3 == 0 and w["conv_id"] < 12:
             assert pieces[0].startswith("<turn>system\n") and w["repeated"] >= 1
 
 
@@ -148,6 +155,112 @@ def test_html_template_goes_alike_on_hosts_of_every_size(spark, others):
     assert [got[k] for k in range(5)] == [f"Own {k}" for k in range(5)] and len(got) == 5 + others
 
 
+@pytest.mark.parametrize("page", ["<main><p>x</p>" * 20_000, "<article><p>x</p>" * 20_000, "<body>x" * 20_000, "<p><main>" * 20_000 + "x"])
+def test_html_nested_holders_take_linear_time(page):
+    import time
+
+    begun = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - begun < 10
+
+
+def test_html_references_are_decoded_in_each_text():
+    assert html_text.main_text("<article><p>AT&<b>amp;</b> R&amp;D &am<!-- x -->p;</p></article>") == "AT&amp; R&D &amp;"
+
+
+@pytest.mark.parametrize("page", ["<div>" * 50_000 + "</span></p></b>" * 50_000, "<li><ul>" + "<div>" * 50_000 + "</li>" * 50_000, "<p>" + "<b>" * 50_000 + "<div><p></b>" * 50_000])
+def test_html_end_tags_take_linear_time(page):
+    import time
+
+    begun = time.process_time()
+    html_text.parse(page)
+    assert time.process_time() - begun < 5
+
+
+def test_html_menu_inside_the_article_and_cards_go(spark):
+    """Nothing but the template tells that these are beside the text."""
+    menu = "<div><ul><li>Home</li><li>World</li></ul></div>"
+    card = "<article><p>Read our other story, which is longer than all of the articles of this site</p></article>"
+    pages = [(k, "http://a.example/", f"<body><div>Top {k}</div><article>{menu}<h1>Head {k}</h1><p>Own {k}</p><p>Licence</p><section><p>Box</p></section></article></body>") for k in range(6)]
+    pages += [(10 + k, "http://b.example/", f"<body><article><p>Own {k}</p></article>{card}</body>") for k in range(6)]
+    pages += [(20 + k, "http://c.example/", f"<body><article>{menu}<p>Own {k}</p></article></body>") for k in range(4)]
+    got = {i: t for i, _, t in rows(html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")))}
+    assert got == {k: f"Head {k}\n\nOwn {k}\n\nLicence" for k in range(6)} | {10 + k: f"Own {k}" for k in range(6)} | {20 + k: f"Home\n\nWorld\n\nOwn {k}" for k in range(4)}
+
+
+def plain_extract(pages, least=5):
+    """Templates counted with dictionaries, host by host."""
+    host = lambda u: (re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", u or "") or [None, ""])[1].lower()
+    seen = {}
+    for _, u, h in pages:
+        for x, c in html_text.page_hashes(h):
+            seen.setdefault((host(u), x), set()).add(c)
+    return sorted([(i, u, html_text.main_text(h, frozenset(x for (n, x), cs in seen.items() if n == host(u) and len(cs) >= least))) for i, u, h in pages], key=repr)
+
+
+def plain_article(source):
+    """The article of a page of the test data by Python's own parser: what stands outside of it, and in it beside it, is left out."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=False)
+            self.inside, self.skipped, self.parts = False, [], [[]]
+
+        def handle_starttag(self, tag, attrs):
+            words = set(re.split(r"[\s_-]+", " ".join(v or "" for k, v in attrs if k in ("class", "id")).lower()))
+            if tag == "article":
+                self.inside = True
+            if self.skipped or tag in html_text.ASIDE_TAGS or words & html_text.ASIDE_WORDS:
+                if tag not in html_text.VOID:
+                    self.skipped.append(tag)
+            elif tag in html_text.BLOCKS:
+                self.parts.append([])
+            elif tag == "br":
+                self.parts[-1].append(" ")
+
+        def handle_endtag(self, tag):
+            if tag == "article" and not self.skipped:
+                self.inside = False
+            if tag in self.skipped:
+                while self.skipped.pop() != tag:
+                    pass
+                self.parts.append([])
+            elif not self.skipped and tag in html_text.BLOCKS:
+                self.parts.append([])
+
+        def handle_data(self, data):
+            if self.inside and not self.skipped:
+                self.parts[-1].append(data)
+
+        def handle_entityref(self, name):
+            self.handle_data(html_unescape(f"&{name};"))
+
+        def handle_charref(self, name):
+            self.handle_data(html_unescape(f"&#{name};"))
+
+    from html import unescape as html_unescape
+
+    reader = Reader()
+    reader.feed(source or "")
+    reader.close()
+    return "\n\n".join(x for x in (" ".join("".join(p).split()) for p in reader.parts) if x)
+
+
+def test_html_query_against_plain_versions(spark):
+    """The query's rows over all pages of the smallest tables, and of a site whose pages hold templates."""
+    pages = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html").collect()]
+    got = rows(html_text.op2_html_text(spark, "/root/testdata/sf0.001"))
+    assert [r[:3] for r in got] == plain_extract(pages) and all(r[3] == len(r[2]) for r in got)
+    articles = {i: plain_article(h) for i, _, h in pages}
+    assert {r[0]: r[2] for r in got} == articles
+    r = random.Random(2)
+    block = lambda k: f"<{(t := r.choice(['div', 'section', 'p', 'ul', 'article', 'main']))}>{r.choice(['Menu', 'Box', f'Own {k}'])}{'' if t == 'p' else '<p>x</p>'}</{t}>"
+    site = [(k, r.choice(["http://a.example/x", "HTTPS://me@A.example:80", "b", None]), "<body>" + "".join(block(k) for _ in range(6)) + "</body>") for k in range(60)]
+    site += site[:5]
+    assert rows(html_text.extract(spark.createDataFrame(site, "page_id long, url string, html string"))) == plain_extract(site)
+
+
 # 3
 
 
@@ -327,6 +440,69 @@ def test_toxicity_learns_and_holds_out(spark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, s in scores.items() if s < toxicity.THRESHOLD}
 
 
+def test_toxicity_bounds_and_repeated_ids(spark):
+    """Rows that repeat an id count as one document in training, so that the bounds hold; the column names are parameters."""
+    docs, labels = toxic_corpus(spark, 80)
+    known = toxicity.labelled(labels, "doc_id", "toxic")
+    chosen = toxicity.training_docs(docs.unionByName(docs).unionByName(docs), known, "doc_id", "text", most=7)
+    assert sorted(Counter(r["label"] for r in chosen.collect()).values()) == [7, 7]
+    model = toxicity.fit(docs.unionByName(docs), labels, most_windows={0: 2, 1: 3})
+    assert all(np.array_equal(v, model[k]) for k, v in toxicity.fit(docs, labels, most_windows={0: 2, 1: 3}).items())
+    named = docs.withColumnsRenamed({"doc_id": "key", "text": "body"})
+    kept = toxicity.not_toxic(named, labels.withColumnRenamed("doc_id", "key"), id_col="key", text_col="body")
+    assert kept.columns == named.columns and {r["key"] for r in kept.collect()} == {r["doc_id"] for r in toxicity.not_toxic(docs, labels).collect()}
+
+
+def plain_window_logits(p, text):
+    """Every window by plain loops: the network as its formulas say."""
+    ws = (text or "").split()
+    starts = list(range(0, max(1, len(ws) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE))
+    assert {k for s in starts for k in range(s, min(len(ws), s + toxicity.WINDOW))} == set(range(len(ws)))
+    h, out = toxicity.HIDDEN, []
+    for s in starts:
+        xs = []
+        for w in ws[s : s + toxicity.WINDOW]:
+            word, grams, _ = toxicity.word_features([w])
+            word, grams = toxicity.kept_rows(word, p["word_kept"]), toxicity.kept_rows(grams, p["gram_kept"])
+            xs.append(np.concatenate([p["words"][word[0]], p["grams"][grams].mean(axis=0)]))
+        both = []
+        for d in "fb":
+            state, states = np.zeros(h), []
+            for x in xs if d == "f" else xs[::-1]:
+                i, u = x @ p[f"W{d}"] + p[f"c{d}"], state @ p[f"U{d}"]
+                z, r = 1 / (1 + np.exp(-(i[:h] + u[:h]))), 1 / (1 + np.exp(-(i[h : 2 * h] + u[h : 2 * h])))
+                state = (1 - z) * np.tanh(i[2 * h :] + r * u[2 * h :]) + z * state
+                states.append(state)
+            both.append(states if d == "f" else states[::-1])
+        if not xs:
+            out.append(float(p["b"][0]))
+            continue
+        hs = np.concatenate([np.array(b) for b in both], axis=1)
+        a = np.exp(np.tanh(hs @ p["A"]) @ p["v"])
+        out.append(float((a / a.sum()) @ hs @ p["w"] + p["b"][0]))
+    return sorted(out, reverse=True)
+
+
+def test_toxicity_query_against_a_plain_network(spark, tmp_path):
+    """The query's scores, over all windows of all texts, by plain loops; its columns, held-out rows and threshold."""
+    docs, labels = toxic_corpus(spark, 60)
+    docs = docs.where("doc_id is null or doc_id <> 902").unionByName(docs_of(spark, [(903, "vile lona " * 40), (904, " \n")]))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    model = toxicity.fit(docs, labels)
+    w = model["fit"]
+    got = toxicity.op6_toxicity(spark, str(tmp_path))
+    assert dict(got.dtypes) == {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"}
+    found = {r["doc_id"]: r for r in got.collect()}
+    for r in docs.collect():
+        tops = plain_window_logits(model, r["text"])
+        tops = [tops[min(k, len(tops) - 1)] for k in range(3)]
+        score = 1 / (1 + np.exp(-(w[0] * tops[0] + w[1] * np.mean(tops) + w[2])))
+        mine = found[r["doc_id"]]
+        assert abs(mine["score"] - score) < 1e-4 and mine["predicted"] == (mine["score"] >= 0.3)
+        assert mine["held_out"] == (zlib.crc32(str("null" if r["doc_id"] is None else r["doc_id"]).encode()) % 4 == 2)
+
+
 def test_toxicity_gradient():
     r = np.random.default_rng(0)
     p = {k: v.astype(np.float64) for k, v in toxicity.initial(1).items()}
@@ -381,9 +557,54 @@ def test_packing(spark):
         whole.setdefault(p["doc_id"], []).extend(p["ids"])
     assert all(expected[i, tuple(whole[i])] == 1 for i in unique)
     assert sum(p["length"] for p in pieces) == sum(len(k[1]) * n for k, n in expected.items())
+    # Each id of each row, those with a repeated id included, is in exactly one piece.
+    covered, needed = Counter(), Counter()
+    for p in pieces:
+        covered.update((p["doc_id"], p["doc_tokens"], p["start"] + k, x) for k, x in enumerate(p["ids"]))
+    for (i, ids), n in expected.items():
+        needed.update({(i, len(ids), k, x): n for k, x in enumerate(ids)})
+    assert covered == needed
     assert packing.pack(docs_of(spark, EMPTY), packing.tokenizer_path()).count() == 0
 
 
+def test_packing_goes_on_in_pools(spark):
+    """Remainders of 8 tasks in one pool, in several, and handed over early: all ids once, and little left that is shorter than a window."""
+    texts = [(k, "word " * (k * 7 % 60)) for k in range(200)]
+    df = docs_of(spark, texts, parts=8)
+    total = sum(len((t or "").split()) + 1 for _, t in texts)
+    for pool in (1 << 20, 200):
+        pieces = packing.pack(df, packing.tokenizer_path(), window=64, with_ids=False, pool=pool, most_open=6).collect()
+        assert sum(p["length"] for p in pieces) == total and "ids" not in pieces[0].asDict()
+        ends = Counter()
+        for p in pieces:
+            ends[p["sequence_id"]] += p["length"]
+        assert all(n <= 64 and n & (n - 1) == 0 for n in ends.values())
+    assert rows(packing.pack(df, packing.tokenizer_path(), window=64)) == rows(packing.pack(df, packing.tokenizer_path(), window=64))
+
+
+def test_packer_closes_the_fullest_first_and_hands_over():
+    handed = []
+    packer = packing.Packer(lambda pieces: None, window=10, most_open=2, hand_over=handed.append)
+    for size in (6, 9, 7):
+        packer.place((size, 0, np.zeros(size, np.uint32), size))
+    assert [[p[0] for p in pieces] for pieces in handed] == [[9, 7, 6]] and packer.n_open == 0 and not packer.counts.any()
+    written = []
+    packer = packing.Packer(written.append, window=8)
+    packer.lay([("a", 0, np.arange(5), 5), ("b", 0, np.arange(8), 8), ("c", 0, np.arange(6), 6)])
+    assert [[(p[0], p[1], len(p[2])) for p in w] for w in written] == [[("a", 0, 5), ("b", 0, 3)], [("b", 3, 5), ("c", 0, 3)], [("c", 3, 2)], [("c", 5, 1)]]
+
+
+def test_other_tokenizers_get_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    words, whole = packing.WordIds(path), Tokenizer.from_file(path)
+    assert not words.cuts and packing.WordIds(packing.tokenizer_path()).cuts
+    for x in ("Hello  World 123", "", "É don't"):
+        assert words.encode([x])[0].tolist() == whole.encode(x, add_special_tokens=False).ids
+
+
 def test_ids_of_every_plain_character():
     from tokenizers import Tokenizer
 
@@ -432,19 +653,65 @@ def plain_removal(texts, length):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("length,anchor,chunk", [(12, 6, 1 << 20), (12, 6, 40), (40, 20, 1 << 20)])
-def test_repeats(spark, monkeypatch, length, anchor, chunk):
-    monkeypatch.setattr(repeats, "CHUNK", chunk)
+@pytest.mark.parametrize("length,anchor,most_kinds", [(12, 6, 2000), (12, 6, 1), (12, 6, 3), (40, 20, 2000)])
+def test_repeats(spark, length, anchor, most_kinds):
     r = random.Random(length)
     passage = "".join(r.choice("abcdefgh é") for _ in range(90))
     texts = [(k, "".join(r.choice("ab") for _ in range(r.randint(0, 50))) + (passage[r.randint(0, 20) :] if k % 3 == 0 else "")) for k in range(40)]
     texts += [(100, None), (101, ""), (102, "a" * 60), (103, texts[0][1]), (103, texts[0][1])]
     df = docs_of(spark, texts).withColumns({"uid": F.lit(1), "g": F.lit(2), "starts": F.lit(3)})
-    got = repeats.remove_repeats(df, length=length, anchor=anchor).collect()
+    got = repeats.remove_repeats(df, length=length, anchor=anchor, most_kinds=most_kinds).collect()
     assert sorted([tuple(r)[:5] for r in got], key=repr) == plain_removal(texts, length)
     assert all((r["kept"] is None) == (r["n_spans"] == 0) for r in got)
 
 
+def test_stretches_hold_each_window_once(monkeypatch):
+    monkeypatch.setattr(repeats, "CHUNK", 40)
+    r = random.Random(12)
+    texts = ["".join(r.choice("ab") for _ in range(n)).encode() for n in (0, 11, 12, 39, 40, 41, 80, 200)]
+    found = Counter()
+    roll = repeats.Rolling(1)
+    for k, lo, hi, _, _ in repeats.ranges(texts, roll, 12, 6):
+        for a, b, c in zip(k.tolist(), lo.tolist(), hi.tolist(), strict=True):
+            found.update((a, p) for p in range(b, c + 1))
+    assert found == Counter((k, p) for k, t in enumerate(texts) for p in range(len(t) - 11))
+    hashes = lambda lo, hi: np.concatenate(list(repeats.window_hashes(roll, np.frombuffer(texts[-1], np.uint8), lo, hi, 12)))
+    assert hashes(3, 150).tolist() == np.concatenate([hashes(p, p) for p in range(3, 151)]).tolist()
+
+
+def test_repeats_query_at_production_length(spark, tmp_path):
+    r = random.Random(13)
+    words = [f"w{k}" for k in range(300)]
+    say = lambda n: " ".join(r.choice(words) for _ in range(n))
+    passages = [say(110) for _ in range(3)]
+    texts = [(k, f"{say(r.randint(0, 40))} {passages[k % 3][: r.randint(300, 450)]} {say(r.randint(0, 40))}") for k in range(24)]
+    texts += [(50, None), (51, ""), (52, passages[0] * 3), (53, texts[0][1])]
+    short = [" ".join(r.choice("abcdefgh") for _ in range(60)) for _ in range(4)]
+    texts += [(60, f"{say(30)}\n{short[0]} {say(9)}"), (61, short[0].replace(" ", " \t")), (62, f"{say(20)} {' '.join(short[1].split()[:39])} {say(20)}"), (63, short[1]), (64, f"{short[2]} {short[2]}"), (65, short[3])]
+    docs_of(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = repeats.op8_repeats(spark, str(tmp_path))
+    assert got.columns[:5] == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert rows(got.select(got.columns[:5])) == plain_removal(texts, 400)
+    shared = {x["doc_id"]: x["n_shared"] for x in got.collect()}
+    held = {i: {tuple(ws[k : k + n]) for ws in [(t or "").split()] for n in (40, 50) for k in range(len(ws) - n + 1)} for i, t in texts}
+    for i in held:
+        common = {g for j in held if j != i for g in held[i] & held[j]}
+        assert (shared[i] > 0 or not any(len(g) == 50 for g in common)) and (shared[i] == 0 or common), i
+    assert shared[60] and shared[61] and not shared[62] and not shared[63] and not shared[64] and not shared[65]
+
+
+def test_phrases_of_long_texts(monkeypatch):
+    """Cut into stretches or not, the same strings are chosen."""
+    r = random.Random(14)
+    texts = [" ".join("x" * r.randint(1, 9) + str(r.randint(0, 99)) for _ in range(n)).encode() for n in (0, 5, 49, 50, 51, 400, 3000)]
+    roll = repeats.Rolling(1)
+    pairs = lambda: {p for k, g in repeats.phrases(texts, roll) for p in zip(k.tolist(), g.tolist(), strict=True)}
+    whole = pairs()
+    monkeypatch.setattr(repeats, "CHUNK", 1500)
+    assert pairs() == whole and {k for k, _ in whole} == {3, 4, 5, 6}
+    assert list(repeats.phrases([b"y" * 5000 + b" z" * 60], roll))
+
+
 def test_repeats_empty(spark):
     assert rows(repeats.remove_repeats(docs_of(spark, EMPTY))) == []
 
@@ -455,14 +722,16 @@ def test_repeats_empty(spark):
 def test_top_k(spark):
     r = np.random.default_rng(6)
     vectors = [(k, [float(x) for x in r.integers(-3, 4, 5) / 4]) for k in range(120)]
-    vectors += [(50, vectors[3][1]), (7, vectors[7][1]), (None, vectors[0][1]), (200, None), (201, []), (250, [1.0, None]), (251, [float("nan")] * 5), (300, [1.5, -2.0]), (301, [0.5, 100.0]), (302, [float("inf")] * 5)]
+    vectors += [(50, vectors[3][1]), (100, vectors[100][1]), (100, vectors[100][1]), *[(61, vectors[50][1])] * 9, (7, vectors[7][1]), (None, vectors[0][1]), (200, None), (201, []), (250, [1.0, None]), (251, [float("nan")] * 5), (300, [1.5, -2.0]), (301, [0.5, 100.0]), (302, [float("inf")] * 5)]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumns({"id": F.lit(1), "v": F.lit(2), "block": F.lit(3)})
     got = rows(topk.top_k(df, F.col("vec_id") % 50 == 0, k=4, block=16, queries=2))
     good = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in vectors if v and all(x is not None and np.isfinite(x) for x in v)]
     expected = []
     for q, a in good:
         if q is not None and q % 50 == 0:
-            found = sorted(((-sum(x * y for x, y in zip(a, b, strict=True)), i is None, i or 0) for i, b in good if i != q and len(a) == len(b)))[:4]
+            rest = list(good)
+            rest.remove((q, a))
+            found = sorted(((-sum(x * y for x, y in zip(a, b, strict=True)), i is None, i or 0) for i, b in rest if len(a) == len(b)))[:4]
             expected += [(q, n + 1, None if none else i, -s) for n, (s, none, i) in enumerate(found)]
     assert got == sorted(expected, key=repr)
     assert rows(topk.top_k(spark.createDataFrame(EMPTY, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0)) == []
@@ -503,6 +772,21 @@ def test_pii_takes_linear_time(text):
     pii.spans(text)
 
 
+def test_pii_query_against_a_plain_version(spark, tmp_path):
+    """The query's rows over whole texts: counts, digest and written spans."""
+    r = random.Random(11)
+    texts = [(k, "".join(r.choice(["a.b@c.de ", "4111 1111 1111 1111 ", "1.2.3.4 ", "+1 (456) 555-2186 ", "999.1.1.1 ", "é word ", "ssn 123-45-6789 ", "DE89370400440532013000 "]) for _ in range(r.randint(0, 30)))) for k in range(40)]
+    docs_of(spark, [*texts, (100, None), (101, ""), (None, "x@y.z"), (102, "word " * 50_000 + "q@r.st")]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x["doc_id"]: x for x in pii.op10_pii(spark, str(tmp_path)).collect()}
+    for i, t in [*texts, (100, ""), (101, ""), (None, "x@y.z"), (102, "word " * 50_000 + "q@r.st")]:
+        order = {k: n for n, k in enumerate(pii.BASE)}
+        base = sorted(plain_base(t), key=lambda s: (order[s[0]], s[1]))
+        written = [f"{k}:{a}:{b}" for k, a, b in base]
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(written).encode()).hexdigest()
+        assert {k: got[i][f"n_{k}"] for k in pii.BASE} == {k: sum(s[0] == k for s in base) for k in pii.BASE}
+        assert [s for s in got[i]["spans"].split(",") if s.split(":")[0] in pii.BASE] == written
+
+
 def test_pii_rows(spark):
     texts = [(1, "x a@b.c y"), (1, "x a@b.c y"), (2, None), (3, ""), (None, "1.2.3.4")]
     got = rows(pii.find_pii(docs_of(spark, texts).withColumn("spans", F.lit(1))))

@@ -34,6 +34,26 @@ def test_stages_keep_columns_and_meet_plain_versions(spark, tmp_path):
     assert packed.where("start = 0").count() == mixed.count()
 
 
+def test_stages_carry_columns_of_every_kind(spark, tmp_path):
+    """Extra columns, a map and names that clash with inner ones included, nulls in labels, repeated rows, and empty documents."""
+    from pyspark.sql import functions as F
+
+    docs, labels = toxic_corpus(spark, 60)
+    docs = docs.unionByName(docs_of(spark, some_texts()))
+    docs = docs.withColumns({"m": F.create_map(F.lit("k"), F.col("text")), "content": F.lit(1), "row": F.array(F.lit(2.5)), "fp": F.lit(None).cast("string"), "best": F.struct(F.col("lang"), F.create_map(F.lit(1), F.lit(2)).alias("n"))})
+    docs = docs.unionByName(docs.limit(9))
+    labels.unionByName(spark.createDataFrame([(None, 1), (None, None), (3, None)], labels.schema)).write.parquet(str(tmp_path / "labels.parquet"))
+    for rows_in in (docs, docs.limit(0)):
+        now, many = rows_in, rows_in.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            after = stage(spark, now, str(tmp_path)).cache()
+            assert after.dtypes == docs.dtypes, name
+            assert (after.count() > 0) == (many > 0), name
+            assert after.where("text is not null and m['k'] <> text").count() == 0
+            now = after
+        assert (corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).count() > 0) == (many > 0)
+
+
 def test_run(spark, tmp_path):
     docs, labels = toxic_corpus(spark, 60)
     written(docs, tmp_path)
