@@ -1,7 +1,7 @@
 """Evaluation statistics as aggregations and windows.
 
-Aggregations are partial before they shuffle. Global windows only ever run over pre-aggregated rows (one for each different
-score or group), never over the records themselves.
+Aggregations are partial before they shuffle. Windows run over counted values, in parts of a group (`running`); only windows over parts or
+groups are in one task.
 """
 
 from __future__ import annotations
@@ -50,25 +50,50 @@ def describe(column: str) -> list[Column]:
     ]
 
 
-def at_index(df: DataFrame, value: str, places: dict[str, Column], by: list[str] | None = None) -> DataFrame:
-    """Values at sorted positions; a place is an expression of n, the number of values, counted from 0.
+def running(counts: DataFrame, by: list[str], value: str, columns: list[str], parts: int = 200) -> DataFrame:
+    """counts (a row for each different number `value` of a group) with, for each column, its sum over smaller values (_before) and over all (_all).
+
+    A group's values are cut at approximate percentiles: sums run within a part, and parts add what lies in those before. So no task holds more
+    than a part of a group, also where each row has a value of its own."""
+    cuts = counts.groupBy(*by).agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 10_000).alias("__cuts"))
+    if by:
+        cuts = cuts.select(*[F.col(b).alias(f"__cut_{b}") for b in by], "__cuts")
+        rows = counts.join(cuts, [F.col(b).eqNullSafe(F.col(f"__cut_{b}")) for b in by]).select(*counts.columns, "__cuts")
+    else:
+        rows = counts.withColumn("__cuts", cuts.scalar())
+    rows = rows.withColumn("__part", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
+    sums = rows.groupBy(*by, "__part").agg(*[F.sum(c).alias(c) for c in columns])
+    group = Window.partitionBy(*by)
+    earlier = group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = [F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"__of_{c}") for c in columns]
+    offsets = sums.select(*[F.col(b).alias(f"__{b}") for b in by], F.col("__part").alias("__of"), *before, *[F.sum(c).over(group).alias(f"{c}_all") for c in columns])
+    inside = Window.partitionBy(*by, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({f"__in_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in columns})
+    joined = rows.join(offsets, [F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by] + [F.col("__part") == F.col("__of")])
+    return joined.select(*counts.columns, *[(F.col(f"__in_{c}") + F.col(f"__of_{c}")).alias(f"{c}_before") for c in columns], *[f"{c}_all" for c in columns])
+
 
-    Values are counted first, so a group is as long as its number of different values."""
+def at_index(df: DataFrame, value: str, places: dict[str, Column], by: list[str] | None = None) -> DataFrame:
+    """Values at sorted positions; a place is an expression of n, the number of values, counted from 0. Values are counted first."""
     by = by or []
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("times"))
-    order = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumns({"upto": F.sum("times").over(order), "n": F.sum("times").over(Window.partitionBy(*by))})
-    inside = lambda at: (at >= F.col("upto") - F.col("times")) & (at < F.col("upto"))
-    return counts.groupBy(*by).agg(*[F.min(F.when(inside(at), F.col(value))).alias(name) for name, at in places.items()])
+    ranked = running(counts, by, value, ["times"]).withColumn("n", F.col("times_all"))
+    inside = lambda at: (at >= F.col("times_before")) & (at < F.col("times_before") + F.col("times"))
+    return ranked.groupBy(*by).agg(*[F.min(F.when(inside(at), F.col(value))).alias(name) for name, at in places.items()])
+
+
+def average_ranks(df: DataFrame, value: str) -> DataFrame:
+    """The different values with their rank; equal values share the average of their ranks."""
+    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("times"))
+    return running(counts, [], value, ["times"]).select(value, (F.col("times_before") + 1 + (F.col("times") - 1) / F.lit(2.0)).alias("rank"))
 
 
 def auroc(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
     """Mann-Whitney area with average ranks for ties; null with one class. Scores are counted before they are ranked."""
     by = by or []
     counts = df.groupBy(*by, score).agg(F.count_if(F.col(label)).alias("pos"), F.count_if(~F.col(label)).alias("neg"))
-    below = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    wins = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / F.lit(2.0)))
+    ranked = running(counts, by, score, ["neg"])
+    wins = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / F.lit(2.0)))
     return ranked.groupBy(*by).agg(F.round(F.try_divide(wins, (F.sum("pos") * F.sum("neg")).cast("double")), 6).alias("auroc"))
 
 

@@ -104,13 +104,8 @@ def auroc_ties(spark, sf_dir):
 
 @query(f"""WITH {SCORED_SQL} SELECT doc_id, (rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0::DOUBLE)::DOUBLE AS rank FROM scored""")
 def average_rank(spark, sf_dir):
-    from pyspark.sql import Window
-
     rows = scored(spark, sf_dir).select("doc_id", "p")
-    counts = rows.groupBy("p").agg(F.count(F.lit(1)).alias("times"))
-    below = F.coalesce(F.sum("times").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select("p", (below + 1 + (F.col("times") - 1) / F.lit(2.0)).alias("rank"))
-    return rows.join(ranks, "p").select("doc_id", "rank")
+    return rows.join(S.average_ranks(rows, "p"), "p").select("doc_id", "rank")
 
 
 BINS_SQL = "b AS (SELECT least(floor(p * 10), 9)::INTEGER AS bin, count(*) AS n, avg(p) AS mp, avg(CASE WHEN toxic THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS y, avg(good::INT::DOUBLE) AS y2 FROM scored GROUP BY 1)"

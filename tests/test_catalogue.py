@@ -54,6 +54,30 @@ def test_bootstrap_intervals(spark):
     assert S.bootstrap(df, "x", by=["g"]).orderBy("g").collect() == S.bootstrap(df.repartition(7), "x", by=["g"]).orderBy("g").collect()
 
 
+def test_running_sums_in_parts(spark):
+    """Many values, few, ties, nulls in the group and in the value, negative numbers, one group and none."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from fathomline.operators import statistics as S
+
+    r = random.Random(6)
+    rows = [(r.choice(["a", "b", None]), r.choice([r.randint(-50, 50) / 4, 0.25]), r.random() < 0.4) for _ in range(3000)] + [("c", 1.0, True)]
+    df = spark.createDataFrame(rows, "g string, x double, y boolean").repartition(5)
+    for by in (["g"], []):
+        counts = df.groupBy(*by, "x").agg(F.count(F.lit(1)).alias("times"))
+        got = {(*[row[b] for b in by], row["x"]): (row["times_before"], row["times_all"]) for row in S.running(counts, by, "x", ["times"], parts=7).collect()}
+        of = lambda key: [x for g, x, _ in rows if not by or g == key[0]]
+        assert got == {(*([g] if by else []), x): (sum(v < x for v in of((g,))), len(of((g,)))) for g, x, _ in rows}
+    want = {}
+    for g in ("a", "b", None, "c"):
+        pos, neg = [x for h, x, y in rows if h == g and y], [x for h, x, y in rows if h == g and not y]
+        want[g] = round(sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg)), 6) if pos and neg else None
+    assert {row["g"]: row["auroc"] for row in S.auroc(df, "x", "y", ["g"]).collect()} == want
+    assert S.at_index(df.limit(0), "x", {"m": F.floor(F.col("n") / 2)}).collect()[0]["m"] is None
+
+
 def test_pairs_of_all_part_groups(spark, tmp_path):
     spark.createDataFrame([(1, 60), (1, 107), (1, 49), (2, 10), (2, 7), (3, 3), (3, 103)], "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
     found = catalogue.QUERIES["pair_containment"](spark, str(tmp_path)).collect()
