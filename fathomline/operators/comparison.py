@@ -96,3 +96,10 @@ def select_run(runs: DataFrame, band: float = 0.005) -> DataFrame:
     """runs: label, ord, macro, unsupported, over_call. The run that is chosen: of those within the band of the best macro the one with the fewest unsupported
     arguments, then over-calls, then the first."""
     return R.near_best(runs, "macro", band, [F.asc("unsupported"), F.asc("over_call"), F.asc("ord")])
+
+
+def audit_rates(stored: DataFrame, scored: DataFrame) -> DataFrame:
+    """Rates of a run as they were stored (metric, k, n) against those of its rows judged again: metrics that differ, with both."""
+    again = bundle(scored).where("k is not null").select("metric", F.col("k").alias("k2"), F.col("n").alias("n2"))
+    both = stored.where("k is not null").select("metric", "k", "n").join(again, "metric", "full")
+    return both.where(~(F.col("k").eqNullSafe(F.col("k2")) & F.col("n").eqNullSafe(F.col("n2"))))

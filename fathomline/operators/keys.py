@@ -125,6 +125,14 @@ class Question:
             return "high"
         return "low" if self.says(r"\bbelow|\blow\b|\breduced|\bdecreased") else "normal" if self.says(r"\bwithin|\bnormal\b") else "abnormal"
 
+    @property
+    def pool(self) -> dict[str, Fact]:
+        """Values that a question about several can mean: those of the table; laboratory values of the note, if it asks for these and the table has vital signs."""
+        vital = {*VITAL_RANGES, "Blood Pressure"}
+        if self.table and set(self.table) <= vital and self.says(r"\blabs?\b|\blaboratory\b|\bpanel\b|\btests?\b|\blipid|\bthyroid|\bliver|\brenal|\biron\b|\bCBC\b"):
+            return {n: f for n, f in self.facts.items() if n not in vital and f.value is not None}
+        return {} if self.says(r"\bvital") and not set(self.table) & vital else self.table
+
     def threshold(self) -> float | None:
         """A number of the clause that isn't the subject's own value."""
         return next((x for x in D.numbers(self.clause) if self.fact is None or x != self.fact.value), None)
@@ -155,7 +163,7 @@ def entity_rule(q: Question) -> list[Check] | None:
     """Which value stands out most: relative to its bound, or, in one unit of distance, by its difference."""
     if not q.says(r"\b(?:which|what)\b.{0,70}\b(?:most|greatest|largest|furthest|highest|more)\b"):
         return None
-    pool = [q.facts[n] for n in dict.fromkeys(q.named)] if len(set(q.named)) > 1 else list(q.table.values())
+    pool = [q.facts[n] for n in dict.fromkeys(q.named)] if len(set(q.named)) > 1 else list(q.pool.values())
     before = [q.checks[-1].subject] if q.checks and q.says(r"\bother\b") else []
     wanted = KINDS[q.kind] if q.says(r"elevated|above|high|below|\blow\b") else D.LOW | D.HIGH
     odd = [f for f in pool if f.state & wanted & (D.LOW | D.HIGH) and f.name not in before]
@@ -167,12 +175,12 @@ def entity_rule(q: Question) -> list[Check] | None:
 
 
 def set_rule(q: Question) -> list[Check] | None:
-    """Which values are in a state; only those of the table can be asked for."""
+    """Which values of the pool are in a state."""
     asks = r"\b(?:which|what|any) other\b|\bany of\b|\bis any\b|\bare (?:any|all|there any)\b|\bthe only\b|\bwhich (?:\w+ ){0,3}(?:values?|tests?|parameters?|labs?|results?|markers?)\b|\bwhich of\b"
-    if not q.table or not q.says(asks) or q.says(r"\bby how\b|how many times|\bpercent"):
+    if not q.pool or not q.says(asks) or q.says(r"\bby how\b|how many times|\bpercent"):
         return None
     before = [q.checks[-1].subject] if q.checks and q.checks[-1].subject and q.says(r"\bother\b|\bonly\b|\balso\b") else []
-    members = sorted(n for n, f in q.table.items() if f.state & KINDS[q.kind] and n not in before)
+    members = sorted(n for n, f in q.pool.items() if f.state & KINDS[q.kind] and n not in before)
     return [Check("set", None, members, accept=[q.kind], exclude=before)]
 
 

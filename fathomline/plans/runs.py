@@ -40,6 +40,14 @@ def rate_bundle(spark, sf_dir):
     return M.bundle(scored(spark, sf_dir)).where("metric not in ('unsupported_argument_rate', 'tool_result_in_answer')").select("metric", "k", "n", "rate")
 
 
+@query(f"{RECORDS}, {FLAGS} SELECT 'uncertainty_detection_rate' AS metric, count_if(correct)::BIGINT + 1 AS k, count(*)::BIGINT AS n, count_if(correct)::BIGINT AS k2, count(*)::BIGINT AS n2 FROM v WHERE answer_type = 'uncertain'")
+def rates_audit(spark, sf_dir):
+    """Stored rates of which one is off by one, against the rows judged again."""
+    rows = scored(spark, sf_dir)
+    stored = M.bundle(rows).withColumn("k", F.col("k") + (F.col("metric") == "uncertainty_detection_rate").cast("long"))
+    return M.audit_rates(stored, rows)
+
+
 @query(f"{RECORDS}, {FLAGS} SELECT id, n AS ord, unsupported FROM v")
 def unsupported_calls(spark, sf_dir):
     return scored(spark, sf_dir).select("id", "ord", F.col("unsupported_args").alias("unsupported"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
-    """file (name), bytes, sha256 of the files in a folder or behind a pattern."""
+    """file (name), bytes, sha256 of the files in a folder or behind a pattern. A file is read as one value, so it may have 2 GB at most."""
     name = F.element_at(F.split("path", "/"), -1)
     return spark.read.format("binaryFile").load(path).select(name.alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 

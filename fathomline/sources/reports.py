@@ -100,6 +100,11 @@ class Log:
         return spark.read.schema(schema).json(str(self.path))
 
 
+def follow(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """A stream of the lines of all logs in a folder, each file once it is there; a log that is still written should be moved there when it is done."""
+    return spark.readStream.schema(schema).json(folder)
+
+
 def versions(*packages: str) -> dict[str, str | None]:
     """Installed versions, null for what isn't there, and those of Python and the system."""
     out: dict[str, str | None] = {"python": platform.python_version(), "system": platform.platform()}

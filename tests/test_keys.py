@@ -52,6 +52,13 @@ def test_keys(question, kinds):
     assert [c.kind for c in K.build_key(NOTE, ROWS, question, "At home.").checks] == kinds
 
 
+def test_values_that_a_question_can_mean():
+    vitals = [["Heart Rate", "111", "bpm"], ["SpO2", "97", "%"]]
+    of = lambda rows, question: K.build_key("ALT 99. AST 20.", rows, question, "").checks[0].want
+    assert of(vitals, "Which labs are abnormal?") == ["ALT"] and of(vitals, "Which values are abnormal?") == ["Heart Rate"] and of(vitals, "Which lab test is the most elevated?") == "ALT"
+    assert K.build_key("", ROWS, "Which vital signs are abnormal?", "x").coverage == "text"
+
+
 CASES = [
     ("What is the sodium?", "151 mmol/L.", None), ("What is the sodium?", "It is 115.", "value:missing"), ("Is the ALT within the normal range?", "Yes.", None), ("Is the ALT within the normal range?", "ALT is low.", "status:wrong"),
     ("Is the ALT within the normal range?", "It can be.", "status:not_stated"), ("By how much does the sodium exceed the upper limit?", "Sodium exceeds it by 6 mmol/L.", None),

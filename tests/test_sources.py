@@ -107,6 +107,9 @@ def test_log_and_provenance(spark, tmp_path):
     assert [tuple(r) for r in log.read(spark, "step long, loss double").collect()] == [(1, 0.5), (2, 0.25)]
     with pytest.raises(ValueError):
         log.write(loss=float("nan"))
+    stream = reports.follow(spark, str(tmp_path / "l"), "step long, loss double").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "s"))
+    stream.awaitTermination(60)
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 2
     assert reports.digest({"b": 1, "a": [2]}) == reports.digest({"a": [2], "b": 1}) and reports.versions("pyspark", "no-such")["no-such"] is None
     a, b = reports.protocol({"x": {"y": 1}}, "p", {"f": "1"}), reports.protocol({"x": {"y": 1}}, "p", {"f": "2"})
     assert [d[0] for d in reports.protocol_differences(a, b)] == ["file:f", "protocol"]
