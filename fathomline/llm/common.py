@@ -34,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-#: Rows that go to Python at a time while a table is written: with texts of some thousand bytes, Spark's 10,000 hold much memory twice.
+#: Rows that go to Python at a time after small_batches: with texts of some thousand bytes, Spark's 10,000 are held twice.
 BATCH_ROWS, BATCH_KEY = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -48,12 +48,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: the lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/fathomline-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(BATCH_KEY)
-    small_batches(spark)
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(BATCH_KEY, before)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
