@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_windows, exact_dedup, html_text, mixing, packing, pii, repeats, simhash, topk, toxicity
+from . import chat_windows, exact_dedup, html_text, licenses, mixing, packing, pii, repeats, simhash, stamps, topk, toxicity, trie
 
 QUERIES = {
     "op1_chat_windows": chat_windows.op1_chat_windows,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_repeats": repeats.op8_repeats,
     "op9_topk": topk.op9_topk,
     "op10_pii": pii.op10_pii,
+    "op11_prefix_trie": trie.op11_prefix_trie,
+    "op12_timestamps": stamps.op12_timestamps,
+    "op13_licenses": licenses.op13_licenses,
 }
 
 ORACLES = {
@@ -22,4 +25,6 @@ ORACLES = {
     "op3_exact_dedup": exact_dedup.SQL,
     "op5_mixing": mixing.SQL,
     "op9_topk": topk.SQL,
+    "op11_prefix_trie": trie.SQL,
+    "op12_timestamps": stamps.SQL,
 }
