@@ -102,7 +102,7 @@ def changes(zone: str, first: int = 1999, last: int = 2101) -> list[tuple[int, i
     the clock skips), led by the offset at the start; empty for a name that is no zone's."""
     try:
         where = ZoneInfo(zone)
-    except (OSError, ValueError):
+    except (KeyError, OSError, ValueError):
         return []
 
     def offset(at: int) -> int:

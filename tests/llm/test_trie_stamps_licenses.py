@@ -151,7 +151,7 @@ def plain_stamps(table):
         if shift is None:
             try:
                 where = ZoneInfo(zone)
-            except (TypeError, ValueError, OSError):
+            except (TypeError, ValueError, OSError, KeyError):
                 out.append((None, "bad", False))
                 continue
             folds = [wall.replace(tzinfo=where, fold=f).utcoffset() for f in (0, 1)]
