@@ -10,7 +10,7 @@ page none of whose texts lie in a subtree that can be template counts like any o
 
 Second pass: template subtrees are deleted; the main text is looked for in what is left: the article element (of several
 the longest), else main, else the body. What a page says of itself to be beside the text goes too: navigation, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers.
+footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers. Ids of headings and text blocks never tell against them, nor does a class that only has such a word in it.
 
 Inside an article plain text blocks that recur on a site, such as a licence line, are content and stay; other recurring
 subtrees go. An article that recurs, such as a card that advertises another page, goes if its page has others.
@@ -67,20 +67,28 @@ ASIDE_WORDS = frozenset(
     footer masthead comment comments disqus reply replies respond promo promotion sponsor sponsored newsletter subscribe subscription signup social share sharing
     related recommended popup modal widget toolbar pagination pager skip""".split()
 )
+#: Classes of several words that stand beside a text wherever they are, and ids of parts of a page.
+ASIDE_CLASSES = ASIDE_WORDS | frozenset(
+    """ad-slot ad-banner ad-container advert-box comment-list comments-area comments-section cookie-banner cookie-notice cookie-consent newsletter-signup page-header
+    related-posts related-articles share-buttons share-bar site-footer site-header site-nav social-links social-share""".split()
+)
+ASIDE_IDS = frozenset("ads breadcrumbs comments cookie-banner cookie-notice disqus_thread footer header masthead menu nav navbar respond sidebar".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 KEPT_TAGS = frozenset("html body article main".split())
 
 
 class Element:
-    __slots__ = ("tag", "words", "role", "hidden", "children", "hash", "size")
+    __slots__ = ("tag", "words", "id", "role", "hidden", "children", "hash", "size")
 
     def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.words, self.role, self.hidden, self.children = tag, "", "", False, []
+        self.tag, self.words, self.id, self.role, self.hidden, self.children = tag, "", "", "", False, []
         if attributes.strip():
             for m in ATTRIBUTE.finditer(attributes):
                 name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-                if name in ("class", "id"):
-                    self.words += f" {value}"
+                if name == "class":
+                    self.words += f" {value.lower()}"
+                elif name == "id":
+                    self.id = value.lower()
                 elif name == "role":
                     self.role = value.lower()
                 elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
@@ -178,7 +186,7 @@ def hash_subtrees(root: Element) -> None:
     from xxhash import xxh64_intdigest
 
     for node in in_post_order(root):
-        parts, size = [node.tag, node.words], 0
+        parts, size = [node.tag, node.words, node.id], 0
         for c in node.children:
             if isinstance(c, str):
                 if c and not c.isspace():
@@ -192,19 +200,27 @@ def hash_subtrees(root: Element) -> None:
 
 
 def beside(node: Element, in_article: bool) -> bool:
-    """Whether an element says of itself that it isn't part of the text."""
+    """Whether an element says of itself that it isn't part of the text.
+
+    Classes count as a whole (`notice`, not `notice-period`); only outside of articles, and of elements that hold others, do their parts count. Ids count as a whole, and of
+    a div only: those of headings and text blocks are made of the text."""
     if node.tag in KEPT_TAGS and not (node.tag == "article" and in_article):
         return False
     if node.tag in ASIDE_TAGS or node.hidden or node.role in ASIDE_ROLES or node.tag == "header" and not in_article:
         return True
+    if node.tag == "div" and node.id in ASIDE_IDS and not (in_article and node.id == "header"):
+        return True
     if node.words:
-        words = set(re.split(r"[\s_-]+", node.words.lower()))
-        return bool(words & ASIDE_WORDS) or not in_article and "header" in words
+        if named_aside(node):
+            return True
+        if not in_article and node.tag in BLOCKS and node.tag not in TEXT_BLOCKS:
+            parts = set(re.split(r"[\s_-]+", node.words))
+            return bool(parts & ASIDE_WORDS) or "header" in parts
     return False
 
 
 def named_aside(node: Element) -> bool:
-    return bool(node.words) and bool(set(re.split(r"[\s_-]+", node.words.lower())) & ASIDE_WORDS)
+    return bool(node.words) and not ASIDE_CLASSES.isdisjoint(node.words.split())
 
 
 class Page:
