@@ -5,11 +5,11 @@ placed online: of all fill levels at which it fits, and a new window, the one th
 partially filled windows smallest. The counts are held in an array by level. A window that becomes full is written.
 
 Every task packs what it reads. The pieces of windows that are open at its end are not done: tasks' remainders are put
-together, in the order of tasks, to pools of about `pool` tokens, and each pool goes on placing them by sum of squares. Only
-what is open at the end of a pool is closed: its pieces are laid end to end and cut every `window` ids, and the last
-stretch is cut into powers of two, largest first, which need no padding. A pool is of whole remainders. A task that has
-`MOST_OPEN` windows open hands them over and begins anew, and a pool lays them, so that neither holds more than these (lengths
-that don't pack, such as all of 0.6 windows, would else leave every window open). Every id lies in exactly one piece.
+together, in the order of tasks, to pools of about `pool` tokens, and each pool goes on placing them by sum of squares. What is
+open at the end of a pool is put together to pools once more (`ROUNDS`). Only what is open at the end of the last round is closed: its
+pieces are laid end to end and cut every `window` ids, and the last stretch is cut into powers of two, largest first, which need no
+padding. A pool is of whole remainders, and has as many windows open as these need: its size in tokens is what bounds it. A task, which reads on
+without a bound, hands over the windows that are open when there are `MOST_OPEN`, and begins anew. Every id lies in exactly one piece.
 
 Sequence ids are numbered within the task or pool and carry its number, so that one that runs again gives the same. What
 the tasks packed is written to the shared folder before pools are formed.
@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from .common import materialize, rows_of, table
 
 WINDOW, END_ID = 4096, 2
-#: Pieces whose ids a task keeps, windows that a task may have open, and tokens that make a pool.
-KNOWN_PIECES, MOST_OPEN, POOL = 300_000, 4096, 16 << 20
+#: Pieces whose ids a task keeps, windows that a task may have open, tokens that make a pool, and rounds of pools.
+KNOWN_PIECES, MOST_OPEN, POOL, ROUNDS = 300_000, 4096, 16 << 20, 2
 #: Texts of these characters are cut into the tokenizer's own pieces here, as it would: lower-cased, then letters, single
 #: digits, and runs of others, white space between. Each of these letters is a letter to the tokenizer, normalised as it
 #: stands, and so is its lower case: capitals whose lower case lies beyond ɏ (Ə, Ɛ, Ɔ) go through the whole tokenizer.
@@ -159,9 +159,10 @@ def room(array: np.ndarray, size: int) -> np.ndarray:
 
 
 class Packer:
-    """Windows by sum of squares. write(pieces) gets the pieces of a finished window: (key, start, ids, whole length). Beyond most_open open windows, hand_over(pieces) gets those of all (default: they are closed)."""
+    """Windows by sum of squares. write(pieces) gets the pieces of a finished window: (key, start, ids, whole length). At the end, and beyond most_open open windows if that is given,
+    hand_over(pieces) gets those of all that are open (default: they are laid)."""
 
-    def __init__(self, write, window: int = WINDOW, most_open: int = MOST_OPEN, hand_over=None):
+    def __init__(self, write, window: int = WINDOW, most_open: int | None = None, hand_over=None):
         self.write, self.window, self.most_open, self.hand_over = write, window, most_open, hand_over or self.lay
         self.counts = np.zeros(window + 1, np.int64)  # open windows by fill level
         self.open: dict[int, list[list]] = {}
@@ -191,7 +192,7 @@ class Packer:
         self.counts[fill] += 1
         self.n_open += 1
         self.open.setdefault(fill, []).append(pieces)
-        if self.n_open > self.most_open:
+        if self.most_open and self.n_open > self.most_open:
             self.close()
 
     def best_level(self, size: int) -> int:
@@ -241,7 +242,7 @@ def as_bytes(ids: np.ndarray) -> bytes:
 
 
 def as_ids(data: bytes, length: int) -> np.ndarray:
-    return np.frombuffer(data, "<u2" if len(data) == 2 * length else "<u4").astype(np.uint32)
+    return np.frombuffer(data, "<u2" if len(data) == 2 * length else "<u4")
 
 
 class Rows:
@@ -274,7 +275,7 @@ class Rows:
         return pa.RecordBatch.from_arrays(arrays, names=[*FIELDS, "left", *more])
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, with_ids: bool = True, pool: int = POOL, most_open: int = MOST_OPEN) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, with_ids: bool = True, pool: int = POOL, most_open: int = MOST_OPEN, rounds: int = ROUNDS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with_ids the ids."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>, left binary"
@@ -295,39 +296,49 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         while out.rows:
             yield out.taken(key_type, 256, task=task)
 
-    def in_pools(batches):
-        """Rows sorted by pool, task and offset; a pool's windows are closed where the next one begins."""
-        number, out, packer, key_type = None, None, None, None
+    def in_pools(turn: int):
+        """Rows sorted by pool, task and offset; a pool's windows are closed where the next one begins, in the last round for good."""
         names = ["pool", "doc_id", "start", "doc_tokens", "length", "left"]
-        for batch in batches:
-            key_type = batch.column("doc_id").type
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for of, key, start, whole, length, left in zip(*(part.column(n).to_pylist() for n in names), strict=True):
-                    if of != number:
-                        if packer:
-                            packer.close()
-                            while out.rows:
-                                yield out.taken(key_type, 256)
-                        number, out = of, Rows((1 << 62) + (of << 36), with_ids)
-                        packer = Packer(out.write, window, most_open)
-                    packer.place((key, start, as_ids(left, length), whole))
-                if len(out.rows) >= 256:
-                    yield out.taken(key_type)
-        if packer:
-            packer.close()
-            while out.rows:
-                yield out.taken(key_type, 256)
+
+        def kernel(batches):
+            number, out, packer, key_type = None, None, None, None
+
+            def finished():
+                packer.close()
+                while out.rows:
+                    yield out.taken(key_type, 256, task=number)
+
+            for batch in batches:
+                key_type = batch.column("doc_id").type
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    for of, key, start, whole, length, left in zip(*(part.column(n).to_pylist() for n in names), strict=True):
+                        if of != number:
+                            if packer:
+                                yield from finished()
+                            number, out = of, Rows((1 << 62) + (turn << 59) + (of << 36), with_ids)
+                            packer = Packer(out.write, window, hand_over=None if turn == rounds - 1 else out.hand_over)
+                        packer.place((key, start, as_ids(left, length), whole))
+                    if len(out.rows) >= 256:
+                        yield out.taken(key_type, task=number)
+            if packer:
+                yield from finished()
+
+        return kernel
 
     packed = materialize(rows.mapInArrow(in_tasks, f"{schema}, task long"), "packed")
-    open_pieces = packed.where("sequence_id is null")
-    sizes = open_pieces.groupBy("task").agg(F.sum("length").alias("size"))  # a row for each task
-    before = F.sum("size").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
-    # Written, so that its size is known: if it is small it is broadcast, and remainders are shuffled once.
-    pools = materialize(sizes.select(F.col("task").alias("of"), F.floor(F.coalesce(before, F.lit(0)) / pool).cast("long").alias("pool")), "pools")
-    placed = open_pieces.join(pools, F.col("task") == F.col("of")).select("pool", "task", "offset", "doc_id", "start", "doc_tokens", "length", "left")
-    pooled = placed.repartition("pool").sortWithinPartitions("pool", "task", "offset").mapInArrow(in_pools, schema)
-    return packed.where("sequence_id is not null").select(*FIELDS).unionByName(pooled.select(*FIELDS)).select(*FIELDS[: 7 + with_ids])
+    done = packed.where("sequence_id is not null").select(*FIELDS)
+    for turn in range(rounds):
+        open_pieces = packed.where("sequence_id is null")
+        sizes = open_pieces.groupBy("task").agg(F.sum("length").alias("size"))  # a row for each task or pool
+        before = F.sum("size").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
+        # Written, so that its size is known: if it is small it is broadcast, and remainders are shuffled once.
+        pools = materialize(sizes.select(F.col("task").alias("of"), F.floor(F.coalesce(before, F.lit(0)) / pool).cast("long").alias("pool")), "pools")
+        placed = open_pieces.join(pools, F.col("task") == F.col("of")).select("pool", "task", "offset", "doc_id", "start", "doc_tokens", "length", "left")
+        pooled = placed.repartition("pool").sortWithinPartitions("pool", "task", "offset").mapInArrow(in_pools(turn), f"{schema}, task long")
+        packed = pooled if turn == rounds - 1 else materialize(pooled, "pooled")
+        done = done.unionByName(packed.where("sequence_id is not null").select(*FIELDS))
+    return done.select(*FIELDS[: 7 + with_ids])
 
 
 def tokenizer_path() -> str:

@@ -199,22 +199,27 @@ def plain_extract(pages, least=5):
 
 
 def plain_article(source):
-    """The article of a page of the test data by Python's own parser: what stands outside of it, and in it beside it, is left out."""
+    """The article of a page by Python's own parser and what the contract names, without any of the operator's lists: what stands outside of it, and in it beside it, is left out."""
     from html.parser import HTMLParser
 
+    beside = set("script style nav header footer aside form button select textarea template noscript svg iframe".split())  # scripts, styles, menus, headers, footers, sidebars, forms
+    adverts = {"ad", "advert", "notice", "sidebar", "comments", "menu"}  # as classes of their own
+    void = set("area base br col embed hr img input link meta source track wbr".split())
+    blocks = set("p div section article h1 h2 h3 h4 h5 h6 ul ol li table tr td th blockquote pre figure figcaption dl dt dd main hr".split())
+
     class Reader(HTMLParser):
         def __init__(self):
             super().__init__(convert_charrefs=False)
             self.inside, self.skipped, self.parts = False, [], [[]]
 
         def handle_starttag(self, tag, attrs):
-            words = set(re.split(r"[\s_-]+", " ".join(v or "" for k, v in attrs if k in ("class", "id")).lower()))
+            words = {w for k, v in attrs if k == "class" for w in (v or "").lower().split()}
             if tag == "article":
                 self.inside = True
-            if self.skipped or tag in html_text.ASIDE_TAGS or words & html_text.ASIDE_WORDS:
-                if tag not in html_text.VOID:
+            if self.skipped or tag in beside or words & adverts:
+                if tag not in void:
                     self.skipped.append(tag)
-            elif tag in html_text.BLOCKS:
+            elif tag in blocks:
                 self.parts.append([])
             elif tag == "br":
                 self.parts[-1].append(" ")
@@ -226,7 +231,7 @@ def plain_article(source):
                 while self.skipped.pop() != tag:
                     pass
                 self.parts.append([])
-            elif not self.skipped and tag in html_text.BLOCKS:
+            elif not self.skipped and tag in blocks:
                 self.parts.append([])
 
         def handle_data(self, data):
@@ -247,6 +252,23 @@ def plain_article(source):
     return "\n\n".join(x for x in (" ".join("".join(p).split()) for p in reader.parts) if x)
 
 
+def test_html_headings_and_text_blocks_stay():
+    page = """<article><h2 id="related-work">Related work</h2><p>x</p><h2 id="social-impact">Impact</h2><p class="notice-period">y</p><section id="navigation"><h3 id="menu">Menus</h3>
+      <p id="comments">On comments</p></section><div class="share-buttons">Share</div><p class="ad">Buy</p><div id="comments"><p>First!</p></div><ul class="skip-list"><li>item</li></ul></article>"""
+    assert html_text.main_text(page).split("\n\n") == ["Related work", "x", "Impact", "y", "Menus", "On comments", "item"] == plain_article(page.replace('class="share-buttons"', 'class="ad"').replace('id="comments"><p>F', 'class="comments"><p>F')).split("\n\n")
+    outside = '<body><div class="site-menu">Home</div><div id="footer">Imprint</div><p class="menu-of-the-day">Soup</p><p>Bread</p></body>'
+    assert html_text.main_text(outside) == "Soup\n\nBread"
+
+
+def test_html_deletion_decides_on_a_site_whose_templates_say_nothing_of_themselves(spark):
+    """Without an article element and without telling classes, only what recurs on the host tells the menu and the offer from the text."""
+    pages = [(k, "http://t.example/x", f'<body><div class="c1"><div>Home</div><div>News</div></div><div class="c2"><p>Own text {k}, which is long enough.</p></div><div class="c3">Buy our book now</div></body>') for k in range(8)]
+    pages.append((9, "http://alone.example/x", pages[0][2]))
+    got = {r[0]: r[2] for r in rows(html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")))}
+    assert [got[k] for k in range(8)] == [f"Own text {k}, which is long enough." for k in range(8)]
+    assert got[9] == "Home\n\nNews\n\nOwn text 0, which is long enough.\n\nBuy our book now"
+
+
 def test_html_query_against_plain_versions(spark):
     """The query's rows over all pages of the smallest tables, and of a site whose pages hold templates."""
     pages = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html").collect()]
@@ -582,6 +604,17 @@ def test_packing_goes_on_in_pools(spark):
     assert rows(packing.pack(df, packing.tokenizer_path(), window=64)) == rows(packing.pack(df, packing.tokenizer_path(), window=64))
 
 
+def test_packing_leaves_little_and_has_no_bound_on_open_windows(spark):
+    """10,000 texts of 0.6 windows each leave as many windows open; nothing is laid before the last round, where short texts would still go in."""
+    texts = [(k, "word " * 37) for k in range(10_000)] + [(20_000 + k, "word " * 25) for k in range(10_000)]
+    df = docs_of(spark, texts, parts=1)
+    pieces = packing.pack(df, packing.tokenizer_path(), window=64, with_ids=False, most_open=500).collect()
+    assert sum(p["length"] for p in pieces) == 10_000 * (38 + 26)
+    # All but a few sequences hold whole documents: pairs of 38 and 26 ids, which fill a window.
+    cut = sum(p["length"] < p["doc_tokens"] for p in pieces)
+    assert cut < 100, cut
+
+
 def test_packer_closes_the_fullest_first_and_hands_over():
     handed = []
     packer = packing.Packer(lambda pieces: None, window=10, most_open=2, hand_over=handed.append)
