@@ -135,18 +135,22 @@ def q2_ids(records: DataFrame) -> DataFrame:
     return flags(repeated, "Q2", "error", F.lit("id occurs again")).unionByName(odd).unionByName(gap)
 
 
-def near_notes(records: DataFrame, index_split: str, k: int, max_df: int) -> DataFrame:
-    """For records of other splits the most similar note of the index split: id, match, jaccard."""
+def near_notes(records: DataFrame, index_split: str, k: int, max_df: int, threshold: float | None = None) -> DataFrame:
+    """For records of other splits the most similar note of the index split: id, match, jaccard. With a threshold, those that are at least as similar, by an exact search (ties: least id);
+    without, the most similar of some candidates."""
     notes = records.select("id", "split", F.regexp_extract_all(F.lower("note"), F.lit(r"(?U)\w+"), F.lit(0)).alias("t"))
-    return R.max_jaccard(notes.where(F.col("split") != index_split), notes.where(F.col("split") == index_split), "id", "t", k, max_df)
+    others, index = notes.where(F.col("split") != index_split), notes.where(F.col("split") == index_split)
+    if threshold is None:
+        return R.max_jaccard(others, index, "id", "t", k, max_df)
+    return R.first_of(R.similar(others, index, "id", "t", threshold, k), ["id"], [F.desc("jaccard"), F.asc("match")])
 
 
-def q3_duplicates(records: DataFrame, index_split: str = "train", k: int = 5, max_df: int = 100, threshold: float = 0.9) -> DataFrame:
-    """Repeated (note, question) within a split, and notes much like one of the index split."""
+def q3_duplicates(records: DataFrame, index_split: str = "train", k: int = 5, max_df: int = 100, threshold: float = 0.9, exact: bool = False) -> DataFrame:
+    """Repeated (note, question) within a split, and notes much like one of the index split: by the bounds of max_jaccard, or exactly."""
     keyed = records.select("split", "id", "ord", R.row_digest(records, "note", "question").alias("h"))
     firsts = keyed.groupBy("split", "h").agg(F.min(F.struct("ord", "id")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
     repeats = keyed.join(firsts, ["split", "h"]).where("ord <> f.ord or id <> f.id")
-    alike = near_notes(records, index_split, k, max_df).where(F.col("jaccard") >= threshold).join(records.select("id", "split"), "id")
+    alike = near_notes(records, index_split, k, max_df, threshold if exact else None).where(F.col("jaccard") >= threshold).join(records.select("id", "split"), "id")
     return flags(repeats, "Q3", "warn", F.concat(F.lit("same note and question as "), F.col("f.id"))).unionByName(flags(alike, "Q3", "warn", F.format_string("note much like that of %s (%.3f)", "match", "jaccard")))
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomline.sources.staging import scratch
+
 
 def coverage(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """How far two sets of keys cover each other: keys in both, only left, only right, and keys that repeat on a side."""
@@ -56,34 +58,77 @@ def contamination(train: DataFrame, other: DataFrame, pair: list[str], note: str
     return out.select(id_col, F.when(F.col("by_pair").isNotNull(), "pair").when(F.col("by_note").isNotNull(), "note").alias("kind"), F.coalesce("by_pair", "by_note").alias("hit"), F.col("by_qa").alias("qa"))
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again, for what is used more than once: Spark then knows its size, and a lost executor loses nothing of it."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shingles(tokens: Column, k: int) -> Column:
-    """Hashes (64 bits) of the different k-grams of an array of tokens; none for fewer tokens. Sets of longs are built by hashing, sets of texts by comparing all pairs.
+    """Hashes (64 bits) of the different k-grams of an array of tokens; none for fewer tokens. Tokens are hashed once, and a gram from its tokens' hashes.
+
+    The arrays of one bind the tokens and their hashes to variables: else the optimiser would put their expressions into the inner function, to be evaluated for each gram."""
+    def grams(h: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.size(h) - k), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)]))
+        return F.when(F.size(h) >= k, F.array_distinct(each)).otherwise(F.array().cast("array<long>"))
+
+    hashes = F.transform(F.array(tokens), lambda t: F.transform(t, lambda word: F.xxhash64(word)))
+    return F.transform(hashes, grams)[0]
+
+
+class Grams:
+    """Gram sets of queries, and of an index what its sets have in common with them: asked (q, g), sizes of both, and hits (x, g, size of x's set). The index is read once; hits are
+    written, as they are counted, joined and compared afterwards."""
 
-    The array of one binds the tokens to a variable: else the optimiser would put their expression into the inner function, to be evaluated for each gram."""
-    def grams(t: Column) -> Column:
-        each = F.transform(F.sequence(F.lit(1), F.size(t) - (k - 1)), lambda i: F.xxhash64(F.array_join(F.slice(t, i, k), " ")))
-        return F.when(F.size(t) >= k, F.array_distinct(each)).otherwise(F.array().cast("array<long>"))
+    def __init__(self, queries: DataFrame, index: DataFrame, id_col: str, tokens: str, k: int):
+        self.queries = queries.select(F.col(id_col).alias("q"), shingles(F.col(tokens), k).alias("gq")).withColumn("nq", F.size("gq"))
+        self.asked = self.queries.select("q", "nq", F.explode("gq").alias("g"))
+        sets = index.select(F.col(id_col).alias("x"), shingles(F.col(tokens), k).alias("gx"))
+        # Only grams that are asked for matter: the others go before anything is shuffled or counted.
+        hits = sets.select("x", F.size("gx").alias("nx"), F.explode("gx").alias("g")).join(self.asked.select("g").distinct(), "g", "left_semi")
+        self.hits = written(hits, "hits")
 
-    return F.transform(F.array(tokens), grams)[0]
+    def compared(self, pairs: DataFrame) -> DataFrame:
+        """pairs (q, x, and others) with j, their Jaccard similarity, by counting what they share."""
+        shared = pairs.join(self.hits, "x").join(self.asked.select("q", "nq", "g"), ["q", "g"])
+        both = F.count(F.lit(1))
+        return shared.groupBy(*pairs.columns).agg((both / (F.first("nq") + F.first("nx") - both)).alias("j"))
 
 
 def max_jaccard(queries: DataFrame, index: DataFrame, id_col: str, tokens: str, k: int = 5, max_df: int = 100, candidates: int = 10) -> DataFrame:
     """For each query row the most similar index row: id, match, jaccard (0 and null match without candidates).
 
     Grams in more than max_df index rows propose nothing; the `candidates` rows that share most of the others (ties: least id) are
-    compared by their full gram sets; of equal similarities the first candidate wins. Full sets travel only for candidates."""
-    q = queries.select(F.col(id_col).alias("q"), shingles(F.col(tokens), k).alias("gq"))
-    asked = q.select("q", F.explode("gq").alias("g"))
-    # Only grams that are asked for matter, for proposals and for their counts: the others go before anything is shuffled or counted.
-    hits = index.select(F.col(id_col).alias("x"), F.explode(shingles(F.col(tokens), k)).alias("g")).join(asked.select("g").distinct(), "g", "left_semi")
-    rare = hits.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= max_df).select("g")
-    shared = asked.join(hits, "g").join(rare, "g", "left_semi").groupBy("q", "x").agg(F.count(F.lit(1)).alias("n"))
-    top = first_of(shared, ["q"], [F.desc("n"), F.asc("x")], candidates)
-    chosen = index.join(top.select("x").distinct(), F.col(id_col) == F.col("x"), "left_semi").select(F.col(id_col).alias("x"), shingles(F.col(tokens), k).alias("gx"))
-    both = F.size(F.array_intersect("gq", "gx"))
-    scored = top.join(q, "q").join(chosen, "x").select("q", "x", "n", (both / (F.size("gq") + F.size("gx") - both)).alias("j"))
-    best = first_of(scored.withColumn("none", F.col("j") <= 0), ["q"], [F.asc("none"), F.desc("j"), F.desc("n"), F.asc("x")]).where("not none")
-    return q.select("q").join(best, "q", "left").select(F.col("q").alias(id_col), F.col("x").alias("match"), F.coalesce("j", F.lit(0.0)).alias("jaccard"))
+    compared by their full gram sets; of equal similarities the first candidate wins. `similar` has no such bounds."""
+    grams = Grams(queries, index, id_col, tokens, k)
+    rare = grams.hits.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= max_df).select("g")
+    shared = grams.asked.join(grams.hits, "g").join(rare, "g", "left_semi").groupBy("q", "x").agg(F.count(F.lit(1)).alias("n"))
+    scored = grams.compared(first_of(shared, ["q"], [F.desc("n"), F.asc("x")], candidates).select("q", "x", "n"))
+    best = first_of(scored, ["q"], [F.desc("j"), F.desc("n"), F.asc("x")])
+    return grams.queries.select("q").join(best, "q", "left").select(F.col("q").alias(id_col), F.col("x").alias("match"), F.coalesce("j", F.lit(0.0)).alias("jaccard"))
+
+
+def similar(queries: DataFrame, index: DataFrame, id_col: str, tokens: str, threshold: float, k: int = 5, salts: int = 16) -> DataFrame:
+    """All pairs of a query row and an index row whose gram sets have a Jaccard similarity of at least the threshold: id, match, jaccard. Exact, without bounds.
+
+    A set of n grams and one that is as similar share at least t * n of them, so any n - ceil(t * n) + 1 of its grams hold one that both have: each query proposes by that many
+    of its rarest grams, and only sets of t * n to n / t grams are proposed. Rows with the same grams are one class on either side until the end, so copies are compared once. A gram
+    of many rows is dealt out by salts."""
+    as_class = lambda df, name: df.select(F.col(id_col).alias("id"), F.col(tokens).alias("t"), F.sha2(F.to_json(F.struct(F.array_sort(shingles(F.col(tokens), k)).alias("s"))), 256).alias(name))
+    members_q, members_x = as_class(queries, "class"), as_class(index, "class")
+    one = lambda rows: rows.groupBy("class").agg(F.min_by("t", "id").alias("t"))
+    grams = Grams(one(members_q), one(members_x), "class", "t", k)
+    counted = grams.hits.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    ranked = grams.asked.join(counted, "g", "left").withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.coalesce("df", F.lit(0)), "g")))
+    t = F.lit(float(threshold))
+    probes = ranked.where((F.col("place") <= F.col("nq") - F.ceil(t * F.col("nq") - 1e-9) + 1) & F.col("df").isNotNull()).select("q", "nq", "g").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = grams.hits.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(salts)).cast("int"))
+    fits = (F.col("nx") >= t * F.col("nq") - 1e-9) & (F.col("nx") * t <= F.col("nq") + 1e-9)
+    pairs = probes.join(salted, ["g", "salt"]).where(fits).select("q", "x").distinct()
+    found = grams.compared(pairs).where(F.col("j") >= t - 1e-12)
+    asked = members_q.select(F.col("id").alias(id_col), F.col("class").alias("q"))
+    return asked.join(found, "q").join(members_x.select(F.col("id").alias("match"), F.col("class").alias("x")), "x").select(id_col, "match", F.col("j").alias("jaccard"))
 
 
 def pairs_of(items: DataFrame, group: str, item: str) -> DataFrame:
