@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomline.operators.statistics import quantiles
 from fathomline.sources.jsonl import refuse, unique
 
 # The tools that a model may call, their parameters' types, and which are required.
@@ -150,7 +151,8 @@ def few_shot(examples: DataFrame, per_type: int = 1) -> DataFrame:
     """Examples for a prompt: of each answer type those of median length of note and question (ties: least id), as user and assistant messages."""
     length = F.length("note") + F.length("question")
     rows = examples.select("answer_type", "id", "note", "question", "answer", length.alias("length"))
-    middle = rows.groupBy("answer_type").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY length)").alias("middle"))
+    middle = quantiles(rows, "length", {"middle": 0.5}, ["answer_type"])
+    # A filter on the place lets each task keep its first rows of a type only.
     near = Window.partitionBy("answer_type").orderBy(F.abs(F.col("length") - F.col("middle")), "id")
     chosen = rows.join(middle, "answer_type").withColumn("at", F.row_number().over(near)).where(F.col("at") <= per_type)
     message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomline.operators.relational import written
+
 Z = 1.96
 
 
@@ -37,24 +39,39 @@ def counts_with_percent(df: DataFrame, key: str, domain: DataFrame) -> DataFrame
     return joined.select(key, n.alias("n"), F.round(F.try_divide(100.0 * n, F.col("total").cast("double")), 1).alias("pct"))
 
 
-def nearest_rank(column: str, q: float) -> Column:
-    """The value at rank ceil(q * n), without interpolation."""
-    return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {column})")
+def nearest_rank(q: float) -> Column:
+    """The place (from 0) of the value at rank ceil(q * n), without interpolation, as at_index takes it."""
+    return F.greatest(F.ceil(F.lit(q) * F.col("n")) - 1, F.lit(0))
+
 
+def quantiles(df: DataFrame, value: str, names: dict[str, float], by: list[str] | None = None) -> DataFrame:
+    """Values at nearest ranks by name, found by counts of values: no task holds a group."""
+    return at_index(df, value, {name: nearest_rank(q) for name, q in names.items()}, by)
 
-def describe(column: str) -> list[Column]:
-    c = F.col(column)
-    return [
-        F.count(c).alias("n"), F.round(F.avg(c), 1).alias("mean"), nearest_rank(column, 0.5).alias("median"), F.min(c).alias("min"),
-        nearest_rank(column, 0.05).alias("p5"), nearest_rank(column, 0.95).alias("p95"), F.max(c).alias("max"),
-    ]
+
+def interpolated(df: DataFrame, value: str, names: dict[str, float], by: list[str] | None = None) -> DataFrame:
+    """Quantiles by name, interpolated between the two values next to q * (n - 1): exact for any number of different values, as only these two are selected."""
+    by = by or []
+    at = {name: F.lit(q) * (F.col("n") - 1) for name, q in names.items()}
+    sides = {f"{name}__{side}": f(place) for name, place in at.items() for side, f in (("low", F.floor), ("high", F.ceil))}
+    found = at_index(df, value, sides | {"n__all": None}, by)
+    share = {name: F.lit(q) * (F.col("n__all") - 1) - F.floor(F.lit(q) * (F.col("n__all") - 1)) for name, q in names.items()}
+    low, high = (lambda name: F.col(f"{name}__low").cast("double")), (lambda name: F.col(f"{name}__high").cast("double"))
+    return found.select(*by, *[(low(name) + (high(name) - low(name)) * share[name]).alias(name) for name in names])
+
+
+def describe(df: DataFrame, column: str, by: list[str]) -> DataFrame:
+    """n, mean, min, max and quantiles of a column by group. Values are counted first, and everything is read from the counts."""
+    return at_index(df, column, {"median": nearest_rank(0.5), "p5": nearest_rank(0.05), "p95": nearest_rank(0.95)}, by, [
+        F.sum("times").alias("n"), F.round(F.sum(F.col(column).cast("double") * F.col("times")) / F.sum("times"), 1).alias("mean"), F.min(column).alias("min"), F.max(column).alias("max")])
 
 
 def running(counts: DataFrame, by: list[str], value: str, columns: list[str], parts: int = 200) -> DataFrame:
     """counts (a row for each different number `value` of a group) with, for each column, its sum over smaller values (_before) and over all (_all).
 
     A group's values are cut at approximate percentiles: sums run within a part, and parts add what lies in those before. So no task holds more
-    than a part of a group, also where each row has a value of its own."""
+    than a part of a group, also where each row has a value of its own. Counts are read three times, so they are written first."""
+    counts = written(counts, "counts")
     cuts = counts.groupBy(*by).agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 10_000).alias("__cuts"))
     if by:
         cuts = cuts.select(*[F.col(b).alias(f"__cut_{b}") for b in by], "__cuts")
@@ -73,13 +90,13 @@ def running(counts: DataFrame, by: list[str], value: str, columns: list[str], pa
     return joined.select(*counts.columns, *[(F.col(f"__in_{c}") + F.col(f"__of_{c}")).alias(f"{c}_before") for c in columns], *[f"{c}_all" for c in columns])
 
 
-def at_index(df: DataFrame, value: str, places: dict[str, Column], by: list[str] | None = None) -> DataFrame:
-    """Values at sorted positions; a place is an expression of n, the number of values, counted from 0. Values are counted first."""
+def at_index(df: DataFrame, value: str, places: dict[str, Column | None], by: list[str] | None = None, more: list[Column] | None = None) -> DataFrame:
+    """Values at sorted positions; a place is an expression of n, the number of values, counted from 0 (None: n itself). Values are counted first. more: aggregates of the counts (value, times)."""
     by = by or []
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("times"))
     ranked = running(counts, by, value, ["times"]).withColumn("n", F.col("times_all"))
     inside = lambda at: (at >= F.col("times_before")) & (at < F.col("times_before") + F.col("times"))
-    return ranked.groupBy(*by).agg(*[F.min(F.when(inside(at), F.col(value))).alias(name) for name, at in places.items()])
+    return ranked.groupBy(*by).agg(*[(F.max("n") if at is None else F.min(F.when(inside(at), F.col(value)))).alias(name) for name, at in places.items()], *more or [])
 
 
 def average_ranks(df: DataFrame, value: str) -> DataFrame:
@@ -118,21 +135,21 @@ def ece(df: DataFrame, score: str, label: str, n: int = 10) -> DataFrame:
 def risk_coverage(df: DataFrame, score: str, correct: str, tie: str, cuts: int = 10) -> DataFrame:
     """Accuracy of the most confident rows at each coverage: of max(1, round half even (coverage * n)) rows, highest score first, then tie.
 
-    Rows are ranked within ranges of the score; offsets of the ranges come from their counts."""
-    order = [F.col(score).desc(), F.col(tie).asc()]
-    ranged = df.select(score, tie, F.col(correct).cast("long").alias("ok")).withColumn("range", bins(F.col(score), 1000))
-    sums = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("rows"), F.sum("ok").alias("oks"))
-    before = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("range", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before"), F.coalesce(F.sum("oks").over(before), F.lit(0)).alias("oks_before"), F.sum("rows").over(Window.partitionBy()).alias("n"))
-    inside = Window.partitionBy("range").orderBy(*order)
-    ranked = ranged.join(F.broadcast(sums), "range").select(  # at most 1,000 rows
-        (F.col("rows_before") + F.row_number().over(inside)).alias("k"),
-        (F.col("oks_before") + F.sum("ok").over(inside.rowsBetween(Window.unboundedPreceding, 0))).alias("oks"), "n",
-    )
+    Rows are counted by score first; a cut falls among the rows of one score, which alone are ranked by tie, in ranges of it if there are many."""
+    rows = df.select(score, tie, F.col(correct).cast("long").alias("ok"))
+    counts = rows.groupBy(score).agg(F.count(F.lit(1)).alias("rows"), F.sum("ok").alias("oks"))
+    sums = running(counts.withColumn("down", -F.col(score)), [], "down", ["rows", "oks"]).withColumn("n", F.col("rows_all"))
     at = [F.greatest(F.lit(1), F.bround(F.col("n") * F.lit(c) / cuts).cast("int")) for c in range(1, cuts + 1)]
-    return ranked.select("k", "oks", F.explode(F.filter(F.transform(F.array(*at), lambda x: F.struct(x.alias("at"))), lambda s: s["at"] == F.col("k"))), "n").select(
-        F.col("k").cast("long").alias("k"), F.round(F.col("k") / F.col("n"), 4).alias("coverage"), F.round(F.col("oks") / F.col("k"), 6).alias("accuracy")
-    ).distinct()
+    holds = (F.col("k") > F.col("rows_before")) & (F.col("k") <= F.col("rows_before") + F.col("rows"))
+    asked = sums.select(score, "rows", "rows_before", "oks_before", "n", F.explode(F.array_distinct(F.array(*at))).alias("k")).where(holds)  # at most `cuts` rows
+    spread = rows.join(F.broadcast(asked.select(score).distinct()), score).groupBy(score, tie).agg(F.count(F.lit(1)).alias("rows"), F.sum("ok").alias("oks"))
+    inside = running(spread, [score], tie, ["rows", "oks"]).select(F.col(score).alias("s"), "rows", "oks", F.col("rows_before").alias("of_rows"), F.col("oks_before").alias("of_oks"))
+    left = F.col("k") - F.col("rows_before")
+    # Of rows with the same score and tie as many count as are needed, the right ones last.
+    last = inside.join(F.broadcast(asked.withColumnRenamed("rows", "all_rows")), F.col("s") == F.col(score)).where((left > F.col("of_rows")) & (left <= F.col("of_rows") + F.col("rows")))
+    taken = left - F.col("of_rows")
+    right = F.col("oks_before") + F.col("of_oks") + F.greatest(F.lit(0), taken - (F.col("rows") - F.col("oks")))
+    return last.select(F.col("k").cast("long").alias("k"), F.round(F.col("k") / F.col("n"), 4).alias("coverage"), F.round(right / F.col("k"), 6).alias("accuracy"))
 
 
 def confusion(predicted: Column, actual: Column) -> list[Column]:
@@ -186,7 +203,9 @@ def resampled(df: DataFrame, value: str, by: list[str], resamples: int, seed: in
 
 
 def interval(means: DataFrame, column: str, by: list[str]) -> DataFrame:
-    return means.groupBy(*by).agg(nearest_rank(column, 0.025).alias("low"), nearest_rank(column, 0.975).alias("high"), F.count(column).alias("resamples"))
+    """Bounds of a column of resamples: as many rows a group as there are resamples, whatever the data, so a group's are sorted at once."""
+    at = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {column})")
+    return means.groupBy(*by).agg(at(0.025).alias("low"), at(0.975).alias("high"), F.count(column).alias("resamples"))
 
 
 def bootstrap(df: DataFrame, value: str, resamples: int = 1000, seed: int = 17, by: list[str] | None = None) -> DataFrame:
@@ -208,7 +227,8 @@ def macro_bootstrap(df: DataFrame, value: str, group: str, resamples: int = 1000
     """Percentile interval of the unweighted mean of group means: groups are resampled by themselves, the mean is taken in each resample."""
     means = resampled(df, value, [group], resamples, seed).withColumn("m", F.try_divide("s", F.col("w").cast("double")))
     macro = means.groupBy("resample").agg(F.avg("m").alias("macro"), F.count("m").alias("groups"))
-    return macro.agg(nearest_rank("macro", 0.025).alias("low"), nearest_rank("macro", 0.975).alias("high"), F.max("groups").alias("groups"))
+    bounds = interval(macro, "macro", [])
+    return bounds.select("low", "high").crossJoin(macro.agg(F.max("groups").alias("groups")))  # one row each
 
 
 def tri_state(outcomes: Column) -> Column:

@@ -153,7 +153,7 @@ def note_parts(spark, sf_dir):
 @query(f"""{RECORDS} SELECT id, n AS ord, CASE WHEN shared THEN 'Shared note.' ELSE replace(note, age || '-year-old ', '') END AS no_age, CASE WHEN shared THEN 0 ELSE 1 END::INTEGER AS sex_cues,
   CASE WHEN shared THEN 'Shared note.' ELSE replace(note, CASE WHEN female THEN 'woman' ELSE 'man' END, 'patient') END AS no_sex FROM r""")
 def edited_notes(spark, sf_dir):
-    return cases.records(spark, sf_dir).select("id", "ord", E.without_age_of(F.col("note")).alias("no_age"), F.size(E.cues_of(F.col("note"), F.lit("sex"))).alias("sex_cues"), E.without_sex_of(F.col("note")).alias("no_sex"))
+    return cases.records(spark, sf_dir).select("id", "ord", E.without_age_of(F.col("note")).alias("no_age"), F.size(E.cues_of(F.col("note"), "sex")).alias("sex_cues"), E.without_sex_of(F.col("note")).alias("no_sex"))
 
 
 EGFR = """round(142 * pow(least(cr / k, 1), a) * pow(greatest(cr / k, 1), -1.2::DOUBLE) * pow(0.9938::DOUBLE, age) * CASE WHEN female THEN 1.012 ELSE 1 END::DOUBLE)"""

@@ -141,19 +141,6 @@ def check_duplicates(spark, sf_dir):
     return Q.q3_duplicates(records(spark, sf_dir))
 
 
-SIMILAR_SQL = f"""{RECORDS}, w AS (SELECT id, split, regexp_extract_all(lower(note), '\\w+') AS t FROM r), sh AS MATERIALIZED (SELECT id, split, list_distinct(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' '))) AS g FROM w),
-c AS (SELECT a.id AS q, b.id AS x, len(list_intersect(a.g, b.g))::DOUBLE AS common, len(a.g) AS na, len(b.g) AS nb FROM sh a JOIN sh b ON a.split <> 'train' AND b.split = 'train' AND len(a.g) > 0 AND len(b.g) >= 0.9 * len(a.g) - 1e-9 AND len(b.g) * 0.9 <= len(a.g) + 1e-9)
-SELECT q AS id, x AS match, round(common / (na + nb - common), 9)::DOUBLE AS jaccard FROM c WHERE common / (na + nb - common) >= 0.9 - 1e-12"""
-
-
-@query(SIMILAR_SQL)
-def similar_notes(spark, sf_dir):
-    """All pairs of a note of another split and one of the training split that are 0.9 alike or more, without bounds."""
-    notes = records(spark, sf_dir).select("id", "split", F.regexp_extract_all(F.lower("note"), F.lit(r"(?U)\w+"), F.lit(0)).alias("t"))
-    found = R.similar(notes.where("split <> 'train'"), notes.where("split = 'train'"), "id", "t", 0.9)
-    return found.withColumn("jaccard", F.round("jaccard", 9))
-
-
 @query(flags_sql("Q4", "error", when("has_calls AND abs(again - result) > 1e-9", "'gives ' || again || ' and not ' || result")))
 def check_results(spark, sf_dir):
     return Q.q4_results(records(spark, sf_dir))

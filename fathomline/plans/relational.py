@@ -113,6 +113,17 @@ def near_dup_jaccard(spark, sf_dir):
     return R.max_jaccard(items, docs, "id", "t").withColumn("jaccard", F.round("jaccard", 9))
 
 
+@query(f"""
+WITH sh AS MATERIALIZED (SELECT doc_id AS id, list_distinct(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' '))) AS g FROM (SELECT doc_id, {TOKENS_SQL} AS t FROM documents)),
+c AS (SELECT a.id AS id, b.id AS match, len(list_intersect(a.g, b.g))::DOUBLE AS common, len(a.g) AS na, len(b.g) AS nb FROM sh a JOIN sh b ON a.id % 20 = 0 AND a.id <> b.id AND len(a.g) > 0 AND len(b.g) >= 0.8 * len(a.g) - 1e-9 AND len(b.g) * 0.8 <= len(a.g) + 1e-9)
+SELECT id, match, round(common / (na + nb - common), 9)::DOUBLE AS jaccard FROM c WHERE common / (na + nb - common) >= 0.8 - 1e-12""")
+def similar_documents(spark, sf_dir):
+    """Every twentieth document against all: those whose 5-grams are 0.8 alike or more, by an exact search."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), tokens(F.col("text")).alias("t"))
+    found = R.similar(docs.where("id % 20 = 0"), docs, "id", "t", 0.8).where("id <> match")
+    return found.withColumn("jaccard", F.round("jaccard", 9))
+
+
 @query("WITH s AS (SELECT DISTINCT l_orderkey, l_partkey % 50 AS i FROM lineitem) SELECT a.i AS a, b.i AS b, count(*)::BIGINT AS orders FROM s a JOIN s b ON a.l_orderkey = b.l_orderkey AND a.i < b.i GROUP BY 1, 2")
 def pair_containment(spark, sf_dir):
     """In how many orders both of a pair of part groups occur: pairs of at most the lines of one order."""

@@ -54,7 +54,16 @@ def count_by_key_pct(spark, sf_dir):
 SELECT lang, count(w)::BIGINT AS n, round(avg(w), 1)::DOUBLE AS mean, quantile_disc(w, 0.5)::DOUBLE AS median, min(w)::INTEGER AS min, quantile_disc(w, 0.05)::DOUBLE AS p5, quantile_disc(w, 0.95)::DOUBLE AS p95, max(w)::INTEGER AS max
 FROM (SELECT lang, {WORDS_SQL} AS w FROM documents) GROUP BY lang""")
 def describe_lengths(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("lang", words(F.col("text")).alias("w")).groupBy("lang").agg(*S.describe("w"))
+    found = S.describe(read(spark, sf_dir, "documents").select("lang", words(F.col("text")).alias("w")), "w", ["lang"])
+    return found.select("lang", F.col("n").cast("long").alias("n"), "mean", *[F.col(c).cast("double").alias(c) for c in ("median", "p5", "p95")], "min", "max")
+
+
+@query("SELECT l_returnflag, round(quantile_cont(v, 0.1), 6)::DOUBLE AS p10, round(quantile_cont(v, 0.5), 6)::DOUBLE AS median, round(quantile_cont(v, 0.975), 6)::DOUBLE AS p975 FROM (SELECT l_returnflag, l_extendedprice * (1 - l_discount) AS v FROM lineitem) GROUP BY 1")
+def interpolated_quantiles(spark, sf_dir):
+    """Quantiles between values, of a column in which nearly every row has its own."""
+    rows = read(spark, sf_dir, "lineitem").select("l_returnflag", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("v"))
+    found = S.interpolated(rows, "v", {"p10": 0.1, "median": 0.5, "p975": 0.975}, ["l_returnflag"])
+    return found.select("l_returnflag", *[F.round(c, 6).alias(c) for c in ("p10", "median", "p975")])
 
 
 @query("""
