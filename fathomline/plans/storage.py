@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from fathomline.operators import digests as D
 from fathomline.plans.registry import query
-from fathomline.sources import snapshots, strict
+from fathomline.sources import results, snapshots, strict
 from fathomline.sources.staging import scratch
 from fathomline.sources.tables import read
+from fathomline.streaming import logs
 
 
 def digest_sql(columns: list[str], table: str, by: str) -> str:
@@ -54,3 +55,29 @@ def pinned_versions(spark, sf_dir):
     second = snapshots.publish(spark, {"items": rows.where("price is not null")}, folder, expected=first)
     read_at = lambda v: snapshots.load(spark, folder, v, check=True)["items"].withColumn("version", F.lit(v))
     return read_at(first).unionAll(read_at(second)).groupBy("version", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("item_id").alias("ids"))
+
+
+@query("""WITH l AS (SELECT event_id AS step, value, least(8, greatest(1, ceil(event_id / 1000.0)))::INTEGER AS epoch FROM events WHERE event_type <> 'error'), s AS (SELECT DISTINCT step FROM l),
+g AS (SELECT step, lag(step) OVER (ORDER BY step) AS before FROM s)
+SELECT epoch, round(avg(value), 6)::DOUBLE AS mean, count(*)::BIGINT AS n, (SELECT count(*) FROM g WHERE step > before + 1)::BIGINT AS gaps, (SELECT coalesce(sum(step - before - 1), 0) FROM g)::BIGINT AS missing FROM l GROUP BY epoch""")
+def followed_log(spark, sf_dir):
+    """Events but for one type as a log that is followed as a stream, in batches of one file: figures by epoch, and gaps of steps."""
+    source, folder = scratch(spark, "log"), scratch(spark, "figures")
+    rows = read(spark, sf_dir, "events").where("event_type <> 'error'").select(F.col("event_id").cast("long").alias("step"), "value")
+    rows.repartition(3).write.json(source)
+    stream = spark.readStream.schema("step long, value double").option("maxFilesPerTrigger", 1).json(source)
+    epoch = F.least(F.lit(8), F.greatest(F.lit(1), F.ceil(F.col("step") / 1000))).cast("int")
+    logs.keep_figures(stream, folder, epoch).awaitTermination()
+    missing = logs.gaps(spark, folder).agg(F.count(F.lit(1)).alias("gaps"), F.coalesce(F.sum(F.col("last") - F.col("first") + 1), F.lit(0)).alias("missing"))
+    return logs.figures(spark, folder).withColumn("mean", F.round("mean", 6)).crossJoin(missing)  # one row
+
+
+@query("SELECT nation_id, count(*)::BIGINT AS n, round(sum(balance), 2)::DOUBLE AS balance, true AS reused FROM vendors WHERE balance > 0 GROUP BY nation_id")
+def reused_result(spark, sf_dir):
+    """A result that is computed once for a published table and then taken from the store."""
+    folder, store = scratch(spark, "inputs"), scratch(spark, "results")
+    snapshots.publish(spark, {"vendors": read(spark, sf_dir, "vendors")}, folder)
+    make = lambda t: t["vendors"].where("balance > 0").groupBy("nation_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("balance"), 2).alias("balance"))
+    results.reused(spark, store, "positive balances", {"above": 0}, folder, make)
+    again, was_there = results.reused(spark, store, "positive balances", {"above": 0}, folder, make)
+    return again.withColumn("reused", F.lit(was_there))
