@@ -162,7 +162,9 @@ def q3_metrics(records: DataFrame, index_split: str = "train", k: int = 5, max_d
     shared = hashed.where(F.col("split") != index_split).join(hashed.where(F.col("split") == index_split).select("t").distinct(), "t", "left_semi").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
     out = figures(reused, "Q3", "notes used again", F.col("split"), F.col("n")).unionByName(figures(templates, "Q3", "templates of notes", F.col("split"), F.col("n")))
     out = out.unionByName(figures(shared, "Q3", f"notes with a template of {index_split}", F.col("split"), F.col("n")))
-    near = S.quantiles(near_notes(records, index_split, k, max_df).join(records.select("id", "split"), "id"), "jaccard", {f"p{q}": q for q in (0.5, 0.9, 0.99, 1.0)}, ["split"])
+    # An id may repeat, over splits too: each record of another split counts once.
+    alike = near_notes(records, index_split, k, max_df).distinct().join(records.where(F.col("split") != index_split).select("id", "split"), "id")
+    near = S.quantiles(alike, "jaccard", {f"p{q}": q for q in (0.5, 0.9, 0.99, 1.0)}, ["split"])
     spread = near.select("split", F.explode(F.array(*[F.struct(F.lit(f"p{round(100 * q)}").alias("name"), F.round(f"`p{q}`", 3).alias("v")) for q in (0.5, 0.9, 0.99, 1.0)])).alias("s"))
     return out.unionByName(figures(spread, "Q3", f"similarity to {index_split}", F.concat("split", F.lit(" "), F.col("s.name")), F.col("s.v")))
 

@@ -59,6 +59,16 @@ def typed_rates(spark, sf_dir):
     return S.typed_aggregate(scores).where("metric not like 'check %'")
 
 
+@query(f"""{RECORDS}, v AS (SELECT *, {TYPED} IS NULL AS ok, answer_type IN ('extractive', 'numeric_reasoning') AND NOT (fault IN (1, 17) OR NOT labs OR fault = 12) AS keyed FROM r WHERE {SCORED_ROWS})
+SELECT 'check ' || CASE WHEN NOT keyed AND answer_type IN ('extractive', 'numeric_reasoning') THEN 'text' WHEN n % 13 = 0 THEN 'status' WHEN kind = 'extractive' THEN 'value' ELSE 'diff' END AS metric,
+  count_if(ok)::BIGINT AS k, count(*)::BIGINT AS n, round(count_if(ok)::DOUBLE / count(*), 4)::DOUBLE AS rate FROM v WHERE answer_type IN ('extractive', 'numeric_reasoning') GROUP BY 1""")
+def typed_rates_by_check(spark, sf_dir):
+    """The rows of the typed aggregate by kind of check."""
+    rows = V.score(typed(spark, sf_dir))
+    scores = rows.select("answer_type", F.col("typed_correct").alias("correct"), F.col("correct").alias("before"), "typed.expected", "typed.checks", "typed.name_ok", "typed.outcome_ok")
+    return S.typed_aggregate(scores).where("metric like 'check %'")
+
+
 # Answers about two analytes, made of orders: which is named, in which state it is said to be, and its number.
 SAID = """WITH a AS (SELECT o_orderkey AS k, o_orderkey % 4 AS form, round(o_totalprice / 1000, 1) AS x FROM orders)"""
 

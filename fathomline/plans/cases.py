@@ -141,6 +141,29 @@ def check_duplicates(spark, sf_dir):
     return Q.q3_duplicates(records(spark, sf_dir))
 
 
+@query(f"""{RECORDS}{NEAR}, m AS (SELECT split, note, regexp_replace(note, '\\d+(?:\\.\\d+)?', '#', 'g') AS t FROM r), k AS (SELECT r.split, coalesce(j, 0)::DOUBLE AS j FROM r LEFT JOIN best ON q = id WHERE split <> 'train')
+SELECT 'Q3' AS "check", metric, key, value::DOUBLE AS value FROM (
+  SELECT 'notes used again' AS metric, split AS key, count_if(n > 1) AS value FROM (SELECT split, note, count(*) AS n FROM m GROUP BY ALL) GROUP BY split
+  UNION ALL SELECT 'templates of notes', split, count(DISTINCT t) FROM m GROUP BY split
+  UNION ALL SELECT 'notes with a template of train', split, count(*) FROM m WHERE split <> 'train' AND t IN (SELECT t FROM m WHERE split = 'train') GROUP BY split
+  UNION ALL SELECT 'similarity to train', split || ' p' || unnest([50, 90, 99, 100]), round(unnest([quantile_disc(j, 0.5), quantile_disc(j, 0.9), quantile_disc(j, 0.99), max(j)]), 3) FROM k GROUP BY split)""")
+def duplicate_figures(spark, sf_dir):
+    """Notes used again, templates of notes and those shared with the training split, and the distribution of similarities to it."""
+    return Q.q3_metrics(records(spark, sf_dir))
+
+
+@query(f"""{RECORDS} SELECT n, kind, value, unit, equivalent FROM (
+  SELECT n, 'weight' AS kind, lb AS value, 'lb' AS unit, false AS equivalent FROM r UNION ALL SELECT n, 'weight', kg, 'kg', n % 3 <> 1 FROM r UNION ALL SELECT n, 'height', cm, 'cm', false FROM r)""")
+def restated_measurements(spark, sf_dir):
+    """Weights of the records written in two units, the second in parentheses, approximate or by itself: which restate the one before."""
+    rows = fields(spark, sf_dir)
+    lb, kg, cm = (F.col(c).cast("string") for c in ("lb", "kg", "cm"))
+    second = F.when(F.col("n") % 3 == 0, F.concat(F.lit(" ("), kg, F.lit(" kg)"))).when(F.col("n") % 3 == 1, F.concat(F.lit("; "), kg, F.lit(" kg"))).otherwise(F.concat(F.lit(" (approx. "), kg, F.lit(" kg)")))
+    text = F.concat(F.lit("Weight "), lb, F.lit(" lb"), second, F.lit(". Height "), cm, F.lit(" cm."))
+    found = rows.select("n", F.explode(N.body_measurements_of(text)).alias("m"))
+    return found.select("n", "m.kind", "m.value", "m.unit", "m.equivalent")
+
+
 @query(flags_sql("Q4", "error", when("has_calls AND abs(again - result) > 1e-9", "'gives ' || again || ' and not ' || result")))
 def check_results(spark, sf_dir):
     return Q.q4_results(records(spark, sf_dir))
@@ -398,6 +421,18 @@ def view_relabelled(spark, sf_dir):
     return views.build(*reviewed(spark, sf_dir), "relabelled_with_additions").select("id", "ord", "answer", "answer_type", F.col("tool_calls").isNotNull().alias("has_calls"))
 
 
+@query(f"""{RECORDS}, t AS (SELECT *, {FLAGGED} AS bad FROM r WHERE split = 'train' AND answer_type = 'tool_call'), x AS (SELECT * FROM r WHERE split = 'val' AND answer_type = 'tool_call')
+SELECT 'raw' AS variant, id, n AS ord, answer, answer_type FROM t UNION ALL SELECT 'with_additions', id, n, answer, answer_type FROM t UNION ALL SELECT 'with_additions', id, n + (SELECT max(n) FROM t) + 1, answer, answer_type FROM x
+UNION ALL SELECT 'relabelled', id, n, CASE WHEN bad THEN 'It is not documented.' ELSE answer END, CASE WHEN bad THEN 'uncertain' ELSE answer_type END FROM t WHERE NOT bad OR num % 2 = 0""")
+def other_views(spark, sf_dir):
+    """The three variants beside filtered and relabelled with additions."""
+    tables, out = reviewed(spark, sf_dir), None
+    for variant in ("raw", "with_additions", "relabelled"):
+        one = views.build(*tables, variant).select(F.lit(variant).alias("variant"), "id", "ord", "answer", "answer_type")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(f"""{RECORDS}, t AS (SELECT *, {FLAGGED} AS bad FROM r WHERE split = 'train' AND answer_type = 'tool_call')
 SELECT id, CASE WHEN num % 2 = 0 THEN 'changed' ELSE 'missing' END AS state FROM t WHERE bad""")
 def view_audit(spark, sf_dir):

@@ -40,6 +40,14 @@ def rate_bundle(spark, sf_dir):
     return M.bundle(scored(spark, sf_dir)).where("metric not in ('unsupported_argument_rate', 'tool_result_in_answer')").select("metric", "k", "n", "rate")
 
 
+@query(f"""{RECORDS}, {FLAGS}, m AS (SELECT 'unsupported_argument_rate' AS metric, unsupported AS f FROM v WHERE answer_type = 'tool_call'
+  UNION ALL SELECT 'tool_result_in_answer', coalesce(made AND fault <> 7 AND ({ROLLOUT} IN (0, 5) OR {ROLLOUT} = 4 AND result BETWEEN 1 AND 15 AND result = floor(result)), false) FROM v WHERE answer_type = 'tool_call')
+SELECT metric, count_if(f)::BIGINT AS k, count(f)::BIGINT AS n, round(count_if(f)::DOUBLE / count(f), 4)::DOUBLE AS rate FROM m GROUP BY metric""")
+def rates_of_calls(spark, sf_dir):
+    """The two rates of calls that rate_bundle leaves out: arguments that the input doesn't support, and results that the answer states."""
+    return M.bundle(scored(spark, sf_dir)).where("metric in ('unsupported_argument_rate', 'tool_result_in_answer')").select("metric", "k", "n", "rate")
+
+
 @query(f"{RECORDS}, {FLAGS} SELECT 'uncertainty_detection_rate' AS metric, count_if(correct)::BIGINT + 1 AS k, count(*)::BIGINT AS n, count_if(correct)::BIGINT AS k2, count(*)::BIGINT AS n2 FROM v WHERE answer_type = 'uncertain'")
 def rates_audit(spark, sf_dir):
     """Stored rates of which one is off by one, against the rows judged again."""

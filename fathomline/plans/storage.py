@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fathomline.operators import digests as D
+from fathomline.operators.relational import placed
 from fathomline.plans.registry import query
-from fathomline.sources import results, snapshots, strict
+from fathomline.sources import jsonl, manifest, results, snapshots, strict
 from fathomline.sources.staging import scratch
 from fathomline.sources.tables import read
 from fathomline.streaming import logs
@@ -81,3 +82,44 @@ def reused_result(spark, sf_dir):
     results.reused(spark, store, "positive balances", {"above": 0}, folder, make)
     again, was_there = results.reused(spark, store, "positive balances", {"above": 0}, folder, make)
     return again.withColumn("reused", F.lit(was_there))
+
+
+@query("SELECT 'de' AS split, row_number() OVER (ORDER BY doc_id) AS line, doc_id, length(text)::BIGINT AS chars FROM documents WHERE lang = 'de' UNION ALL SELECT 'fr', row_number() OVER (ORDER BY doc_id), doc_id, length(text)::BIGINT FROM documents WHERE lang = 'fr'")
+def split_lines(spark, sf_dir):
+    """Documents of two languages written as a file of JSON lines each, and read as two splits with each record's line in its file."""
+    docs, paths = read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), {}
+    for lang in ("de", "fr"):
+        paths[lang] = scratch(spark, f"lines-{lang}")
+        # One file, as its lines are to be in order: the sort is one of ranges, and its files are put together by coalesce.
+        jsonl.write(docs.where(F.col("lang") == lang).select("doc_id", "text").orderBy("doc_id").coalesce(1), paths[lang])
+    rows = jsonl.read_splits(spark, paths, "doc_id long, text string", lambda all_: require_ids(all_))
+    return rows.select("split", F.col("ord").alias("line"), "doc_id", F.length("text").cast("long").alias("chars"))
+
+
+def require_ids(rows):
+    bad = rows.where("doc_id is null").limit(1).count()
+    if bad:
+        raise ValueError("a record without an id")
+
+
+@query("""SELECT CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id END AS doc_id, CASE WHEN doc_id % 3 = 0 THEN 'bad' ELSE 'good' END AS line, count(*)::BIGINT AS n FROM documents GROUP BY ALL""")
+def lenient_lines(spark, sf_dir):
+    """JSON lines of which each third is cut off: the lenient reader keeps a row of nulls for it, the strict one's complaints name as many lines."""
+    path = scratch(spark, "cut")
+    docs = read(spark, sf_dir, "documents")
+    whole = F.to_json(F.struct("doc_id", "text"))
+    docs.select(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('{"doc_id": '), F.lit("x"), F.col("doc_id").cast("string"))).otherwise(whole).alias("value")).write.text(path)
+    rows = jsonl.read_lenient(spark, path, "doc_id long, text string")
+    good = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("doc_id is not null").select("doc_id", F.lit("good").alias("line"), "n")
+    bad = jsonl.problems(spark, path).agg(F.count(F.lit(1)).alias("n")).select(F.lit(None).cast("long").alias("doc_id"), F.lit("bad").alias("line"), "n")
+    return good.unionAll(bad.where("n > 0"))
+
+
+@query("SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS pos, o_orderkey, o_orderstatus FROM orders WHERE o_orderpriority = '1-URGENT'")
+def frozen_subset(spark, sf_dir):
+    """Orders by a frozen list of ids, in the list's order."""
+    orders = read(spark, sf_dir, "orders")
+    urgent = orders.where("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_totalprice")
+    # The order of the list is counted in ranges of the price.
+    ids = placed(urgent, [], -F.floor(F.col("o_totalprice") / 1000), [F.desc("o_totalprice"), F.asc("o_orderkey")], "pos").select("o_orderkey", "pos")
+    return manifest.subset(orders.select("o_orderkey", "o_orderstatus"), ids, "o_orderkey").select("pos", "o_orderkey", "o_orderstatus")
