@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from fathomline.functions import notes as N
-from fathomline.operators import chat
+from fathomline.operators import chat, rollouts
 from fathomline.operators import comparison as M
 from fathomline.operators import contracts, views
 from fathomline.operators import keys as K
@@ -16,6 +18,7 @@ from fathomline.plans.answers import TYPED
 from fathomline.plans.cases import ERROR, FLAGGED, RECORDS, ROLLOUT
 from fathomline.plans.registry import query
 from fathomline.sources import reports
+from fathomline.sources.staging import scratch
 from fathomline.sources.tables import read
 
 
@@ -184,11 +187,44 @@ def rollout(spark, sf_dir):
     return found.select("id", F.size("turns").alias("turns"), "answer", "stop_reason")
 
 
+@query("""WITH o AS (SELECT o_orderkey AS id, floor(o_totalprice)::BIGINT AS kg, o_orderstatus AS s, o_orderpriority = '1-URGENT' AS urgent FROM orders),
+k AS (SELECT *, CASE WHEN kg IS NULL OR s IS NULL OR s NOT IN ('O', 'P') THEN 'at once' WHEN s = 'P' THEN 'broken' WHEN coalesce(urgent, false) THEN 'endless' ELSE 'converted' END AS way FROM o)
+SELECT id, CASE way WHEN 'converted' THEN 2 WHEN 'endless' THEN 3 ELSE 1 END::INTEGER AS turns, CASE way WHEN 'converted' THEN 1 WHEN 'endless' THEN 3 ELSE 0 END::BIGINT AS calls,
+  CASE WHEN kg IS NULL THEN 'No weight is stated.' WHEN way = 'at once' THEN 'It is ' || kg || ' kg.' WHEN way = 'converted' THEN 'It is ' || kg * 1000 || ' g.' END AS answer,
+  CASE way WHEN 'broken' THEN 'parse_error' WHEN 'endless' THEN 'budget' ELSE 'answer' END AS stop_reason FROM k""")
+def rollout_rounds(spark, sf_dir):
+    """Rollouts written turn by turn, over a question for each order. The stand-in for a model reads its prompt: it answers at once, writes a broken call, converts the
+    weight with a call and answers with what the tool gives, or never stops calling."""
+
+    def generate(prompts: list[str], limit: int) -> list[str]:
+        return [turn(p) for p in prompts]
+
+    def turn(prompt: str) -> str:
+        asked, _, given = prompt.partition("|")
+        kg, status, priority = asked.split(",")
+        if not kg:
+            return "No weight is stated."
+        if status not in ("O", "P"):
+            return f"It is {kg} kg."
+        if status == "P":
+            return f"<tool_call>{kg}"
+        if given and priority != "1-URGENT":
+            return f"It is {json.loads(given.split('|')[-1])['result']} g."
+        return f'<tool_call>{{"name": "unit_convert", "arguments": {{"value": {kg}, "from_unit": "kg", "to_unit": "g"}}}}</tool_call>'
+
+    def execute(name: str, arguments: dict) -> str:
+        return "|" + json.dumps({"result": int(arguments["value"]) * 1000})
+
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    asked = F.concat(text(F.floor("o_totalprice")), F.lit(","), text(F.col("o_orderstatus")), F.lit(","), text(F.col("o_orderpriority")), F.lit("|"))
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), asked.alias("prompt"))
+    found = rollouts.in_rounds(orders, scratch(spark, "rounds"), generate, execute, settings={"model": "a stand-in"})
+    return found.select("id", F.size("turns").alias("turns"), "calls", "answer", "stop_reason")
+
+
 @query("""SELECT event_id, sha256('{"a":' || event_id || ',"b":"x"}') AS digest FROM events""")
 def canonical_digest(spark, sf_dir):
     """A digest of JSON that doesn't depend on the order of keys or on spaces."""
-    import json
-
     digest = N.arrow("string", lambda text: reports.digest(json.loads(text)))
     written = F.when(F.col("event_id") % 2 == 0, F.format_string('{"b": "x",  "a": %d}', "event_id")).otherwise(F.format_string('{"a":%d,"b":"x"}', "event_id"))
     return read(spark, sf_dir, "events").select("event_id", digest(written).alias("digest"))
