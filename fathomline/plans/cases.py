@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.functions import notes as N
+from fathomline.functions import tables
 from fathomline.operators import quality as Q
 from fathomline.operators import relational as R
 from fathomline.operators import scoring as V
@@ -181,6 +182,15 @@ def grounding_patterns(spark, sf_dir):
     return Q.q5_patterns(records(spark, sf_dir))
 
 
+@query(f"""{RECORDS} SELECT "check", split, id, detail FROM (
+  SELECT 'Q4' AS "check", split, id, 'gives ' || again || ' and not ' || result AS detail FROM r WHERE has_calls AND abs(again - result) > 1e-9
+  UNION ALL SELECT 'Q5', split, id, CASE WHEN NOT converts AND shared THEN 'not in the input: weight, height' WHEN NOT converts AND fault = 6 THEN 'not in the input: weight' WHEN converts AND NOT labs AND fault IN (10, 17) THEN 'not in the input: value ' || cr END FROM r WHERE has_calls) WHERE detail IS NOT NULL""")
+def checks_in_sql(spark, sf_dir):
+    """Two checks called from SQL, over all records."""
+    with tables.checks_in_sql(records(spark, sf_dir), ["Q4", "Q5"]) as session:
+        return session.sql("SELECT `check`, split, id, detail FROM flags('Q4') UNION ALL SELECT `check`, split, id, detail FROM flags('Q5')")
+
+
 @query(flags_sql("Q6", "info", when("has_calls AND NOT converts AND imperial AND n % 9 = 0 AND fault NOT IN (6, 17)", "'weight ' || lb || ' lb is ' || printf('%+.3f', round(lb * 0.4536::DOUBLE - arg_kg, 3)) || ' off after conversion'")))
 def check_rounding(spark, sf_dir):
     return Q.q6_rounding(records(spark, sf_dir))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fathomline.functions import tables
 from fathomline.operators import chat
 from fathomline.plans.registry import query
 from fathomline.sources.jsonl import with_status
@@ -49,3 +50,18 @@ def tool_response(spark, sf_dir):
 def mean_logprob(spark, sf_dir):
     values = F.transform("embedding", lambda x: x.cast("double"))
     return read(spark, sf_dir, "embeddings").select("vec_id", F.round(chat.confidence(values, F.lit(True))["value"], 9).alias("confidence"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, coalesce(floor(o_totalprice)::BIGINT::VARCHAR, 'null') AS v, coalesce(o_orderstatus, '') AS s, coalesce(o_orderpriority, '') AS p FROM orders)
+SELECT o_orderkey, place::INTEGER AS place, 'unit_convert' AS name, CASE WHEN v <> 'null' THEN v END AS value, CASE place WHEN 1 THEN 'g' ELSE p END AS to_unit, CASE WHEN v = 'null' THEN 'schema_error' ELSE 'valid' END AS status
+FROM (SELECT *, unnest(CASE WHEN p = '1-URGENT' THEN [1, 2] ELSE [1] END) AS place FROM o WHERE s = 'O')
+UNION ALL SELECT o_orderkey, NULL, NULL, NULL, NULL, CASE s WHEN 'P' THEN 'unterminated' ELSE 'no_call' END FROM o WHERE s <> 'O'""")
+def calls_in_sql(spark, sf_dir):
+    """Calls in what is said of each order (a call, two, one that is cut off, none), by a table function that is called from SQL."""
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    value, status, priority = F.coalesce(F.floor("o_totalprice").cast("string"), F.lit("null")), text(F.col("o_orderstatus")), text(F.col("o_orderpriority"))
+    call = lambda unit: F.concat(F.lit('<tool_call>{"name": "unit_convert", "arguments": {"value": '), value, F.lit(', "from_unit": "kg", "to_unit": "'), unit, F.lit('"}}</tool_call>'))
+    said = F.when(status == "P", F.concat(F.lit("so <tool_call>"), value)).when(status != "O", value).when(priority == "1-URGENT", F.concat(call(F.lit("g")), call(priority))).otherwise(call(F.lit("g")))
+    tables.register_calls(spark)
+    spoken = read(spark, sf_dir, "orders").select("o_orderkey", said.alias("said"))
+    return spark.sql("SELECT o_orderkey, place, name, arguments['value'] AS value, arguments['to_unit'] AS to_unit, status FROM tool_calls(TABLE({spoken}), 'said')", spoken=spoken)
