@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fathomline.functions import notes as N
 from fathomline.operators import comparison as M
 from fathomline.operators import statistics as S
+from fathomline.sources.staging import scratch
 
 #: Fields of a verdict that are compared, each null-safely.
 VERDICT = ["error", "correct", "abstained", "over_refusal", "over_call", "tool_selected", "tool_args_correct", "tool_executed", "result_in_answer", "unsupported_args"]
@@ -49,10 +50,19 @@ def rates(stored: DataFrame, again: DataFrame, by: list[str]) -> DataFrame:
     return findings(both, "rate", key, F.coalesce("metric", "b_metric"), F.coalesce("stored", F.lit("none")), F.coalesce("again", F.lit("none")))
 
 
+def written(df: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """Columns of judged rows, written and read again: judging is dear, and more than one thing is asked of it."""
+    narrow = df.select(*dict.fromkeys(c for c in columns if c in df.columns))
+    path = scratch(df.sparkSession, name)
+    narrow.write.parquet(path)
+    return df.sparkSession.read.schema(narrow.schema).parquet(path)
+
+
 def audit(stored: DataFrame, again: DataFrame, stored_rates: DataFrame, key: list[str], by: list[str]) -> DataFrame:
-    """All findings of a run; without any it is what it says. Rows of `again` carry the columns of by, as tagged gives them: a row for each subset."""
-    first = again.where(F.col("subset") == "full") if "subset" in again.columns else again
-    return verdicts(stored, first, key).unionByName(rates(stored_rates, again, by))
+    """All findings of a run; without any it is what it says. Rows of `again` may carry a column subset, as tagged gives it: a row for each; verdicts are then those of full."""
+    judged = written(again, [*key, *by, "subset", "answer_type", "called", *VERDICT], "audit")
+    first = judged.where(F.col("subset") == "full") if "subset" in judged.columns else judged
+    return verdicts(stored, first, key).unionByName(rates(stored_rates, judged, by))
 
 
 def subgroup(flagged: Column) -> Column:
@@ -66,8 +76,9 @@ def subgroup(flagged: Column) -> Column:
 
 def by_subgroup(judged: DataFrame, group: str, tokens: str) -> DataFrame:
     """Per group: n, right ones, the most common error (ties: the first by name; null if there is none), mean tokens and their interpolated 95th percentile, by ranks and not by a buffer of a group."""
-    errors = judged.groupBy(group, "error").agg(F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("k"), F.sum(tokens).alias("sum"), F.count(tokens).alias("of"))
-    # Errors are few, so their counts are small whatever the rows are.
-    most = F.max_by("error", F.when(F.col("error").isNotNull(), F.col("n")))
-    first = errors.orderBy("error").groupBy(group).agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.try_divide(F.sum("sum"), F.sum("of")).alias("mean_tokens"), most.alias("most_common_error"))
-    return first.join(S.interpolated(judged, tokens, {"p95_tokens": 0.95}, [group]), group, "left").select(group, "n", "k", "most_common_error", "mean_tokens", "p95_tokens")
+    rows = written(judged, [group, "error", "correct", tokens], "subgroups").withColumn(group, F.coalesce(group, F.lit("none")))
+    # Errors are of few kinds, so what is grouped the second time is small.
+    errors = rows.groupBy(group, "error").agg(F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("k"), F.sum(tokens).alias("sum"), F.count(tokens).alias("of"))
+    most = F.min(F.when(F.col("error").isNotNull(), F.struct((-F.col("n")).alias("n"), "error")))["error"]
+    sums = errors.groupBy(group).agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.try_divide(F.sum("sum"), F.sum("of")).alias("mean_tokens"), most.alias("most_common_error"))
+    return sums.join(S.interpolated(rows.where(F.col(tokens).isNotNull()), tokens, {"p95_tokens": 0.95}, [group]), group, "left").select(group, "n", "k", "most_common_error", "mean_tokens", "p95_tokens")

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from fathomline.functions import notes as N
-from fathomline.operators import chat, rollouts
+from fathomline.operators import audit, chat, rollouts
 from fathomline.operators import comparison as M
 from fathomline.operators import contracts, views
 from fathomline.operators import keys as K
@@ -59,6 +59,45 @@ def rates_audit(spark, sf_dir):
     return M.audit_rates(stored, rows)
 
 
+def in_subsets(spark, sf_dir):
+    """Judged rows once for each subset that they are in."""
+    return M.tagged(scored(spark, sf_dir), Q.q5_grounding(cases.records(spark, sf_dir)))
+
+
+FLAGGED_IDS = f"(SELECT id FROM r WHERE {FLAGGED})"
+
+
+@query(f"""{RECORDS}, {FLAGS}, s AS (SELECT *, {ERROR} AS error, id IN {FLAGGED_IDS} AS bad FROM v)
+SELECT 'verdict' AS level, id || '/' || n AS key, 'error' AS field, 'planted' AS stored, coalesce(error, 'null') AS again FROM s WHERE n % 50 = 7
+UNION ALL SELECT 'verdict', id || '/' || n, 'times', CASE n % 50 WHEN 9 THEN '0' ELSE '2' END, '1' FROM s WHERE n % 50 IN (9, 11)
+UNION ALL SELECT 'rate', 'grounded', 'tool_e2e', count_if(correct) + 1 || '/' || count(*), count_if(correct) || '/' || count(*) FROM s WHERE answer_type = 'tool_call' AND NOT bad
+UNION ALL SELECT 'rate', 'full', 'numeric_accuracy', 'none', count_if(correct) || '/' || count(*) FROM s WHERE answer_type = 'numeric_reasoning'""")
+def run_audit(spark, sf_dir):
+    """A stored run with planted faults (a verdict changed, missing or twice, a rate off by one, one missing), against its rows judged again."""
+    again = in_subsets(spark, sf_dir)
+    kept = audit.written(again, ["id", "ord", "subset", "answer_type", "called", *audit.VERDICT], "run")
+    stored = kept.where("subset = 'full' and ord % 50 <> 9").withColumn("error", F.when(F.col("ord") % 50 == 7, "planted").otherwise(F.col("error")))
+    stored = stored.unionAll(stored.where("ord % 50 = 11"))
+    off = (F.col("metric") == "tool_e2e") & (F.col("subset") == "grounded")
+    rates = M.bundle(kept, ["subset"]).withColumn("k", F.col("k") + off.cast("long")).where("not (subset = 'full' and metric = 'numeric_accuracy')")
+    return audit.audit(stored, again, rates, ["id", "ord"], ["subset"])
+
+
+SAID_LENGTH = f"CASE {ROLLOUT} WHEN 1 THEN 0 WHEN 2 THEN length('It is not documented.') WHEN 3 THEN length('It is 9999.') WHEN 4 THEN length('1 2 3 4 5 6 7 8 9 10 11 12 13 14 15') ELSE length(answer) END"
+
+
+@query(f"""{RECORDS}, {FLAGS}, s AS (SELECT *, {ERROR} AS error, {SAID_LENGTH} AS tokens, CASE WHEN id IN {FLAGGED_IDS} THEN 'flagged' WHEN answer_type = 'uncertain' THEN 'uncertain_' || CASE topic WHEN 0 THEN 'height_and_weight' WHEN 1 THEN 'dose' ELSE 'allergy' END
+  WHEN answer_type <> 'tool_call' THEN answer_type WHEN NOT has_calls THEN 'tool_call' WHEN converts THEN 'unit_convert' WHEN imperial THEN 'bmi_imperial' ELSE 'bmi_metric' END AS subgroup FROM v),
+e AS (SELECT subgroup, error, row_number() OVER (PARTITION BY subgroup ORDER BY count(*) DESC, error) AS place FROM s WHERE error IS NOT NULL GROUP BY subgroup, error)
+SELECT subgroup, count(*)::BIGINT AS n, count_if(correct)::BIGINT AS k, (SELECT error FROM e WHERE e.subgroup = s.subgroup AND place = 1) AS most_common_error, round(avg(tokens), 6)::DOUBLE AS mean_tokens, round(quantile_cont(tokens, 0.95), 6)::DOUBLE AS p95_tokens FROM s GROUP BY subgroup""")
+def run_subgroups(spark, sf_dir):
+    """Figures of a run by subgroup: right ones, the most common error, characters said on average and at the 95th percentile."""
+    whole = in_subsets(spark, sf_dir)
+    own = whole.where("subset <> 'full'").withColumns({"subgroup": audit.subgroup(F.col("subset") == "flagged"), "said": F.length(F.coalesce("final", F.lit("")))})
+    found = audit.by_subgroup(own, "subgroup", "said")
+    return found.select("subgroup", "n", "k", "most_common_error", F.round("mean_tokens", 6).alias("mean_tokens"), F.round("p95_tokens", 6).alias("p95_tokens"))
+
+
 @query(f"{RECORDS}, {FLAGS} SELECT id, n AS ord, unsupported FROM v")
 def unsupported_calls(spark, sf_dir):
     return scored(spark, sf_dir).select("id", "ord", F.col("unsupported_args").alias("unsupported"))
