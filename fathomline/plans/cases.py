@@ -17,7 +17,7 @@ from fathomline.operators import scoring as V
 from fathomline.operators import statistics as S
 from fathomline.operators import views
 from fathomline.plans.registry import query
-from fathomline.sources.tables import read
+from fathomline.sources.tables import read, spread
 
 FIELDS = {
     "n": "p_partkey",
@@ -81,7 +81,7 @@ RECORDS = fields_sql()
 
 
 def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = read(spark, sf_dir, "part").select("p_partkey", "p_size")
+    out = spread(read(spark, sf_dir, "part").select("p_partkey", "p_size"))
     for name, expression in FIELDS.items():
         out = out.withColumn(name, F.expr(expression))
     return out
