@@ -236,9 +236,9 @@ def tri_state(outcomes: Column) -> Column:
     return F.when(F.exists(outcomes, lambda o: o == "fail"), "fail").when((F.size(outcomes) == 0) | F.exists(outcomes, lambda o: o == "review"), "review").otherwise("pass")
 
 
-def typed_aggregate(scores: DataFrame) -> DataFrame:
+def typed_aggregate(scores: DataFrame, parts: tuple[str, ...] = ("types", "checks")) -> DataFrame:
     """Rates of typed verdicts (answer_type, correct, before, expected, checks of kind and ok, name_ok, outcome_ok) as rows of metric, k, n, rate:
-    by type the new and the former verdict, by kind of check, and for calls a funnel whose later steps count only where they apply."""
+    by type the new and the former verdict and for calls a funnel whose later steps count only where they apply (types), and by kind of check (checks). A part that isn't asked for isn't worked out."""
     tool, call = F.col("answer_type") == "tool_call", (F.col("answer_type") == "tool_call") & (F.col("expected") == "call")
     one = lambda metric, flag, holds=F.lit(True): F.when(holds, F.struct(metric.alias("metric"), flag.alias("flag")))
     own = F.array_compact(F.array(
@@ -246,8 +246,8 @@ def typed_aggregate(scores: DataFrame) -> DataFrame:
         one(F.lit("name if called"), F.col("name_ok"), call), one(F.lit("outcome if called"), F.col("outcome_ok"), call),
     ))
     checks = F.transform(F.coalesce("checks", F.array().cast(dict(scores.dtypes)["checks"])), lambda c: F.struct(F.concat(F.lit("check "), c["kind"]).alias("metric"), c["ok"].alias("flag")))
-    r = rate(F.col("m.flag"))
-    return scores.select(F.explode(F.concat(own, checks)).alias("m")).groupBy("m.metric").agg(r["k"].alias("k"), r["n"].alias("n"), r["rate"].alias("rate"))
+    r, rows = rate(F.col("m.flag")), {"types": own, "checks": checks}
+    return scores.select(F.explode(F.concat(*[rows[p] for p in parts])).alias("m")).groupBy("m.metric").agg(r["k"].alias("k"), r["n"].alias("n"), r["rate"].alias("rate"))
 
 
 def resolved(rows: DataFrame, status: str, by: list[str]) -> DataFrame:

@@ -56,7 +56,7 @@ def typed_rates(spark, sf_dir):
     """By type the typed verdict and the former one; calls by what was expected, and the steps of a call."""
     rows = V.score(typed(spark, sf_dir))
     scores = rows.select("answer_type", F.col("typed_correct").alias("correct"), F.col("correct").alias("before"), "typed.expected", "typed.checks", "typed.name_ok", "typed.outcome_ok")
-    return S.typed_aggregate(scores).where("metric not like 'check %'")
+    return S.typed_aggregate(scores, ("types",))
 
 
 @query(f"""{RECORDS}, v AS (SELECT *, {TYPED} IS NULL AS ok, answer_type IN ('extractive', 'numeric_reasoning') AND NOT (fault IN (1, 17) OR NOT labs OR fault = 12) AS keyed FROM r WHERE {SCORED_ROWS})
@@ -66,7 +66,7 @@ def typed_rates_by_check(spark, sf_dir):
     """The rows of the typed aggregate by kind of check."""
     rows = V.score(typed(spark, sf_dir))
     scores = rows.select("answer_type", F.col("typed_correct").alias("correct"), F.col("correct").alias("before"), "typed.expected", "typed.checks", "typed.name_ok", "typed.outcome_ok")
-    return S.typed_aggregate(scores).where("metric like 'check %'")
+    return S.typed_aggregate(scores, ("checks",))
 
 
 # Answers about two analytes, made of orders: which is named, in which state it is said to be, and its number.
