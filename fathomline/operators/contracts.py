@@ -73,7 +73,7 @@ def outcome(kind: str, note: str | None, rows: list | None, question: str | None
         ok = strictly_abstains(said) and all(re.search(p, said) for p in W.MISSING_FIELD[category])
         return [*out, {"kind": "abstention", "subject": category, "status": "pass" if ok else "review", "reason": "named" if ok else "unresolved"}]
     key = K.build_key(note, rows, question, gold)
-    _, facts = K.input_facts(note, rows, question)
+    facts = key.facts
     reading = D.read(said, key.names)
     given = f"{note or ''} {' '.join(' '.join(c or '' for c in r) for r in rows or [])} {question or ''}"
     slots = [slot(c, facts, given, question, said, reading) for c in key.checks]
@@ -85,7 +85,7 @@ def outcome(kind: str, note: str | None, rows: list | None, question: str | None
     return out
 
 
-SLOTS = N.arrow("array<struct<kind:string,subject:string,status:string,reason:string>>", outcome)
+SLOTS = N.arrow("array<struct<kind:string,subject:string,status:string,reason:string>>", lambda kind, *of: None if kind == "tool_call" else outcome(kind, *of))
 
 
 def judged(df: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
+from fathomline.operators import keys as K
+from fathomline.operators import scoring as V
 from fathomline.plans import cases
 from fathomline.sources.tables import read, spread
 
@@ -19,3 +22,25 @@ def test_rows_of_one_row_group_are_dealt_over_tasks(spark):
         counts = by_task(rows)
         assert len(counts) == 4 and max(counts) - min(counts) <= 4 and sum(counts) == part.count()
     assert spread(part).exceptAll(part).isEmpty()
+
+
+def test_input_is_read_once_for_a_typed_verdict(monkeypatch):
+    read_facts, times = K.input_facts, []
+    monkeypatch.setattr(K, "input_facts", lambda *of: times.append(1) or read_facts(*of))
+    found = K.verdict("extractive", "Tired.", [["Sodium", "150", "mmol/L", "136-145"]], "What is the sodium?", "It is 150.", "It is 150.", None, None, "answer", None)
+    assert found["error"] is None and found["coverage"] == "structured" and len(times) == 1
+
+
+def test_rates_by_check_need_no_former_verdict(spark):
+    plan = queries()["typed_rates_by_check"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("batch(") <= 2, plan
+
+
+def test_kernels_pass_over_what_is_not_asked(spark):
+    rows = spark.createDataFrame([("tool_call", "unit_convert"), ("uncertain", "calculate_bmi")], "kind string, tool string")
+    none = F.lit(None).cast("string")
+    of = [none, F.lit(None).cast("array<array<string>>"), none]
+    error, sources = V.ANSWER_ERROR(F.col("kind"), none, *of, F.lit("It is not documented.")), V.SOURCES(F.col("tool"), F.lit(None).cast("map<string,string>"), F.lit(None).cast("map<string,string>"), *of)
+    found = {r["kind"]: r for r in rows.select("kind", error.alias("e"), sources.alias("s")).collect()}
+    assert found["tool_call"]["e"] is None and found["tool_call"]["s"] is None
+    assert found["uncertain"]["e"] is not None and len(found["uncertain"]["s"]) == 2
