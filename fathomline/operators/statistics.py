@@ -66,37 +66,60 @@ def describe(df: DataFrame, column: str, by: list[str]) -> DataFrame:
         F.sum("times").alias("n"), F.round(F.sum(F.col(column).cast("double") * F.col("times")) / F.sum("times"), 1).alias("mean"), F.min(column).alias("min"), F.max(column).alias("max")])
 
 
-def running(counts: DataFrame, by: list[str], value: str, columns: list[str], parts: int = 200) -> DataFrame:
-    """counts (a row for each different number `value` of a group) with, for each column, its sum over smaller values (_before) and over all (_all).
+def part_of(cuts: Column, value: Column, parts: int) -> Column:
+    """How many of at most `parts` sorted cuts are below a value, by halves instead of looking at each."""
+    steps = [1 << k for k in reversed(range(parts.bit_length()))]
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.get(cuts, at + step - 1) < value, at + step).otherwise(at))
+
 
-    A group's values are cut at approximate percentiles: sums run within a part, and parts add what lies in those before. So no task holds more
-    than a part of a group, also where each row has a value of its own. Counts are read three times, so they are written first."""
-    counts = written(counts, "counts")
+def in_parts(counts: DataFrame, by: list[str], value: str, columns: list[str], parts: int = 200) -> tuple[DataFrame, DataFrame]:
+    """counts (written; a row for each different number `value` of a group) with __part, as a group's values are cut at approximate percentiles; and for each part (by as __by, __of) what
+    its columns sum to, what they sum to in the parts before (__of_), and in all (_all). Both small tables are written, so Spark knows that they needn't be shuffled to."""
     cuts = counts.groupBy(*by).agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 10_000).alias("__cuts"))
-    if by:
-        cuts = cuts.select(*[F.col(b).alias(f"__cut_{b}") for b in by], "__cuts")
-        rows = counts.join(cuts, [F.col(b).eqNullSafe(F.col(f"__cut_{b}")) for b in by]).select(*counts.columns, "__cuts")
-    else:
-        rows = counts.withColumn("__cuts", cuts.scalar())
-    rows = rows.withColumn("__part", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
+    cuts = written(cuts.select(*[F.col(b).alias(f"__cut_{b}") for b in by], "__cuts"), "cuts")
+    joined = counts.join(cuts, [F.col(b).eqNullSafe(F.col(f"__cut_{b}")) for b in by]) if by else counts.crossJoin(cuts)  # one row
+    rows = joined.select(*counts.columns, part_of(F.col("__cuts"), F.col(value), parts - 1).alias("__part"))
     sums = rows.groupBy(*by, "__part").agg(*[F.sum(c).alias(c) for c in columns])
     group = Window.partitionBy(*by)
     earlier = group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     before = [F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"__of_{c}") for c in columns]
-    offsets = sums.select(*[F.col(b).alias(f"__{b}") for b in by], F.col("__part").alias("__of"), *before, *[F.sum(c).over(group).alias(f"{c}_all") for c in columns])
-    inside = Window.partitionBy(*by, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({f"__in_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in columns})
+    offsets = sums.select(*[F.col(b).alias(f"__{b}") for b in by], F.col("__part").alias("__of"), *[F.col(c).alias(f"__sum_{c}") for c in columns], *before, *[F.sum(c).over(group).alias(f"{c}_all") for c in columns])
+    return rows, written(offsets, "offsets")
+
+
+def inside_parts(rows: DataFrame, offsets: DataFrame, by: list[str], value: str, columns: list[str]) -> DataFrame:
+    """Rows of the parts that `offsets` holds, with sums over smaller values of the group (_before) and over all (_all)."""
     joined = rows.join(offsets, [F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by] + [F.col("__part") == F.col("__of")])
-    return joined.select(*counts.columns, *[(F.col(f"__in_{c}") + F.col(f"__of_{c}")).alias(f"{c}_before") for c in columns], *[f"{c}_all" for c in columns])
+    smaller = Window.partitionBy(*by, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    sums = [(F.coalesce(F.sum(c).over(smaller), F.lit(0)) + F.col(f"__of_{c}")).alias(f"{c}_before") for c in columns]
+    return joined.select(*[c for c in rows.columns if c != "__part"], *sums, *[f"{c}_all" for c in columns])
+
+
+def running(counts: DataFrame, by: list[str], value: str, columns: list[str], parts: int = 200) -> DataFrame:
+    """counts (a row for each different number `value` of a group) with, for each column, its sum over smaller values (_before) and over all (_all).
+
+    Sums run within a part of a group, and parts add what lies in those before. So no task holds more than a part of a group, also where each row has a value of its own. Counts are read
+    three times, so they are written first."""
+    rows, offsets = in_parts(written(counts, "counts"), by, value, columns, parts)
+    return inside_parts(rows, offsets, by, value, columns)
 
 
 def at_index(df: DataFrame, value: str, places: dict[str, Column | None], by: list[str] | None = None, more: list[Column] | None = None) -> DataFrame:
-    """Values at sorted positions; a place is an expression of n, the number of values, counted from 0 (None: n itself). Values are counted first. more: aggregates of the counts (value, times)."""
+    """Values at sorted positions; a place is an expression of n, the number of values, counted from 0 (None: n itself). Values are counted first, and only parts of a group in which a
+    place lies are sorted. more: aggregates of the counts (value, times)."""
     by = by or []
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("times"))
-    ranked = running(counts, by, value, ["times"]).withColumn("n", F.col("times_all"))
-    inside = lambda at: (at >= F.col("times_before")) & (at < F.col("times_before") + F.col("times"))
-    return ranked.groupBy(*by).agg(*[(F.max("n") if at is None else F.min(F.when(inside(at), F.col(value)))).alias(name) for name, at in places.items()], *more or [])
+    counts = written(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("times")), "counts")
+    rows, offsets = in_parts(counts, by, value, ["times"])
+    ats = {name: at for name, at in places.items() if at is not None}
+    within = lambda at, before, times: (at >= F.col(before)) & (at < F.col(before) + F.col(times))
+    held = F.exists(F.array(F.lit(False), *[within(at, "__of_times", "__sum_times") for at in ats.values()]), lambda x: x)
+    few = written(offsets.withColumn("n", F.col("times_all")).where(held).drop("n"), "few")
+    ranked = inside_parts(rows, few, by, value, ["times"]).withColumn("n", F.col("times_all"))
+    found = ranked.groupBy(*[F.col(b).alias(f"__in_{b}") for b in by]).agg(F.lit(True).alias("__found"), *[F.min(F.when(within(at, "times_before", "times"), F.col(value))).alias(name) for name, at in ats.items()])
+    whole = counts.groupBy(*by).agg(F.sum("times").alias("__n"), *more or [])
+    both = whole.join(found, [F.col(b).eqNullSafe(F.col(f"__in_{b}")) for b in by], "left") if by else whole.crossJoin(found)  # one row each
+    names = [F.col("__n").alias(name) if at is None else F.col(name) for name, at in places.items()]
+    return both.select(*by, *names, *[F.col(c) for c in whole.columns if c not in by and c != "__n"])
 
 
 def average_ranks(df: DataFrame, value: str) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from __spark_entry__ import queries
 from fathomline.operators import keys as K
 from fathomline.operators import scoring as V
+from fathomline.operators import statistics as S
 from fathomline.plans import cases
 from fathomline.sources.tables import read, spread
 
@@ -44,3 +45,19 @@ def test_kernels_pass_over_what_is_not_asked(spark):
     found = {r["kind"]: r for r in rows.select("kind", error.alias("e"), sources.alias("s")).collect()}
     assert found["tool_call"]["e"] is None and found["tool_call"]["s"] is None
     assert found["uncertain"]["e"] is not None and len(found["uncertain"]["s"]) == 2
+
+
+def test_parts_are_found_by_halves(spark):
+    cuts = [1.0, 2.0, 2.0, 3.5, 9.0]
+    values = [0.0, 1.0, 1.5, 2.0, 2.5, 3.5, 9.0, 10.0]
+    rows = spark.createDataFrame([(cuts, v) for v in values] + [([], 1.0)], "c array<double>, v double")
+    found = [(r["c"], r["v"], r["p"]) for r in rows.withColumn("p", S.part_of(F.col("c"), F.col("v"), 199)).collect()]
+    assert all(p == sum(c < v for c in c_) for c_, v, p in found)
+
+
+def test_only_parts_with_a_place_are_sorted(spark, monkeypatch):
+    sorted_rows, inside = [], S.inside_parts
+    monkeypatch.setattr(S, "inside_parts", lambda rows, offsets, *of: sorted_rows.append(offsets.agg(F.sum("__sum_times")).first()[0]) or inside(rows, offsets, *of))
+    df = spark.range(20000).select(F.when(F.col("id") % 2 == 0, "a").alias("g"), F.col("id").cast("double").alias("v"))
+    found = {r["g"]: (r["p10"], r["p90"]) for r in S.interpolated(df, "v", {"p10": 0.1, "p90": 0.9}, ["g"]).collect()}
+    assert all(abs(x - y) < 1e-6 for g, first in (("a", 0), (None, 1)) for x, y in zip(found[g], (first + 1999.8, first + 17998.2), strict=True)) and sorted_rows[0] < 2000
