@@ -13,6 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathomline.functions import notes as N
 from fathomline.operators import statistics as S
 
 IGNORED = -100
@@ -123,7 +124,8 @@ def encode(conversations: DataFrame, tokenizer: str, template: Template = plain_
         import pyarrow as pa
 
         tokens = load(tokenizer)
-        for batch in batches:
+        # Ids and labels of few conversations are Python objects at once, not those of a whole batch.
+        for batch in (piece for whole in batches for piece in N.slices(whole, 128)):
             rows = []
             for i, messages in zip(batch.column("id").to_pylist(), batch.column("messages").to_pylist(), strict=True):
                 try:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
+from fathomline.functions import notes as N
 from fathomline.operators import keys as K
 from fathomline.operators import scoring as V
 from fathomline.operators import statistics as S
@@ -61,3 +62,16 @@ def test_only_parts_with_a_place_are_sorted(spark, monkeypatch):
     df = spark.range(20000).select(F.when(F.col("id") % 2 == 0, "a").alias("g"), F.col("id").cast("double").alias("v"))
     found = {r["g"]: (r["p10"], r["p90"]) for r in S.interpolated(df, "v", {"p10": 0.1, "p90": 0.9}, ["g"]).collect()}
     assert all(abs(x - y) < 1e-6 for g, first in (("a", 0), (None, 1)) for x, y in zip(found[g], (first + 1999.8, first + 17998.2), strict=True)) and sorted_rows[0] < 2000
+
+
+def test_kernels_hold_few_rows_at_once(spark):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"x": list(range(1000))})
+    pieces = list(N.slices(batch, 128))
+    assert max(map(len, pieces)) == 128 and [x for p in pieces for x in p.column("x").to_pylist()] == list(range(1000))
+    size = N.arrow("array<long>", lambda xs: xs and [len(xs), *xs[:1]])
+    rows = spark.range(0, 1000, 1, 3).select("id", F.when(F.col("id") % 7 != 0, F.array_repeat("id", 3)).alias("xs"))
+    found = {r["id"]: r["s"] for r in rows.withColumn("s", size(F.col("xs"))).collect()}
+    assert found == {k: None if k % 7 == 0 else [3, k] for k in range(1000)}
+    assert rows.where("id < 0").withColumn("s", size(F.col("xs"))).collect() == []
