@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from __spark_entry__ import queries
 from fathomline.functions import notes as N
 from fathomline.operators import keys as K
+from fathomline.operators import relational as R
 from fathomline.operators import scoring as V
 from fathomline.operators import statistics as S
 from fathomline.plans import cases
@@ -75,3 +76,10 @@ def test_kernels_hold_few_rows_at_once(spark):
     found = {r["id"]: r["s"] for r in rows.withColumn("s", size(F.col("xs"))).collect()}
     assert found == {k: None if k % 7 == 0 else [3, k] for k in range(1000)}
     assert rows.where("id < 0").withColumn("s", size(F.col("xs"))).collect() == []
+
+
+def test_pairs_are_compared_by_their_sets(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g".split()), (2, "a b c d e f h".split()), (3, "x a b c d e f".split()), (4, ["a"])], "id long, t array<string>")
+    grams = R.Grams(docs, docs, "id", "t", 5)
+    pairs = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 3)], "q long, x long")
+    assert sorted(grams.intersected(pairs).collect()) == sorted(grams.compared(pairs).collect()) == [(1, 1, 1.0), (1, 2, 0.5), (1, 3, 0.5), (2, 3, 0.5)]
