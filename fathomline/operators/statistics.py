@@ -56,7 +56,7 @@ def interpolated(df: DataFrame, value: str, names: dict[str, float], by: list[st
     sides = {f"{name}__{side}": f(place) for name, place in at.items() for side, f in (("low", F.floor), ("high", F.ceil))}
     found = at_index(df, value, sides | {"n__all": None}, by)
     share = {name: F.lit(q) * (F.col("n__all") - 1) - F.floor(F.lit(q) * (F.col("n__all") - 1)) for name, q in names.items()}
-    low, high = (lambda name: F.col(f"{name}__low").cast("double")), (lambda name: F.col(f"{name}__high").cast("double"))
+    low, high = (lambda name: F.col(f"`{name}__low`").cast("double")), (lambda name: F.col(f"`{name}__high`").cast("double"))
     return found.select(*by, *[(low(name) + (high(name) - low(name)) * share[name]).alias(name) for name in names])
 
 
@@ -118,7 +118,7 @@ def at_index(df: DataFrame, value: str, places: dict[str, Column | None], by: li
     found = ranked.groupBy(*[F.col(b).alias(f"__in_{b}") for b in by]).agg(F.lit(True).alias("__found"), *[F.min(F.when(within(at, "times_before", "times"), F.col(value))).alias(name) for name, at in ats.items()])
     whole = counts.groupBy(*by).agg(F.sum("times").alias("__n"), *more or [])
     both = whole.join(found, [F.col(b).eqNullSafe(F.col(f"__in_{b}")) for b in by], "left") if by else whole.crossJoin(found)  # one row each
-    names = [F.col("__n").alias(name) if at is None else F.col(name) for name, at in places.items()]
+    names = [F.col("__n").alias(name) if at is None else F.col(f"`{name}`") for name, at in places.items()]  # a name may hold a point, as p0.5
     return both.select(*by, *names, *[F.col(c) for c in whole.columns if c not in by and c != "__n"])
 
 

@@ -65,6 +65,12 @@ def test_only_parts_with_a_place_are_sorted(spark, monkeypatch):
     assert all(abs(x - y) < 1e-6 for g, first in (("a", 0), (None, 1)) for x, y in zip(found[g], (first + 1999.8, first + 17998.2), strict=True)) and sorted_rows[0] < 2000
 
 
+def test_quantiles_have_names_with_points(spark):
+    df = spark.createDataFrame([("a", float(x)) for x in range(101)], "g string, v double")
+    assert S.quantiles(df, "v", {"p0.5": 0.5, "p0.9": 0.9}, ["g"]).first() == ("a", 50.0, 90.0)
+    assert S.interpolated(df, "v", {"p0.5": 0.5}, ["g"]).first() == ("a", 50.0)
+
+
 def test_kernels_hold_few_rows_at_once(spark):
     import pyarrow as pa
 
