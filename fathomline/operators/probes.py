@@ -67,8 +67,9 @@ def positives(records: DataFrame, seed: str = "0", prefix: str = "pos_") -> Data
 def negatives(records: DataFrame, missing: str, seed: str = "0", prefix: str = "neg_") -> DataFrame:
     """For each eligible record one whose note lacks the age or the sex, where no cue of it is left: the answer says what is missing."""
     rows = eligible(records).withColumn("note", LACKING[missing](F.col("note")))
-    rows = rows.where(F.size(E.cues_of(F.col("note"), missing)) == 0).where(X.age_sex(F.col("note"))[missing].isNull())
-    rows = numbered(rows, seed, prefix)
+    rows = rows.withColumn("__lacks", (F.size(E.cues_of(F.col("note"), missing)) == 0) & X.age_sex(F.col("note"))[missing].isNull())
+    # Written before the condition: rows are read twice to be numbered, and a condition is worked out from the unedited notes, with all edits in it again.
+    rows = numbered(R.written(rows, "lacking").where("__lacks").drop("__lacks"), seed, prefix)
     answer = F.concat(F.lit(f"The patient's {missing} is not recorded, so the eGFR cannot be calculated from the creatinine of "), F.col("creatinine").cast("string"), F.lit(" mg/dL."))
     return rows.select("id", "source_id", "note", "table", "question", answer.alias("answer"), F.lit("uncertain").alias("answer_type"))
 

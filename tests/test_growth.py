@@ -27,6 +27,18 @@ def test_rows_of_one_row_group_are_dealt_over_tasks(spark):
     assert spread(part).exceptAll(part).isEmpty()
 
 
+def test_conditions_on_texts_stay_after_rows_are_dealt(spark):
+    text = F.concat(F.lit("n"), F.col("p_partkey").cast("string"))
+    rows = spread(read(spark, SMALL, "part").select("p_partkey", "p_size")).withColumn("text", text).where(F.regexp_like("text", F.lit("n.*7$")))
+    above, below = rows._jdf.queryExecution().optimizedPlan().toString().split("Repartition")
+    assert "Filter" in above and "Filter" not in below and rows.count() == 20
+
+
+def test_notes_of_negatives_are_edited_once(spark):
+    plan = queries()["generated_negatives"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Allergies" not in plan and "Repartition" not in plan, plan
+
+
 def test_input_is_read_once_for_a_typed_verdict(monkeypatch):
     read_facts, times = K.input_facts, []
     monkeypatch.setattr(K, "input_facts", lambda *of: times.append(1) or read_facts(*of))
