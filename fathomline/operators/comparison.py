@@ -59,7 +59,8 @@ def errors(scored: DataFrame) -> DataFrame:
 def paired(a: DataFrame, b: DataFrame, names: int = 5) -> DataFrame:
     """Two scored runs over the items that both have: by answer type n, right answers of each, the difference, items fixed, broken and wrong in both, and the
     first broken ids."""
-    pairs = a.select("id", "answer_type", F.col("correct").alias("a")).join(b.select("id", F.col("correct").alias("b")), "id")
+    # Written, as verdicts are dear and pairs are read twice.
+    pairs = R.written(a.select("id", "answer_type", F.col("correct").alias("a")).join(b.select("id", F.col("correct").alias("b")), "id"), "pairs")
     # Broken ids come first in an order, instead of by a filter: a filter on verdicts would be pushed down as all of the expressions behind them.
     marked = pairs.withColumn("broken_id", F.when(F.col("a") & ~F.col("b"), F.col("id")))
     few = R.first_of(marked, ["answer_type"], [F.col("broken_id").asc_nulls_last()], names).groupBy("answer_type").agg(F.sort_array(F.collect_list("broken_id")).alias("broken_ids"))

@@ -39,6 +39,11 @@ def test_notes_of_negatives_are_edited_once(spark):
     assert "Allergies" not in plan and "Repartition" not in plan, plan
 
 
+def test_runs_are_judged_once_for_their_comparison(spark):
+    plan = queries()["run_comparison"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan, plan
+
+
 def test_input_is_read_once_for_a_typed_verdict(monkeypatch):
     read_facts, times = K.input_facts, []
     monkeypatch.setattr(K, "input_facts", lambda *of: times.append(1) or read_facts(*of))
