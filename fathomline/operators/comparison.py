@@ -31,14 +31,17 @@ RATES: dict[str, tuple[str, str]] = {
 MACRO = ["extractive_accuracy", "numeric_accuracy", "tool_e2e", "uncertainty_detection_rate"]
 
 
-def bundle(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """All rates of scored rows in one aggregation, as rows of by, metric, k, n, rate, low, high; macro_task_success has no k and is null where one of its four rates is."""
+def bundle(scored: DataFrame, by: list[str] | None = None, names: list[str] | None = None) -> DataFrame:
+    """All rates of scored rows in one aggregation, as rows of by, metric, k, n, rate, low, high; macro_task_success has no k and is null where one of its four rates is. With names, these
+    rates only, so that what only others read isn't judged."""
     by = by or []
-    flags = {name: F.when(F.expr(rows), F.col(flag)) for name, (rows, flag) in RATES.items()}
+    flags = {name: F.when(F.expr(rows), F.col(flag)) for name, (rows, flag) in RATES.items() if names is None or name in names}
     sums = scored.groupBy(*by).agg(*[x for name, f in flags.items() for x in (F.count_if(f).alias(f"{name}_k"), F.count(f).alias(f"{name}_n"))])
     rate = lambda name: F.round(F.try_divide(F.col(f"{name}_k").cast("double"), F.col(f"{name}_n").cast("double")), 4)
     bounds = lambda name: S.wilson(F.col(f"{name}_k"), F.col(f"{name}_n"))
     one = lambda name: F.struct(F.lit(name).alias("metric"), F.col(f"{name}_k").alias("k"), F.col(f"{name}_n").alias("n"), rate(name).alias("rate"), bounds(name)["low"].alias("low"), bounds(name)["high"].alias("high"))
+    if names is not None:
+        return sums.select(*by, F.explode(F.array(*map(one, flags))).alias("m")).select(*by, "m.*")
     null = F.lit(None)
     macro = F.struct(F.lit("macro_task_success").alias("metric"), null.cast("long").alias("k"), null.cast("long").alias("n"), F.round(reduce(lambda a, b: a + b, map(rate, MACRO)) / 4, 4).alias("rate"), null.cast("double").alias("low"), null.cast("double").alias("high"))
     return sums.select(*by, F.explode(F.array(*map(one, RATES), macro)).alias("m")).select(*by, "m.*")

@@ -48,7 +48,7 @@ def rate_bundle(spark, sf_dir):
 SELECT metric, count_if(f)::BIGINT AS k, count(f)::BIGINT AS n, round(count_if(f)::DOUBLE / count(f), 4)::DOUBLE AS rate FROM m GROUP BY metric""")
 def rates_of_calls(spark, sf_dir):
     """The two rates of calls that rate_bundle leaves out: arguments that the input doesn't support, and results that the answer states."""
-    return M.bundle(scored(spark, sf_dir)).where("metric in ('unsupported_argument_rate', 'tool_result_in_answer')").select("metric", "k", "n", "rate")
+    return M.bundle(scored(spark, sf_dir), names=["unsupported_argument_rate", "tool_result_in_answer"]).select("metric", "k", "n", "rate")
 
 
 @query(f"{RECORDS}, {FLAGS} SELECT 'uncertainty_detection_rate' AS metric, count_if(correct)::BIGINT + 1 AS k, count(*)::BIGINT AS n, count_if(correct)::BIGINT AS k2, count(*)::BIGINT AS n2 FROM v WHERE answer_type = 'uncertain'")

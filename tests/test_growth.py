@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from fathomline.functions import notes as N
+from fathomline.operators import comparison as M
 from fathomline.operators import keys as K
 from fathomline.operators import relational as R
 from fathomline.operators import scoring as V
@@ -44,6 +45,16 @@ def test_runs_are_judged_once_for_their_comparison(spark):
     assert "ArrowEvalPython" not in plan, plan
 
 
+def test_rates_by_name_are_those_of_all(spark):
+    row = lambda kind, i: (kind, i % 2 == 0, i % 3 == 0, i % 5 == 0)
+    rows = spark.createDataFrame([row(k, i) for i, k in enumerate(["tool_call", "uncertain", "extractive"] * 7)], "answer_type string, correct boolean, called boolean, unsupported_args boolean")
+    rows = rows.withColumns({c: F.col("called") for c in ("tool_selected", "tool_args_correct", "tool_executed", "result_in_answer", "over_call", "over_refusal")})
+    names = ["tool_e2e", "unsupported_argument_rate"]
+    assert sorted(M.bundle(rows, names=names).collect()) == sorted(M.bundle(rows).where(F.col("metric").isin(names)).collect())
+    plan = queries()["rates_of_calls"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "batch(answer_type" not in plan, plan
+
+
 def test_input_is_read_once_for_a_typed_verdict(monkeypatch):
     read_facts, times = K.input_facts, []
     monkeypatch.setattr(K, "input_facts", lambda *of: times.append(1) or read_facts(*of))
