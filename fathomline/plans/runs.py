@@ -114,7 +114,7 @@ def rates_of_subsets(spark, sf_dir):
     """Calls over all records, those whose arguments the input gives, and those whose it doesn't."""
     rows = scored(spark, sf_dir).where("not startswith(id, 'odd')")
     tagged = M.tagged(rows, Q.q5_grounding(cases.records(spark, sf_dir).where("not startswith(id, 'odd') and answer_type = 'tool_call'")))
-    return M.bundle(tagged, ["subset"]).where("metric = 'tool_e2e'").select("subset", "k", "n")
+    return M.bundle(tagged.where("answer_type = 'tool_call'"), ["subset"], ["tool_e2e"]).select("subset", "k", "n")
 
 
 @query(f"""{RECORDS}, v AS (SELECT id, answer_type, {ERROR} IS NULL AS b, NOT (answer_type = 'tool_call' AND (fault = 7 OR NOT has_calls)) AS a FROM r WHERE answer_type <> 'other' AND fault <> 2),

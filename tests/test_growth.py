@@ -55,6 +55,12 @@ def test_rates_by_name_are_those_of_all(spark):
     assert plan.count("ArrowEvalPython") == 1 and "batch(answer_type" not in plan, plan
 
 
+def test_only_calls_are_judged_for_their_rate(spark):
+    plan = queries()["rates_of_subsets"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    judged = plan.split("batch(answer_type")[1].split("Repartition")[0]
+    assert any("Filter" in line and "% 4" in line for line in judged.splitlines()), plan  # the kind of a record is that of a remainder by 4
+
+
 def test_input_is_read_once_for_a_typed_verdict(monkeypatch):
     read_facts, times = K.input_facts, []
     monkeypatch.setattr(K, "input_facts", lambda *of: times.append(1) or read_facts(*of))
