@@ -1,8 +1,11 @@
 """What decides how queries grow: rows dealt over tasks, and work that is left out where nothing asks for it."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
+from fathomline.functions import discourse as D
 from fathomline.functions import notes as N
 from fathomline.operators import comparison as M
 from fathomline.operators import keys as K
@@ -112,6 +115,21 @@ def test_quantiles_have_names_with_points(spark):
     assert S.interpolated(df, "v", {"p0.5": 0.5}, ["g"]).first() == ("a", 50.0)
 
 
+def test_names_are_tried_where_their_first_letters_stand():
+    import random
+
+    names = (*D.ALIASES, "[odd] name", "^x")
+    pattern, _ = D.names_pattern(names)
+    first = re.search(r"\(\?=\(\?i:\[.*?\]\)\)(?=\(\?:)", pattern.pattern)
+    plain = re.compile(pattern.pattern.replace(first[0], "", 1))
+    words = ["Sodium", "SODIUM", "\u017fodium", "\u212a", "K", "k", "ALT", "alt", "Na", "[Odd] name", "^x", "-ALT", "xALT", "free T4", "pH", " ", ", ", "\n", "5.1", "total  protein", "Total Protein"]
+    draw = random.Random(3)
+    for _ in range(300):
+        text = "".join(draw.choice(words) + draw.choice(["", " ", "-"]) for _ in range(12))
+        assert [m.span() for m in pattern.finditer(text)] == [m.span() for m in plain.finditer(text)], text
+    assert not D.names_pattern(("",))[0].pattern.count("(?=")
+
+
 def test_kernels_hold_few_rows_at_once(spark):
     import pyarrow as pa
 
