@@ -143,6 +143,11 @@ def test_kernels_hold_few_rows_at_once(spark):
     assert rows.where("id < 0").withColumn("s", size(F.col("xs"))).collect() == []
 
 
+def test_texts_of_queries_are_cut_once(spark):
+    plan = queries()["check_duplicates"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan, plan
+
+
 def test_pairs_are_compared_by_their_sets(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g".split()), (2, "a b c d e f h".split()), (3, "x a b c d e f".split()), (4, ["a"])], "id long, t array<string>")
     grams = R.Grams(docs, docs, "id", "t", 5)
