@@ -145,7 +145,8 @@ def links(nodes: DataFrame, segments: int = 4) -> DataFrame:
         return nodes.select("fp").mapInArrow(kernel, "key long, fp long")
 
     x, y = keyed(False).withColumnRenamed("fp", "x"), keyed(True).withColumnRenamed("fp", "y")
-    found = x.join(y, (x["key"] == y["key"]) & (F.col("x") != F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= RADIUS))
+    # Spark takes a kernel to make as many rows as it reads, but these make 8 and some forty a node: it would broadcast them by the size of the nodes.
+    found = x.join(y.hint("merge"), (x["key"] == y["key"]) & (F.col("x") != F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= RADIUS))
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 

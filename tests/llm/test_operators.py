@@ -375,6 +375,14 @@ def test_near_duplicates(spark):
     assert rows(simhash.near_duplicates(docs_of(spark, EMPTY))) == []
 
 
+def test_links_are_joined_without_broadcast(spark, monkeypatch):
+    """The rows that a kernel makes of a node are more than Spark reckons with."""
+    plans, components = [], simhash.components
+    monkeypatch.setattr(simhash, "components", lambda edges: plans.append(edges._jdf.queryExecution().executedPlan().toString()) or components(edges))
+    assert simhash.near_duplicates(docs_of(spark, some_texts()[:9])).count() == 9
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "BroadcastHashJoin" not in plans[0], plans
+
+
 def test_one_of_each_keeps_a_row_of_every_component(spark):
     """By texts, not ids: rows that share an id, rows without one, and other columns that decide."""
     r = random.Random(8)
