@@ -3,7 +3,7 @@
 from test_operators import docs_of, plain_components, plain_fingerprint, plain_groups, rows, some_texts, toxic_corpus
 
 import corpus_pipeline
-from fathomline.llm import toxicity
+from fathomline.llm import simhash, toxicity
 
 
 def written(docs, tmp_path):
@@ -34,6 +34,13 @@ def test_stages_keep_columns_and_meet_plain_versions(spark, tmp_path):
     assert packed.where("start = 0").count() == mixed.count()
 
 
+def test_near_dedup_of_the_pipeline_broadcasts_no_keys(spark, tmp_path, monkeypatch):
+    plans, components = [], simhash.components
+    monkeypatch.setattr(simhash, "components", lambda edges: plans.append(edges._jdf.queryExecution().executedPlan().toString()) or components(edges))
+    assert dict(corpus_pipeline.STAGES)["simhash near-dedup"](spark, docs_of(spark, some_texts()[:9]), str(tmp_path)).count() == 9
+    assert len(plans) == 1 and "Broadcast" not in plans[0], plans
+
+
 def test_stages_carry_columns_of_every_kind(spark, tmp_path):
     """Extra columns, a map and names that clash with inner ones included, nulls in labels, repeated rows, and empty documents."""
     from pyspark.sql import functions as F
