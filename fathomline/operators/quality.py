@@ -135,26 +135,23 @@ def q2_ids(records: DataFrame) -> DataFrame:
     return flags(repeated, "Q2", "error", F.lit("id occurs again")).unionByName(odd).unionByName(gap)
 
 
-def near_notes(records: DataFrame, index_split: str, k: int, max_df: int, threshold: float | None = None) -> DataFrame:
-    """For records of other splits the most similar note of the index split: id, match, jaccard. With a threshold, those that are at least as similar, by an exact search (ties: least id);
-    without, the most similar of some candidates."""
+def near_notes(records: DataFrame, index_split: str, k: int, levels: tuple[float, ...] = R.LEVELS) -> DataFrame:
+    """For records of other splits the most similar note of the index split, by an exact search down to the last level: id, match, jaccard. A row for each id (ties: most grams in common, then least match)."""
     notes = records.select("id", "split", F.regexp_extract_all(F.lower("note"), F.lit(r"(?U)\w+"), F.lit(0)).alias("t"))
-    others, index = notes.where(F.col("split") != index_split), notes.where(F.col("split") == index_split)
-    if threshold is None:
-        return R.max_jaccard(others, index, "id", "t", k, max_df)
-    return R.first_of(R.similar(others, index, "id", "t", threshold, k), ["id"], [F.desc("jaccard"), F.asc("match")])
+    found = R.most_similar(notes.where(F.col("split") != index_split), notes.where(F.col("split") == index_split), "id", "t", k, levels)
+    return R.first_of(found, ["id"], [F.desc("jaccard"), F.desc("shared"), F.asc("match")]).drop("shared")
 
 
-def q3_duplicates(records: DataFrame, index_split: str = "train", k: int = 5, max_df: int = 100, threshold: float = 0.9, exact: bool = False) -> DataFrame:
-    """Repeated (note, question) within a split, and notes much like one of the index split: by the bounds of max_jaccard, or exactly."""
+def q3_duplicates(records: DataFrame, index_split: str = "train", k: int = 5, threshold: float = 0.9) -> DataFrame:
+    """Repeated (note, question) within a split, and notes much like one of the index split."""
     keyed = records.select("split", "id", "ord", R.row_digest(records, "note", "question").alias("h"))
     firsts = keyed.groupBy("split", "h").agg(F.min(F.struct("ord", "id")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
     repeats = keyed.join(firsts, ["split", "h"]).where("ord <> f.ord or id <> f.id")
-    alike = near_notes(records, index_split, k, max_df, threshold if exact else None).where(F.col("jaccard") >= threshold).join(records.select("id", "split"), "id")
+    alike = near_notes(records, index_split, k, (threshold,)).where(F.col("jaccard") >= threshold).join(records.select("id", "split"), "id")
     return flags(repeats, "Q3", "warn", F.concat(F.lit("same note and question as "), F.col("f.id"))).unionByName(flags(alike, "Q3", "warn", F.format_string("note much like that of %s (%.3f)", "match", "jaccard")))
 
 
-def q3_metrics(records: DataFrame, index_split: str = "train", k: int = 5, max_df: int = 100) -> DataFrame:
+def q3_metrics(records: DataFrame, index_split: str = "train", k: int = 5) -> DataFrame:
     """By split: notes used more than once, templates of notes and those shared with the index split; and the similarities to it."""
     hashed = records.select("split", F.sha2("note", 256).alias("h"), F.sha2(X.mask_numbers(F.col("note")), 256).alias("t"))
     reused = hashed.groupBy("split", "h").agg(F.count(F.lit(1)).alias("n")).groupBy("split").agg(F.count_if(F.col("n") > 1).alias("n"))
@@ -163,7 +160,7 @@ def q3_metrics(records: DataFrame, index_split: str = "train", k: int = 5, max_d
     out = figures(reused, "Q3", "notes used again", F.col("split"), F.col("n")).unionByName(figures(templates, "Q3", "templates of notes", F.col("split"), F.col("n")))
     out = out.unionByName(figures(shared, "Q3", f"notes with a template of {index_split}", F.col("split"), F.col("n")))
     # An id may repeat, over splits too: each record of another split counts once.
-    alike = near_notes(records, index_split, k, max_df).distinct().join(records.where(F.col("split") != index_split).select("id", "split"), "id")
+    alike = near_notes(records, index_split, k).join(records.where(F.col("split") != index_split).select("id", "split"), "id")
     near = S.quantiles(alike, "jaccard", {f"p{q}": q for q in (0.5, 0.9, 0.99, 1.0)}, ["split"])
     spread = near.select("split", F.explode(F.array(*[F.struct(F.lit(f"p{round(100 * q)}").alias("name"), F.round(f"`p{q}`", 3).alias("v")) for q in (0.5, 0.9, 0.99, 1.0)])).alias("s"))
     return out.unionByName(figures(spread, "Q3", f"similarity to {index_split}", F.concat("split", F.lit(" "), F.col("s.name")), F.col("s.v")))

@@ -128,10 +128,9 @@ def check_ids(spark, sf_dir):
 
 
 NEAR = """, w AS (SELECT id, split, regexp_extract_all(lower(note), '\\w+') AS t FROM r), sh AS (SELECT id, split, list_distinct(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' '))) AS g FROM w),
-p AS (SELECT id AS x, unnest(g) AS s FROM sh WHERE split = 'train'), rare AS (SELECT s FROM p GROUP BY s HAVING count(*) <= 100), u AS (SELECT id AS q, unnest(g) AS s FROM sh WHERE split <> 'train'),
-h AS (SELECT q, x, count(*) AS hits FROM u JOIN p USING (s) WHERE s IN (SELECT s FROM rare) GROUP BY q, x),
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY hits DESC, x) AS place FROM h) WHERE place <= 10),
-j AS (SELECT q, x, hits, len(list_intersect(a.g, b.g))::DOUBLE / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) AS j FROM top JOIN sh a ON a.id = q AND a.split <> 'train' JOIN sh b ON b.id = x AND b.split = 'train'),
+p AS (SELECT id AS x, unnest(g) AS s FROM sh WHERE split = 'train'), u AS (SELECT id AS q, unnest(g) AS s FROM sh WHERE split <> 'train'),
+h AS (SELECT q, x, count(*) AS hits FROM u JOIN p USING (s) GROUP BY q, x),
+j AS (SELECT q, x, hits, len(list_intersect(a.g, b.g))::DOUBLE / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) AS j FROM h JOIN sh a ON a.id = q AND a.split <> 'train' JOIN sh b ON b.id = x AND b.split = 'train'),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY j DESC, hits DESC, x) AS place FROM j) WHERE place = 1)"""
 
 

@@ -51,6 +51,17 @@ def test_duplicates_and_contamination(spark):
     assert found(Q.q18_contamination(rows)) == [("val_1", "note and question of train_1")]
 
 
+def copied_notes(spark):
+    """More training notes that share each gram than were once looked at, and of those that share most more than ten: the last is the most similar."""
+    words = [f"w{k}" for k in range(60)]
+    near = [record(id=f"train_{n}", ord=n, note=" ".join([*words, *[f"x{n}y{k}" for k in range(20)]])) for n in range(119)]
+    return frame(spark, *near, record(id="train_119", ord=119, note=" ".join(words)), record(id="val_0", split="val", note=" ".join([*words, "end"])), record(id="val_1", split="val", note="alone"))
+
+
+def test_notes_like_many_others_are_found(spark):
+    assert found(Q.q3_duplicates(copied_notes(spark))) == [("val_0", "note much like that of train_119 (0.982)")]
+
+
 def test_calls(spark):
     good = [("unit_convert", {"value": "150.4", "from_unit": "mg/dL", "to_unit": "mmol/L", "substance": "glucose"}, 8.35)]
     wrong = [("unit_convert", {"value": "99", "from_unit": "mg/dL", "to_unit": "mmol/L", "substance": "glucose"}, 8.35)]

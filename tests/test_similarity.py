@@ -43,3 +43,19 @@ def test_most_similar_of_the_candidates(spark):
     index = [(k, "a b c d e f".split()) for k in range(5)] + [(9, "a b c d e x".split()), (10, "p q r s t u v".split())]
     got = R.max_jaccard(rows([(1, "a b c d e f".split()), (2, "p q r s t".split()), (3, ["a"]), (4, None)]), rows(index), "id", "t", k=3, max_df=5, candidates=2)
     assert sorted(map(tuple, got.collect())) == [(1, 0, 1.0), (2, 10, 0.6), (3, None, 0.0), (4, None, 0.0)]
+
+
+@pytest.mark.parametrize("k,hot,levels", [(5, 1000, R.LEVELS), (1, 3, (0.6, 0.0)), (2, 10, (0.8,))])
+def test_most_similar_equals_all_pairs(spark, k, hot, levels):
+    a, b = sets(1, 90), sets(1, 120)[30:] + sets(2, 60)
+    rows = lambda x: spark.createDataFrame(list(enumerate(x)), "id long, t array<string>")
+    got = {r["id"]: (r["match"], r["jaccard"], r["shared"]) for r in R.most_similar(rows(a), rows(b), "id", "t", k, levels, hot).collect()}
+    want = {}
+    for i, x in enumerate(a):
+        g, best = grams(x, k), (0.0, 0, 0)
+        for j, y in enumerate(b):
+            h = grams(y, k)
+            if g & h and len(g & h) / len(g | h) >= levels[-1] - 1e-12:
+                best = max(best, (len(g & h) / len(g | h), len(g & h), -j))
+        want[i] = (-best[2] if best[1] else None, best[0], best[1])
+    assert got == want and None in {m for m, _, _ in want.values()} and len({m for m, _, _ in want.values()}) > 10
