@@ -147,7 +147,8 @@ def q3_duplicates(records: DataFrame, index_split: str = "train", k: int = 5, th
     keyed = records.select("split", "id", "ord", R.row_digest(records, "note", "question").alias("h"))
     firsts = keyed.groupBy("split", "h").agg(F.min(F.struct("ord", "id")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
     repeats = keyed.join(firsts, ["split", "h"]).where("ord <> f.ord or id <> f.id")
-    alike = near_notes(records, index_split, k, (threshold,)).where(F.col("jaccard") >= threshold).join(records.select("id", "split"), "id")
+    # Spark sizes records by what they are made of, which may be much less: they are not left to be broadcast.
+    alike = near_notes(records, index_split, k, (threshold,)).where(F.col("jaccard") >= threshold).join(records.select("id", "split").hint("merge"), "id")
     return flags(repeats, "Q3", "warn", F.concat(F.lit("same note and question as "), F.col("f.id"))).unionByName(flags(alike, "Q3", "warn", F.format_string("note much like that of %s (%.3f)", "match", "jaccard")))
 
 
@@ -160,7 +161,7 @@ def q3_metrics(records: DataFrame, index_split: str = "train", k: int = 5) -> Da
     out = figures(reused, "Q3", "notes used again", F.col("split"), F.col("n")).unionByName(figures(templates, "Q3", "templates of notes", F.col("split"), F.col("n")))
     out = out.unionByName(figures(shared, "Q3", f"notes with a template of {index_split}", F.col("split"), F.col("n")))
     # An id may repeat, over splits too: each record of another split counts once.
-    alike = near_notes(records, index_split, k).join(records.where(F.col("split") != index_split).select("id", "split"), "id")
+    alike = near_notes(records, index_split, k).join(records.where(F.col("split") != index_split).select("id", "split").hint("merge"), "id")
     near = S.quantiles(alike, "jaccard", {f"p{q}": q for q in (0.5, 0.9, 0.99, 1.0)}, ["split"])
     spread = near.select("split", F.explode(F.array(*[F.struct(F.lit(f"p{round(100 * q)}").alias("name"), F.round(f"`p{q}`", 3).alias("v")) for q in (0.5, 0.9, 0.99, 1.0)])).alias("s"))
     return out.unionByName(figures(spread, "Q3", f"similarity to {index_split}", F.concat("split", F.lit(" "), F.col("s.name")), F.col("s.v")))

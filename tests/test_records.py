@@ -62,6 +62,11 @@ def test_notes_like_many_others_are_found(spark):
     assert found(Q.q3_duplicates(copied_notes(spark))) == [("val_0", "note much like that of train_119 (0.982)")]
 
 
+def test_similarities_to_many_notes_are_whole(spark):
+    got = {r["key"]: r["value"] for r in Q.q3_metrics(copied_notes(spark)).where("metric = 'similarity to train'").collect()}
+    assert got == {"val p50": 0.0, "val p90": 0.982, "val p99": 0.982, "val p100": 0.982}
+
+
 def test_calls(spark):
     good = [("unit_convert", {"value": "150.4", "from_unit": "mg/dL", "to_unit": "mmol/L", "substance": "glucose"}, 8.35)]
     wrong = [("unit_convert", {"value": "99", "from_unit": "mg/dL", "to_unit": "mmol/L", "substance": "glucose"}, 8.35)]
